@@ -4,6 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from scriptmill import fixed
 from scriptmill.functions.chars import WS, column, is_blank, lines_of
+from scriptmill.functions.markup import page_text, plain_text
 
 # White space that stays on its line.
 GAP = WS.replace(r"\t-\r", r"\t\x0b-\r")
@@ -12,7 +13,7 @@ GAP = WS.replace(r"\t-\r", r"\t\x0b-\r")
 def join_paragraphs(text) -> Column:
     """Consecutive non-blank lines on one line, the line ends shown by a marker."""
     return F.regexp_replace(column(text), rf"(?<=[^{WS}])([{GAP}]*)\n(?=[{GAP}]*[^{WS}])",
-                            "$1" + fixed.LINE_MARKER.replace("|", r"\|"))
+                            "$1" + fixed.LINE_MARKER)
 
 
 def paragraph_sizes(text) -> Column:
@@ -41,8 +42,6 @@ def split_paragraphs(text, sizes) -> Column:
 
 def top_snippets(html, count: int = 5, width: int = 500) -> Column:
     """Texts of a page's first paragraphs; a page without any gives pieces of its whole text."""
-    from scriptmill.functions.markup import page_text, plain_text
-
     blocks = F.regexp_extract_all(column(html), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
     texts = F.filter(F.transform(blocks, plain_text), lambda t: t != "")
     whole = page_text(html)
