@@ -80,21 +80,26 @@ class WholeSum(Spec):
         return carry
 
 
-def running(df: DataFrame, keys: Sequence[str], pos: str, specs: dict[str, Spec],
+def running(df: DataFrame, keys: Sequence[str], pos: str | Sequence[str], specs: dict[str, Spec],
             block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds one column per spec, computed over each key's rows in `pos` order."""
+    """Adds one column per spec, computed over each key's rows in `pos` order.
+
+    With several order columns, blocks are cut by the first one.
+    """
+    order = [pos] if isinstance(pos, str) else list(pos)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     at = [*keys, BLOCK]
-    rows = df.withColumn(BLOCK, block_of(pos, block_rows)).withColumns(
+    rows = df.withColumn(BLOCK, block_of(order[0], block_rows)).withColumns(
         {f"__v_{name}": spec.value for name, spec in specs.items()})
     summary = rows.groupBy(*at).agg(*[
-        spec.summary(F.col(f"__v_{name}"), F.col(pos)).alias(f"__s_{name}")
+        spec.summary(F.col(f"__v_{name}"), place).alias(f"__s_{name}")
         for name, spec in specs.items()])
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*at, *[
         spec.carried(F.col(f"__s_{name}"), before, whole).alias(f"__c_{name}")
         for name, spec in specs.items()])
-    inside = Window.partitionBy(*at).orderBy(pos)
+    inside = Window.partitionBy(*at).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(carry, at)

@@ -74,7 +74,7 @@ def assign_voice_multi(script: DataFrame, characters: DataFrame, engine: str,
     broadcast by its measured size, and otherwise AQE splits the rows of one busy speaker.
     """
     name = F.lower("speaker")
-    narrator = name == "narrator"
+    narrator = F.coalesce(name == "narrator", F.lit(False))
     scores = characters.select("book_id", F.col("name").alias("__name"),
                                F.col("gender_score").alias("__score"))
     cast = script.where(~narrator).withColumn("__name", name).join(
