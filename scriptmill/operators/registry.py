@@ -41,7 +41,7 @@ def check_enums(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
             marked.where(F.col("invalid") != ""))
 
 
-def _clean_names(ops: DataFrame) -> DataFrame:
+def clean_names(ops: DataFrame) -> DataFrame:
     tidy = ops.select(*OPS).withColumns({
         "name": F.lower(strip("name")), "existing_name": F.lower(strip("existing_name"))})
     return tidy.where(F.col("name") != "")
@@ -58,7 +58,7 @@ def upsert_latest(ops: DataFrame) -> DataFrame:
     a batch counts. An insert replaces the character. An update keeps what is known: the age,
     a gender other than unknown, and the longer description.
     """
-    one = _clean_names(ops).groupBy("book_id", "name", "batch_no").agg(
+    one = clean_names(ops).groupBy("book_id", "name", "batch_no").agg(
         F.max_by(F.struct("op_no", "operation", "age", "gender", "description"), "op_no")
         .alias("o"), F.min("op_no").alias("first_op"))
     flat = one.select("book_id", "name", "batch_no", "first_op", "o.*")
@@ -123,6 +123,11 @@ class Roster:
         self.batch_no = None
         self.pending: list = []
 
+    def seed(self) -> None:
+        for i, (name, age, gender, _, text) in enumerate(fixed.SEED_CHARACTERS):
+            self.known[name] = (age, gender, text, -1, i)
+            self.changed[name] = -1
+
     def add(self, op) -> None:
         if op.batch_no != self.batch_no:
             self.flush()
@@ -226,7 +231,7 @@ def apply_char_ops(ops: DataFrame, mode: str = "hash") -> DataFrame:
     be folded in order, together. All other names are independent of each other and come from
     one aggregation, however many operations a book or a name has.
     """
-    tidy = _clean_names(ops)
+    tidy = clean_names(ops)
     tidy = tidy.unionByName(seed_ops(tidy.select("book_id").distinct())).withColumns(
         {"batch_no": F.col("batch_no").cast("long"), "op_no": F.col("op_no").cast("long")})
     # Read by several passes, and by every round of the family search only as edges.
