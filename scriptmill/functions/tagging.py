@@ -112,11 +112,20 @@ def reject_reason(text, original) -> Column:
         .when(text.rlike(rf"{TAG}[{WS}]*{TAG}"), "Consecutive emotion tags detected"))
 
 
+def clean_response(enhanced) -> Column:
+    """A response without the backticks that models put around it."""
+    return F.replace(column(enhanced), F.lit("`"), F.lit(""))
+
+
+def response_reason(clean, original) -> Column:
+    return F.when(column(clean).isNull(), "No response").otherwise(
+        reject_reason(clean, original))
+
+
 def validate_tagged(enhanced, original) -> Column:
     """(text, success, reverted, reason): the repaired text, or the original with a reason."""
-    clean = F.replace(column(enhanced), F.lit("`"), F.lit(""))
-    reason = F.when(column(enhanced).isNull(), "No response").otherwise(
-        reject_reason(clean, original))
+    clean = clean_response(enhanced)
+    reason = response_reason(clean, original)
     return F.struct(
         F.when(reason.isNull(), repair_orphans(clean, original)).otherwise(column(original))
         .alias("text"),
@@ -129,7 +138,7 @@ def validate_by_line(enhanced, original) -> Column:
     answers = lines_of(enhanced)
 
     def checked(line, i):
-        answer = F.replace(F.get(answers, i), F.lit("`"), F.lit(""))
+        answer = clean_response(F.get(answers, i))
         usable = ~is_blank(line) & answer.isNotNull() & reject_reason(answer, line).isNull()
         # One line has no neighbours, so its own repair is the whole repair.
         return F.when(usable, own_repair(answer, line)).otherwise(line)

@@ -92,13 +92,15 @@ def match_by_name(items: DataFrame, characters: DataFrame) -> DataFrame:
     sizes = [r[0] for r in named.select(F.size("__w")).distinct().collect() if r[0] > 0]
     narration = items.where((F.col("type") == "narrator") & ~is_blank("content")).select(
         "book_id", "line_no", words(F.col("content")).alias("__w"))
-    runs = F.array().cast("array<string>")
-    for n in sorted(sizes):
+    none = F.array().cast("array<string>")
+
+    def runs_of(n):
         last = F.size("__w") - n
-        runs = F.concat(runs, F.when(last >= 0, F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i, n=n: F.array_join(F.slice("__w", i + 1, n), " ")
-        )).otherwise(F.array().cast("array<string>")))
+        starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+        return F.when(last >= 0, F.transform(
+            starts, lambda i: F.array_join(F.slice("__w", i + 1, n), " "))).otherwise(none)
+
+    runs = F.concat(none, *[runs_of(n) for n in sorted(sizes)])
     cut = narration.select("book_id", "line_no", F.explode(F.array_distinct(runs)).alias("run"))
     hits = cut.join(named.select("book_id", "name", F.array_join("__w", " ").alias("run")),
                     ["book_id", "run"])

@@ -3,13 +3,23 @@
 from pyspark.sql import DataFrame, functions as F
 
 from scriptmill.functions.chars import lines_of
-from scriptmill.functions.tagging import is_orphan, validate_by_line, validate_tagged
+from scriptmill.functions.tagging import (
+    clean_response, is_orphan, repair_orphans, response_reason, validate_by_line)
 
 
 def validate_chunks(chunks: DataFrame) -> DataFrame:
-    """Adds text, success, reverted and reason to chunks with `enhanced` and `original`."""
-    checked = chunks.withColumn("__v", validate_tagged("enhanced", "original"))
-    return checked.select(*chunks.columns, "__v.*")
+    """Adds text, success, reverted and reason to chunks with `enhanced` and `original`.
+
+    The same as `validate_tagged`, with the reason as a column of its own, so that it is found
+    once for the three columns that depend on it.
+    """
+    found = chunks.withColumn("__clean", clean_response("enhanced")).withColumn(
+        "reason", response_reason("__clean", "original"))
+    fixed_text = F.when(F.col("reason").isNull(), repair_orphans("__clean", "original"))
+    return found.select(
+        *chunks.columns, fixed_text.otherwise(F.col("original")).alias("text"),
+        F.col("reason").isNull().alias("success"), F.col("reason").isNotNull().alias("reverted"),
+        "reason")
 
 
 def flag_orphans(lines: DataFrame) -> DataFrame:
@@ -29,9 +39,11 @@ def reassemble(lines: DataFrame, chunks: DataFrame) -> DataFrame:
 
     A chunk with another number of lines than its range replaces nothing.
     """
-    whole = chunks.where(F.size(lines_of("text")) == F.col("end_line") - F.col("start_line"))
-    tagged = whole.select(
-        "book_id", "start_line", F.posexplode(lines_of("text")).alias("at", "tagged")
+    parts = lines_of("text")
+    # Not a filter: that would be pushed below, and the text be made twice.
+    fitting = F.when(F.size(parts) == F.col("end_line") - F.col("start_line"), parts)
+    tagged = chunks.select(
+        "book_id", "start_line", F.posexplode(fitting).alias("at", "tagged")
     ).select("book_id", (F.col("start_line") + F.col("at")).alias("line_no"), "tagged")
     return lines.join(tagged, ["book_id", "line_no"], "left").select(
         "book_id", "line_no", F.coalesce("tagged", "line").alias("line"),
