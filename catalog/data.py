@@ -131,7 +131,7 @@ CHAR_OPS = """select cast(user_id % 10 as string) as book_id,
   case event_id % 3 when 0 then 'child' when 1 then 'adult' else 'elderly' end as age,
   case event_id % 11 when 0 then 'unknown' when 1 then 'unknown'
     else case when user_id % 2 = 0 then 'male' else 'female' end end as gender,
-  concat(event_type, ' ', substr('a long description of someone', 1, cast(value % 20 as int)))
+  concat(event_type, ' ', substr('a long description of someone', 1, cast(floor(value) % 20 as int)))
     as description
 from {events}"""
 CHAR_OPS_SQL = "ops as (" + CHAR_OPS.format(events="events") + ")"

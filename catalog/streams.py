@@ -1,2 +1,47 @@
-QUERIES = {}
-SQL = {}
+"""Streams over what the given tables hold now."""
+
+from pyspark.sql import functions as F
+
+from catalog.data import CHAR_OPS, table
+from scriptmill.functions.chars import lines_of
+from scriptmill.operators.registry import with_scores
+from scriptmill.streaming import streams
+
+
+def document_stream(spark, sf_dir):
+    """Lines of documents as they arrive."""
+    docs = streams.table_stream(spark, f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("source").alias("book_id"), "doc_id",
+                       F.posexplode(lines_of("text")).alias("line_no", "line"))
+
+
+def clean_lines(spark, sf_dir):
+    noted = document_stream(spark, sf_dir).withColumn(
+        "line", F.expr("concat('“', line, '” — she said at 3:30')"))
+    return streams.run_available(streams.clean_line_stream(noted), "clean").select(
+        "book_id", "doc_id", F.col("line_no").cast("bigint").alias("line_no"),
+        F.col("part_no").cast("bigint").alias("part_no"), "type", "text")
+
+
+def char_ops(spark, sf_dir):
+    events = streams.table_stream(spark, f"{sf_dir}/events.parquet")
+    ops = spark.sql(CHAR_OPS, events=events)
+    changes = streams.run_available(streams.char_ops_stream(ops), "registry")
+    return with_scores(streams.latest_registry(changes), "min")
+
+
+def progress(spark, sf_dir):
+    done = streams.run_available(streams.progress_log(document_stream(spark, sf_dir)), "progress")
+    return done.groupBy("book_id").agg(F.max("completed").alias("completed"))
+
+
+QUERIES = {
+    "stream_clean_lines": clean_lines,
+    "stream_char_ops": char_ops,
+    "stream_progress": progress,
+}
+
+SQL = {
+    "stream_progress": """select source as book_id,
+        cast(sum(len(string_split(text, chr(10)))) as bigint) as completed from documents group by all""",
+}

@@ -26,10 +26,13 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """A parquet table as a stream of its files."""
+    """A parquet table, a folder or a single file, as a stream of its files.
+
+    A stream takes a single file only by way of a glob, so the last letter is made one.
+    """
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option(
-        "maxFilesPerTrigger", files_per_trigger).parquet(path)
+        "maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def clean_line_stream(lines: DataFrame) -> DataFrame:
