@@ -6,7 +6,7 @@ from catalog import sqltext as s
 from catalog.data import MANIFEST_SQL, manifest, manuscript, ms, table
 from scriptmill import fixed
 from scriptmill.functions import clean
-from scriptmill.functions.chars import LINE_BREAK, WORD, WS
+from catalog.sqltext import LINE_BREAK, WORD, WS
 from scriptmill.operators.windows import drop_blank_lines
 
 

@@ -6,7 +6,7 @@ from catalog import sqltext as s
 from catalog.data import manuscript, ms, table
 from scriptmill import fixed
 from scriptmill.functions import segment, speech
-from scriptmill.functions.chars import WORD, WS
+from catalog.sqltext import WORD, WS
 from scriptmill.operators.windows import to_items
 
 

@@ -43,8 +43,7 @@ def write_script(spark, sf_dir):
     """Rows of the files a script was written to."""
     path = new_path(spark, "script")
     books.write_script(conversation_script(spark, sf_dir), path)
-    return spark.read.schema("value string, book_id string, part string").text(path).select(
-        "book_id", "value")
+    return spark.read.schema("book_id string, item_no long, speaker string, line string").json(path)
 
 
 def character_map_text(spark, sf_dir):
@@ -106,7 +105,7 @@ SQL = {
         from conversations union all
         select conv_id || ':' || turn, 1, upper(role), '...' from conversations""",
     "script_rows": f"with {CONVERSATION_SCRIPT_SQL} select book_id, item_no, {_JSON} as value from script",
-    "write_script": f"with {CONVERSATION_SCRIPT_SQL} select book_id, {_JSON} as value from script",
+    "write_script": f"with {CONVERSATION_SCRIPT_SQL} select * from script",
     "read_character_map": f"""with {CHARACTERS_SQL} select book_id, name, age, gender, gender_score,
         description from characters""",
     "character_map_text": f"""with {CHARACTERS_SQL} select book_id, 0 as part_no,

@@ -1,9 +1,13 @@
 """SQL expressions that several checks use."""
 
 from scriptmill import fixed
-from scriptmill.functions.chars import LINE_BREAK, WORD, WS
 from scriptmill.functions.clean import PUNCTUATION, TAG
 
+# The same classes as in the library, in the words of RE2.
+WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORD = r"\p{L}\p{N}_"
+LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
+
 
 def q(text: str) -> str:
     """A SQL string literal."""

@@ -6,7 +6,7 @@ from catalog import sqltext as s
 from catalog.data import BLOCKS_SQL, manuscript, ms, tagged_blocks
 from scriptmill import fixed
 from scriptmill.functions import tagging
-from scriptmill.functions.chars import WORD, WS
+from catalog.sqltext import WORD, WS
 from scriptmill.functions.clean import TAG
 from scriptmill.operators import tags
 

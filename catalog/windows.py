@@ -7,7 +7,7 @@ from catalog.data import manuscript, ms, table
 from catalog.segmenting import ITEMS_SQL
 from scriptmill.functions.clean import ascii_punct
 from scriptmill.functions.paragraphs import (
-    join_paragraphs, paragraph_sizes, split_paragraphs, top_snippets)
+    join_paragraphs, paragraph_sizes, split_paragraphs, with_top_snippets)
 from scriptmill.functions.tokens import token_count
 from scriptmill.operators import chapters, windows
 
@@ -96,8 +96,9 @@ def word_budget(spark, sf_dir):
 
 def snippets_of_page(spark, sf_dir):
     html = F.expr("case when page_id % 5 = 0 then replace(html, '<p>', '<div>') else html end")
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.posexplode(top_snippets(html)).alias("nth", "text")).select(
+    pages = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return with_top_snippets(pages, "html", "texts").select(
+        "page_id", F.posexplode("texts").alias("nth", "text")).select(
         "page_id", F.col("nth").cast("bigint").alias("nth"), "text")
 
 

@@ -1,14 +1,16 @@
-"""Character classes shared by all patterns, with the same meaning in Java and RE2.
+"""Character classes and small texts shared by all patterns.
 
-`\\s`, `\\w` and `\\b` mean different things in different regex engines, so patterns
-spell the Unicode classes out.
+`\\s`, `\\w` and `\\b` are not Unicode in Java's regex, so patterns spell the classes out.
 """
 
 from pyspark.sql import Column, functions as F
 
-WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Unicode white space and the four information separators.
+WS = r"\p{IsWhite_Space}\x1c-\x1f"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 WORD = r"\p{L}\p{N}_"
-LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 NOT_AFTER_WORD = rf"(?<![{WORD}])"
 NOT_BEFORE_WORD = rf"(?![{WORD}])"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
@@ -19,11 +21,16 @@ def column(c) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(column(c), rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(column(c), F.lit(WS_CHARS))
 
 
 def is_blank(c) -> Column:
-    return column(c).rlike(rf"\A[{WS}]*\z")
+    return strip(c) == ""
+
+
+def all_lines_of(c) -> Column:
+    """Lines at any kind of line break; one of two characters leaves a blank line behind."""
+    return lines_of(F.translate(column(c), LINE_BREAKS, "\n" * len(LINE_BREAKS)))
 
 
 def lines_of(c) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from scriptmill import fixed
 from scriptmill.functions.chars import (
-    LINE_BREAK, WORD, WS, column, is_blank, lines_of, strip)
+    WORD, WS, all_lines_of, column, is_blank, lines_of, strip)
 
 PUNCTUATION = r"""!-/:-@\[-`{-~—–…‚„‹›«»‰‱"""
 TAG = "<(?:" + "|".join(fixed.EMOTIONS) + ")>"
@@ -18,8 +18,8 @@ def ascii_punct(text) -> Column:
 
 def normalize_line_breaks(text) -> Column:
     """Lines trimmed, blank ones dropped, joined by one newline."""
-    broken = r"[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
-    return strip(F.regexp_replace(column(text), rf"[{WS}]*{broken}[{WS}]*", "\n"))
+    trimmed = F.transform(all_lines_of(text), strip)
+    return F.array_join(F.filter(trimmed, lambda ln: ln != ""), "\n")
 
 
 def close_quotes(line) -> Column:
@@ -39,7 +39,7 @@ def close_quotes(line) -> Column:
 
 def fix_unterminated_quotes(text) -> Column:
     """`close_quotes` on every non-blank line of a text."""
-    kept = F.filter(F.split(column(text), LINE_BREAK, -1), lambda ln: ~is_blank(ln))
+    kept = F.filter(all_lines_of(text), lambda ln: ~is_blank(ln))
     return F.array_join(F.transform(kept, close_quotes), "\n")
 
 

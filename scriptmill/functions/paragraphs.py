@@ -1,13 +1,13 @@
 """Paragraph form of a text for a model request, and back."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptmill import fixed
 from scriptmill.functions.chars import WS, column, is_blank, lines_of
 from scriptmill.functions.markup import page_text, plain_text
 
 # White space that stays on its line.
-GAP = WS.replace(r"\t-\r", r"\t\x0b-\r")
+GAP = rf"{WS}&&[^\n]"
 
 
 def join_paragraphs(text) -> Column:
@@ -40,12 +40,18 @@ def split_paragraphs(text, sizes) -> Column:
     return F.array_join(F.flatten(F.transform(lines_of(text), restore)), "\n")
 
 
-def top_snippets(html, count: int = 5, width: int = 500) -> Column:
-    """Texts of a page's first paragraphs; a page without any gives pieces of its whole text."""
-    blocks = F.regexp_extract_all(column(html), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+def with_top_snippets(df: DataFrame, html: str, out: str, count: int = 5,
+                      width: int = 500) -> DataFrame:
+    """Adds `out`: texts of a page's first paragraphs, or pieces of the text of a page without."""
+    blocks = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
     texts = F.filter(F.transform(blocks, plain_text), lambda t: t != "")
-    whole = page_text(html)
-    pieces = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.transform(
+    none = F.array().cast("array<string>")
+    # Staged columns: each is evaluated once, and the whole text only where it is needed.
+    staged = df.withColumn("__texts", F.slice(texts, 1, count)).withColumn(
+        "__whole", F.when(F.size("__texts") == 0, page_text(html)))
+    whole = F.col("__whole")
+    pieces = F.transform(
         F.sequence(F.lit(0), F.greatest(F.floor((F.length(whole) - 1) / width), F.lit(0))),
-        lambda i: F.substring(whole, (i * width + 1).cast("int"), F.lit(width))))
-    return F.slice(F.when(F.size(texts) > 0, texts).otherwise(pieces), 1, count)
+        lambda i: F.substring(whole, (i * width + 1).cast("int"), F.lit(width)))
+    return staged.withColumn(out, F.when(F.size("__texts") > 0, F.col("__texts")).when(
+        whole == "", none).otherwise(F.slice(pieces, 1, count))).drop("__texts", "__whole")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 from scriptmill import fixed
 from scriptmill.functions.chars import (
     NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD, WS, column, interleave, is_blank, strip)
-from scriptmill.functions.clean import sanitize_title
+from scriptmill.functions.clean import sanitize_title, speakable_text
 
 QUOTED = r'"[^"]+"'
 HEADING = rf"(?i)\A(?:Chapter|Part)[{WS}]+([{WORD}\-]+)"
@@ -26,6 +26,17 @@ def split_dialogue(line) -> Column:
     return F.transform(parts, annotate)
 
 
+def speakable_parts(line) -> Column:
+    """Array of (part_no, type, text): the parts of a line that have something to say.
+
+    Filtered inside the array: a filter on the exploded rows would be pushed below and make
+    every text twice.
+    """
+    said = F.transform(split_dialogue(line), lambda p, i: F.struct(
+        i.alias("part_no"), p["type"].alias("type"), speakable_text(p["text"]).alias("text")))
+    return F.filter(said, lambda p: p["text"].isNotNull())
+
+
 def line_items(line) -> Column:
     """Array of (type, content): a line without dialogue stays whole and untrimmed."""
     line = column(line)

@@ -4,29 +4,32 @@ Where a group ends depends on where it began, so the rule is a fold in line orde
 a whole book would be one task. Here each block of rows is folded on its own, given the state
 (the tokens of the still open group) it is entered with:
 
-1. blocks that contain a forced end have one exit state, whatever they are entered with;
-   for the others a table entry state -> exit state is computed for all states at once;
-2. these tables are composed, first within spans of blocks, then over the spans of a book,
-   which gives every block its entry state;
-3. every block is folded once from its entry state, and the pieces of a group that crosses a
-   block edge are put together by an aggregation.
+1. a block's transfer table says for every entry state which state it is left in; with a
+   forced group start inside, that is one state whatever the entry;
+2. tables are composed, first within spans of blocks, then over the spans of a book, which
+   gives every block its entry state;
+3. every block is cut once from its entry state, and the pieces of a group that crosses a block
+   edge are put together by an aggregation.
+
+Steps 1 and 3 see arrays of token counts, never text, and use prefix sums: Spark's own array
+functions have no running fold that does not copy what it has gathered at every step.
 """
 
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptmill.functions.chars import column, is_blank
+from scriptmill.functions.chars import is_blank
 from scriptmill.functions.tokens import token_count
 from scriptmill.operators.ordered import BLOCK, RunningSum, block_of, running
 from scriptmill.session import stage
 
-FOLD_ROWS = 4096   # rows folded in one step; the fold's arrays never grow past this
-SPAN_BLOCKS = 256  # blocks composed in one step
+FOLD_ROWS = 1 << 11  # rows of one block; arrays never grow past this
+SPAN_BLOCKS = 256    # blocks composed in one step
 
-# States of the open group, as indexes into a transfer table:
+# States of the open group, as places in a transfer table:
 # 0 = no open group, 1 + n = an open group of n tokens, the last = over the limit.
 
 
@@ -35,32 +38,22 @@ class Chunks:
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.states = limit + 3
-
-    def closes_before(self, open_tokens, row_tokens):
-        return open_tokens + row_tokens > self.limit
-
-    def closes_after(self, total):
-        return F.lit(False)
-
-    def state(self, total):
-        return F.least(total, F.lit(self.limit + 1)) + 1
-
-    def exits(self, tokens: np.ndarray) -> np.ndarray:
-        """Exit state for every entry state over rows without a forced end."""
-        n, limit = len(tokens), self.limit
-        sums = np.concatenate([[0], np.cumsum(tokens)])
-        # A group that starts at row i ends before row after[i].
-        after = np.maximum(np.searchsorted(sums, sums[:n] + limit, side="right") - 1,
-                           np.arange(1, n + 1))
-        # One that reaches the last row is still open there.
-        last = _last_start(np.where(after >= n, n + 1, after), n)
-        # Row at which the group open on entry ends, per count of tokens in it.
-        entered = np.arange(limit + 2)
-        ends = np.searchsorted(sums[1:], limit - entered, side="right")
-        ends = np.where(ends >= n, n + 1, ends)
-        ends[limit + 1] = 0
-        return _exit_states(entered, ends, sums, last, limit + 1)
+        self.top = limit + 1  # tokens of an open group, from here on all alike
+
+    def next_starts(self, sums: np.ndarray) -> np.ndarray:
+        """For a group that starts at each row, the row the next one starts at; past the rows
+        if it is still open at their end."""
+        n = len(sums) - 1
+        fits = np.searchsorted(sums, sums[:n] + self.limit, side="right") - 1
+        after = np.maximum(fits, np.arange(1, n + 1))
+        return np.where(after >= n, n + 1, after)
+
+    def entered(self, sums: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The same for groups that are entered open, by the tokens they have."""
+        n = len(sums) - 1
+        after = np.searchsorted(sums[1:], self.limit - tokens, side="right")
+        after = np.where(tokens > self.limit, 0, after)
+        return np.where(after >= n, n + 1, after)
 
 
 class Batches:
@@ -68,85 +61,86 @@ class Batches:
 
     def __init__(self, minimum: int):
         self.minimum = minimum
-        self.states = minimum + 1
+        self.top = minimum - 1
 
-    def closes_before(self, open_tokens, row_tokens):
-        return F.lit(False)
+    def next_starts(self, sums):
+        n = len(sums) - 1
+        return np.maximum(np.searchsorted(sums, sums[:n] + self.minimum, side="left"),
+                          np.arange(1, n + 1))
 
-    def closes_after(self, total):
-        return total >= self.minimum
+    def entered(self, sums, tokens):
+        return np.searchsorted(sums[1:], self.minimum - tokens, side="left") + 1
 
-    def state(self, total):
-        return F.least(total, F.lit(self.minimum - 1)) + 1
 
-    def exits(self, tokens: np.ndarray) -> np.ndarray:
-        n, minimum = len(tokens), self.minimum
-        sums = np.concatenate([[0], np.cumsum(tokens)])
-        after = np.searchsorted(sums, sums[:n] + minimum, side="left")
-        after = np.maximum(after, np.arange(1, n + 1))
-        last = _last_start(after, n)
-        entered = np.arange(minimum)
-        ends = np.searchsorted(sums[1:], minimum - entered, side="left") + 1
-        return _exit_states(entered, ends, sums, last, minimum - 1)
+def _sums(tokens) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(tokens, dtype=np.int64))])
 
 
-def _last_start(after: np.ndarray, n: int) -> np.ndarray:
-    """For each start, the start of the group that is open at the end; n if none is.
-
-    `after[i]` is the next start; values above n mean the group runs past the end.
-    """
-    nxt = np.append(np.where(after > n, np.arange(n), after), n)
-    # A start whose group is still open points at itself; jumps double until all arrive.
-    while True:
-        further = nxt[nxt]
-        if np.array_equal(further, nxt):
-            return nxt
-        nxt = further
-
-
-def _exit_states(entered, ends, sums, last, top) -> np.ndarray:
-    n = len(sums) - 1
-    out = np.empty(len(entered) + 1, dtype=np.int64)
+def exit_states(rule, tokens, breaks, closed: bool) -> np.ndarray:
+    """A block's transfer table. `breaks` are rows a group must start at; `closed` says that the
+    group of the last row ends with it."""
+    sums = _sums(tokens)
+    n, states = len(sums) - 1, rule.top + 2
+    if closed:
+        return np.zeros(states, dtype=np.int32)
+    nxt = rule.next_starts(sums)
+    # A group that is open at the end points at itself; jumps double until all arrive.
+    last = np.append(np.where(nxt > n, np.arange(n), nxt), n)
+    while not np.array_equal(last[last], last):
+        last = last[last]
 
     def opened(start):
-        return np.where(start >= n, 0, np.minimum(sums[n] - sums[np.minimum(start, n)], top) + 1)
+        """State left by the chain of groups from `start`; n means none is open."""
+        begin = last[np.minimum(start, n)]
+        return np.where(begin >= n, 0, np.minimum(sums[n] - sums[begin], rule.top) + 1)
 
-    out[0] = opened(last[0])
-    stays = ends > n
-    closed = opened(last[np.minimum(ends, n)])
-    out[1:] = np.where(stays, np.minimum(entered + sums[n], top) + 1, closed)
-    return out
+    if len(breaks):
+        return np.full(states, opened(breaks[-1]), dtype=np.int32)
+    held = np.arange(rule.top + 1)
+    after = rule.entered(sums, held)
+    still_open = np.minimum(held + sums[n], rule.top) + 1
+    return np.append(opened(0), np.where(after > n, still_open, opened(after))).astype(np.int32)
 
 
-def _pack(rows: DataFrame, keys) -> DataFrame:
-    """One row per block: its rows as an ordered array of narrow structs."""
-    return rows.groupBy(*keys, BLOCK).agg(F.sort_array(F.collect_list(
-        F.struct("pos", "tokens", "opens", "ends"))).alias("rows"))
+def group_starts(rule, tokens, breaks, entry: int) -> list[int]:
+    """Rows of a block that groups start at, from its entry state."""
+    sums = _sums(tokens)
+    n = len(sums) - 1
+    nxt = rule.next_starts(sums)
+    forced = np.full(n + 1, n + 1)
+    forced[np.asarray(breaks, dtype=np.int64)] = breaks
+    # First break at or after each row; a group ends at the one after its own start.
+    forced = np.minimum.accumulate(forced[::-1])[::-1]
+    nxt = np.minimum(nxt, forced[1:]).tolist()
+    at = 0 if entry == 0 else min(int(rule.entered(sums, np.array([entry - 1]))[0]),
+                                  int(forced[0]))
+    starts = []
+    while at < n:
+        starts.append(at)
+        at = nxt[at]
+    return starts
 
 
-def _step(rule, acc: Column, row: Column) -> Column:
-    """Tokens of the open group after one row; null when no group is open."""
-    starts = acc.isNull() | row["opens"] | rule.closes_before(acc, row["tokens"])
-    total = F.when(starts, row["tokens"]).otherwise(acc + row["tokens"])
-    return F.when(row["ends"] | rule.closes_after(total), F.lit(None)).otherwise(total)
+def _pack(rows: DataFrame, keys) -> DataFrame:
+    """One row per block: its positions and counts in order, and where groups must start."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "tokens", "opens", "ends")))
+    packed = rows.groupBy(*keys, BLOCK).agg(ordered.alias("rows"))
+    places = F.sequence(F.lit(0), F.size("rows") - 1)
+    must_start = F.filter(places, lambda i: F.get("rows", i)["opens"] | F.coalesce(
+        F.get("rows", i - 1)["ends"], F.lit(False)))
+    return packed.select(
+        *keys, BLOCK, F.transform("rows", lambda r: r["pos"]).alias("pos"),
+        F.transform("rows", lambda r: r["tokens"]).alias("tokens"),
+        must_start.alias("breaks"), F.element_at("rows", -1)["ends"].alias("closed"))
 
 
 def _transfer(packed: DataFrame, keys, rule) -> DataFrame:
     """keys, BLOCK, table: the exit state for every entry state."""
-    forced = F.exists("rows", lambda r: r["opens"] | r["ends"])
-    folded = F.aggregate("rows", F.lit(None).cast("bigint"), lambda acc, r: _step(rule, acc, r))
-    exit_state = F.when(folded.isNull(), 0).otherwise(rule.state(folded)).cast("int")
-    constant = packed.where(forced).select(
-        *keys, BLOCK, F.array_repeat(exit_state, rule.states).alias("table"))
-
     @F.pandas_udf("array<int>")
-    def tables(tokens: pd.Series) -> pd.Series:
-        return pd.Series([rule.exits(np.asarray(t, dtype=np.int64)).astype(np.int32)
-                          for t in tokens])
+    def tables(tokens: pd.Series, breaks: pd.Series, closed: pd.Series) -> pd.Series:
+        return pd.Series([exit_states(rule, *row) for row in zip(tokens, breaks, closed)])
 
-    open_ended = packed.where(~forced).select(
-        *keys, BLOCK, tables(F.transform("rows", lambda r: r["tokens"])).alias("table"))
-    return constant.unionByName(open_ended)
+    return packed.select(*keys, BLOCK, tables("tokens", "breaks", "closed").alias("table"))
 
 
 def _compose(seq: Column, states: int) -> Column:
@@ -172,7 +166,7 @@ def _entry_states(transfer: DataFrame, keys, rule) -> DataFrame:
              .withColumn("span", block_of(BLOCK, SPAN_BLOCKS))
              .groupBy(*keys, "span").agg(ordered.alias("seq")))
     books = (spans.select(*keys, F.col("span").alias("at"),
-                          _compose(F.col("seq"), rule.states).alias("table"))
+                          _compose(F.col("seq"), rule.top + 2).alias("table"))
              .groupBy(*keys).agg(ordered.alias("seq"))
              .select(*keys, F.explode(_entries(F.col("seq"), F.lit(0))).alias("e"))
              .select(*keys, F.col("e.at").alias("span"), F.col("e.state").alias("first")))
@@ -181,35 +175,27 @@ def _entry_states(transfer: DataFrame, keys, rule) -> DataFrame:
             .select(*keys, F.col("e.at").alias(BLOCK), F.col("e.state").alias("entry")))
 
 
-PIECE = "struct<first:bigint,last:bigint,rows:bigint,tokens:bigint,starts:int>"
-
-
 def _pieces(packed: DataFrame, keys, rule) -> DataFrame:
-    """One row per group and block, from the block's entry state."""
-    entered = F.when(F.col("entry") > 0, (F.col("entry") - 1).cast("bigint"))
-    init = F.struct(entered.alias("open"), F.lit(None).cast(PIECE).alias("piece"),
-                    F.array().cast(f"array<{PIECE}>").alias("done"))
-
-    def fold(acc, row):
-        starts = (acc["open"].isNull() | row["opens"]
-                  | rule.closes_before(acc["open"], row["tokens"]))
-        piece = acc["piece"]
-        fresh = starts | piece.isNull()
-        now = F.struct(
-            F.when(fresh, row["pos"]).otherwise(piece["first"]).alias("first"),
-            row["pos"].alias("last"),
-            F.when(fresh, F.lit(1).cast("bigint")).otherwise(piece["rows"] + 1).alias("rows"),
-            F.when(fresh, row["tokens"]).otherwise(piece["tokens"] + row["tokens"])
-            .alias("tokens"),
-            F.when(fresh, starts.cast("int")).otherwise(piece["starts"]).alias("starts"))
-        done = F.when(fresh & piece.isNotNull(), F.array_append(acc["done"], piece)).otherwise(
-            acc["done"])
-        return F.struct(_step(rule, acc["open"], row).alias("open"), now.alias("piece"),
-                        done.alias("done"))
-
-    folded = F.aggregate("rows", init, fold,
-                         lambda acc: F.array_append(acc["done"], acc["piece"]))
-    return packed.select(*keys, F.explode(folded).alias("p")).select(*keys, "p.*")
+    """One row per group and block: first and last position, rows, tokens, and whether the
+    group starts here."""
+    @F.pandas_udf("array<int>")
+    def cuts(tokens: pd.Series, breaks: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([group_starts(rule, *row) for row in zip(tokens, breaks, entry)])
+
+    cut = packed.withColumn("starts", cuts("tokens", "breaks", "entry"))
+    # The head of the block, where it belongs to a group that was open before.
+    head = F.when((F.size("starts") == 0) | (F.get("starts", F.lit(0)) > 0),
+                  F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    placed = cut.withColumn("edges", F.concat(head, "starts")).select(
+        *keys, "pos", "tokens", "edges", F.size(head).alias("headed"),
+        F.posexplode("edges").alias("nth", "lo"))
+    hi = F.coalesce(F.get("edges", F.col("nth") + 1), F.size("pos"))
+    counts = F.slice("tokens", F.col("lo") + 1, hi - F.col("lo"))
+    return placed.select(
+        *keys, F.get("pos", F.col("lo")).alias("first"), F.get("pos", hi - 1).alias("last"),
+        (hi - F.col("lo")).cast("bigint").alias("rows"),
+        F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, t: a + t).alias("tokens"),
+        (F.col("nth") >= F.col("headed")).cast("bigint").alias("starts"))
 
 
 def _group(df: DataFrame, keys: Sequence[str], pos: str, tokens: Column, rule, number: str,

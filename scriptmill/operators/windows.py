@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptmill import fixed
-from scriptmill.functions.chars import column, is_blank, strip, words_of
+from scriptmill.functions.chars import WS, is_blank, strip
 from scriptmill.functions.clean import is_only_punctuation
 from scriptmill.functions.segment import has_emotion_keyword, line_items
 from scriptmill.functions.tokens import token_count
@@ -165,7 +165,9 @@ def current_line_context(contexts: DataFrame) -> DataFrame:
 
 def word_budget(snippets: DataFrame, per_snippet: int = 150, total: int = 800) -> DataFrame:
     """Snippets cut to `per_snippet` words, kept in order until `total` words; last one cut."""
-    cut = snippets.withColumn("__words", F.slice(words_of("text"), 1, per_snippet))
+    split = F.split(strip("text"), rf"[{WS}]+", per_snippet + 1)
+    words = F.slice(F.filter(split, lambda w: w != ""), 1, per_snippet)
+    cut = snippets.withColumn("__words", words)
     summed = running(cut, KEYS, "snippet_no",
                      {"__before": SumBefore(F.size("__words").cast("bigint"))})
     room = F.greatest(F.lit(0), F.least(F.size("__words").cast("bigint"),

@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scriptmill import fixed
 from scriptmill.functions.chars import column, is_blank, strip
 from scriptmill.functions.clean import (
-    escape_metadata, is_only_punctuation, is_safe_path, sanitize_title, speakable_text)
-from scriptmill.functions.segment import chapter_title, split_dialogue
+    escape_metadata, is_only_punctuation, is_safe_path, sanitize_title)
+from scriptmill.functions.segment import chapter_title, speakable_parts
 from scriptmill.operators.chapters import INTRODUCTION, chapter_table
 from scriptmill.operators.ordered import Latest, RunningSum, SumBefore, running
 from scriptmill.operators.voices import assign_voice_multi, assign_voice_single
@@ -31,10 +31,8 @@ def spoken_lines(lines: DataFrame) -> DataFrame:
 
 
 def _parts(spoken: DataFrame) -> DataFrame:
-    said = spoken.select("*", F.posexplode(split_dialogue("line")).alias("part_no", "part"))
-    return said.select(*spoken.columns, "part_no", F.col("part.type").alias("type"),
-                       speakable_text(F.col("part.text")).alias("text")
-                       ).where(F.col("text").isNotNull())
+    said = spoken.select(*spoken.columns, F.explode(speakable_parts("line")).alias("part"))
+    return said.select(*spoken.columns, "part.*")
 
 
 PLAN = ["book_id", "chapter_no", "chapter", "line_no", "part_no", "type", "speaker", "voice",

@@ -52,25 +52,36 @@ def script_rows(script: DataFrame) -> DataFrame:
                          F.to_json(F.struct("speaker", "line")).alias("value"))
 
 
-ROWS_PER_FILE = 1 << 20
+ROWS_PER_PART = 1 << 20
 
 
 def write_ordered_text(df: DataFrame, pos: str, path: str, keys=("book_id",)) -> None:
-    """One folder per book with text files; file order and row order are the book's order.
+    """One folder per book and part with text files, rows in the book's order.
 
-    A book is cut into files of ROWS_PER_FILE rows, so a long one is written by many tasks;
-    `part` makes the folders of a book sort in order.
+    A book is cut into parts of ROWS_PER_PART rows, so a long one is written by many tasks; the
+    parts' names sort in order. For the books one means to hand out: a folder each is too many
+    for a whole corpus.
     """
-    part = F.floor(F.col(pos) / ROWS_PER_FILE).cast("bigint")
+    part = F.floor(F.col(pos) / ROWS_PER_PART).cast("bigint")
     cut = df.withColumn("part", F.lpad(part.cast("string"), 8, "0"))
     (cut.repartition(*keys, "part").sortWithinPartitions(*keys, "part", pos)
         .select(*keys, "part", "value").write.partitionBy(*keys, "part").mode("overwrite")
         .text(path))
 
 
-def write_script(script: DataFrame, path: str) -> None:
-    """One JSON object per line, in order; what was there is replaced."""
-    write_ordered_text(script_rows(script), "item_no", path)
+def write_script(script: DataFrame, path: str, per_book: bool = False) -> None:
+    """JSON rows in order; what was there is replaced.
+
+    By default rows carry book_id and item_no and many books share a file, each in one piece
+    and in order. With `per_book` every book gets a folder of plain speaker/line rows.
+    """
+    if per_book:
+        write_ordered_text(script_rows(script), "item_no", path)
+        return
+    part = F.floor(F.col("item_no") / ROWS_PER_PART)
+    (script.withColumn("__part", part).repartition("book_id", "__part")
+        .sortWithinPartitions("book_id", "item_no")
+        .select("book_id", "item_no", "speaker", "line").write.mode("overwrite").json(path))
 
 
 def save_text(books: DataFrame, path: str) -> None:

@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scriptmill.functions.clean import (
-    ascii_punct, close_quotes, is_only_punctuation, speakable_text)
-from scriptmill.functions.segment import split_dialogue
+from scriptmill.functions.clean import ascii_punct, close_quotes, is_only_punctuation
+from scriptmill.functions.segment import speakable_parts
 from scriptmill.functions.speech import prepare_for_tts
 from scriptmill.operators.registry import REGISTRY, REGISTRY_COLUMNS, Roster, clean_names
 from scriptmill.session import new_path
@@ -38,13 +37,13 @@ def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
 def clean_line_stream(lines: DataFrame) -> DataFrame:
     """Cleaned, prepared and spoken parts of a stream of lines. Without state, so a batch of the
     same lines gives the same rows."""
-    cleaned = lines.withColumn("line", close_quotes(ascii_punct("line")))
-    ready = prepare_for_tts(cleaned, "line", "line").where(~is_only_punctuation("line"))
+    # Nothing but punctuation stays so through all later rules; asking first keeps the filter
+    # off the prepared text, which it would otherwise have made twice.
+    worded = lines.withColumn("line", ascii_punct("line")).where(~is_only_punctuation("line"))
+    ready = prepare_for_tts(worded.withColumn("line", close_quotes("line")), "line", "line")
     keys = [c for c in lines.columns if c != "line"]
-    return ready.select(*keys, F.posexplode(split_dialogue("line")).alias("part_no", "part")
-                        ).select(*keys, "part_no", F.col("part.type").alias("type"),
-                                 speakable_text(F.col("part.text")).alias("text")
-                                 ).where(F.col("text").isNotNull())
+    return ready.select(*keys, F.explode(speakable_parts("line")).alias("part")).select(
+        *keys, "part.*")
 
 
 CHANGES = REGISTRY + ", removed boolean"
