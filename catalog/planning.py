@@ -35,10 +35,9 @@ def book_options(spark, sf_dir):
 
 
 def timeline(spark, sf_dir):
-    spoken = narration.spoken_lines(manuscript(spark, sf_dir))
-    segments = spoken.select("book_id", "line_no",
-                             (F.length("line") * 40).cast("bigint").alias("duration_ms"))
-    return narration.chapter_timeline(narration.chapter_durations(spoken, segments))
+    spoken, chapters = narration.spoken_lines(manuscript(spark, sf_dir))
+    return narration.chapter_timeline(narration.chapter_durations(
+        spoken, chapters, (F.length("line") * 40).cast("bigint")))
 
 
 def metadata_tags(spark, sf_dir):

@@ -98,7 +98,7 @@ def snippets_of_page(spark, sf_dir):
     html = F.expr("case when page_id % 5 = 0 then replace(html, '<p>', '<div>') else html end")
     pages = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
     return with_top_snippets(pages, "html", "texts").select(
-        "page_id", F.posexplode("texts").alias("nth", "text")).select(
+        "page_id", F.posexplode(F.slice("texts", 1, 5)).alias("nth", "text")).select(
         "page_id", F.col("nth").cast("bigint").alias("nth"), "text")
 
 

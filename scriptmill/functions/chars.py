@@ -20,6 +20,11 @@ def column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """`body` of a value that it uses several times and that should be made once."""
+    return F.get(F.transform(F.array(column(value)), body), F.lit(0))
+
+
 def strip(c) -> Column:
     return F.btrim(column(c), F.lit(WS_CHARS))
 

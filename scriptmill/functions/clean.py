@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from scriptmill import fixed
 from scriptmill.functions.chars import (
-    WORD, WS, all_lines_of, column, is_blank, lines_of, strip)
+    WORD, WS, all_lines_of, column, is_blank, let, lines_of, strip)
 
 PUNCTUATION = r"""!-/:-@\[-`{-~—–…‚„‹›«»‰‱"""
 TAG = "<(?:" + "|".join(fixed.EMOTIONS) + ")>"
@@ -28,7 +28,10 @@ def close_quotes(line) -> Column:
     A line that does not end in a quote gets it at the end. One that does gets it before the
     first character that neither is a quote nor stands beside one, else at the start.
     """
-    line = column(line)
+    return let(line, _close_quotes)
+
+
+def _close_quotes(line: Column) -> Column:
     odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
     inserted = F.regexp_replace(line, r'(?s)\A(.*?)(?<!")([^"])(?!")', '$1"$2')
     return (F.when(~odd, line)
@@ -53,7 +56,7 @@ def extract_main_content(text, start: str = "PROLOGUE", end: str = "ABOUT THE AU
         return F.length(text) - F.length(F.substring_index(text, marker, -1)) - len(marker)
 
     width = F.greatest(last_at(end) - last_at(start), F.lit(0))
-    body = strip(F.substring(text, last_at(start) + 1, width))
+    main = F.when(found, strip(F.substring(text, last_at(start) + 1, width)))
     marks = [m.lower() for m in (start, end)] + fixed.SECTION_WORDS
 
     def is_section(line):
@@ -62,14 +65,17 @@ def extract_main_content(text, start: str = "PROLOGUE", end: str = "ABOUT THE AU
             hit = hit | F.contains(F.lower(line), F.lit(mark))
         return hit
 
-    lines = lines_of(body)
-    flags = F.transform(lines, is_section)
-    head = F.array_position(flags, False).cast("int")
-    tail = F.array_position(F.reverse(flags), False).cast("int")
-    trimmed = F.when(head == 0, F.lit("")).otherwise(strip(F.array_join(
-        F.slice(lines, F.greatest(head, F.lit(1)),
-                F.greatest(F.size(lines) - tail - head + 2, F.lit(0))), "\n")))
-    return F.when(found & (F.length(body) >= min_chars), trimmed).otherwise(text)
+    def trimmed(lines):
+        flags = F.transform(lines, is_section)
+        head = F.array_position(flags, False).cast("int")
+        tail = F.array_position(F.reverse(flags), False).cast("int")
+        return F.when(head == 0, F.lit("")).otherwise(strip(F.array_join(
+            F.slice(lines, F.greatest(head, F.lit(1)),
+                    F.greatest(F.size(lines) - tail - head + 2, F.lit(0))), "\n")))
+
+    cut = let(main, lambda body: F.when(F.length(body) >= min_chars,
+                                        let(lines_of(body), trimmed)))
+    return F.coalesce(cut, text)
 
 
 def is_only_punctuation(text) -> Column:

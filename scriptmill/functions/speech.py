@@ -9,18 +9,23 @@ from scriptmill.functions.chars import (
 
 def needs_no_stop(line) -> Column:
     """Very short lines, and lines that end in an abbreviation."""
-    abbreviation = "|".join(fixed.ABBREVIATIONS)
+    line = column(line)
+    # The longest abbreviation, its dot, and the character before it.
+    tail = F.substring(line, -6, 6)
+    abbreviation = rf"(?i){NOT_AFTER_WORD}(?:{'|'.join(fixed.ABBREVIATIONS)})\.\z"
     return ((F.length(strip(line)) <= 2)
-            | column(line).rlike(rf"(?i){NOT_AFTER_WORD}(?:{abbreviation})\.\z"))
+            | (F.endswith(line, F.lit(".")) & tail.rlike(abbreviation)))
 
 
 def resolve_colons(line) -> Column:
     """Times and ratios without a colon; any other colon becomes a dash."""
     clock = rf"{NOT_AFTER_WORD}(\p{{Nd}}{{1,2}}):(\p{{Nd}}{{2}})[{WS}]*(AM|PM|am|pm)?{EDGE}"
     ratio = rf"{NOT_AFTER_WORD}(\p{{Nd}}+):(\p{{Nd}}+){NOT_BEFORE_WORD}"
-    out = strip(F.regexp_replace(column(line), clock, "$1.$2 $3"))
-    out = F.regexp_replace(out, ratio, "$1 to $2")
-    out = F.replace(out, F.lit(":"), F.lit(" -"))
+    line = column(line)
+    freed = F.regexp_replace(strip(F.regexp_replace(line, clock, "$1.$2 $3")), ratio, "$1 to $2")
+    # Most lines have no colon and are spared the two searches.
+    out = F.when(F.contains(line, F.lit(":")), F.replace(freed, F.lit(":"), F.lit(" -"))
+                 ).otherwise(line)
     return strip(F.regexp_replace(out, rf"[{WS}]+", " "))
 
 

@@ -3,8 +3,8 @@
 from pyspark.sql import Column, functions as F
 
 from scriptmill import fixed
-from scriptmill.functions.chars import WORD, WS, column, interleave, is_blank, lines_of, strip, \
-    words_of
+from scriptmill.functions.chars import (
+    WORD, WS, column, interleave, is_blank, let, lines_of, strip, words_of)
 from scriptmill.functions.clean import TAG, has_emotion_tag, strip_emotion_tags
 
 TAGGED_QUOTE = rf'"[^"]*{TAG}[^"]*"'
@@ -51,8 +51,12 @@ def own_repair(line, original) -> Column:
     """A line's repair from itself alone: an orphan loses its tags, quotations get their stop."""
     line = column(line)
     bare = strip(strip_emotion_tags(line))
-    kept = F.when(is_orphan(line), F.when(bare != "", bare).otherwise(
-        F.coalesce(column(original), F.lit("")))).otherwise(line)
+    kept = F.when(has_emotion_tag(line) & (F.length(bare) < MIN_LINE_CHARS), F.when(
+        bare != "", bare).otherwise(F.coalesce(column(original), F.lit("")))).otherwise(line)
+    return let(kept, _stop_quotes)
+
+
+def _stop_quotes(kept: Column) -> Column:
     return F.when(F.contains(kept, F.lit('"')) & has_emotion_tag(kept),
                   fix_tag_punctuation(kept)).otherwise(kept)
 
@@ -63,15 +67,23 @@ def repair_orphans(text, original) -> Column:
     A line is changed by its own repair and then by the line after it only, so it is enough to
     look one line ahead.
     """
-    lines, originals = lines_of(text), lines_of(original)
-    repaired = F.transform(lines, lambda ln, i: own_repair(ln, F.get(originals, i)))
+    both = F.struct(lines_of(text).alias("new"), lines_of(original).alias("old"))
+
+    def repaired(b):
+        def line(ln, i):
+            own = own_repair(ln, F.get(b["old"], i))
+            following = F.get(b["new"], i + 1)
+
+            def receive(kept):
+                takes = is_orphan(following) & F.contains(kept, F.lit('"'))
+                return F.when(takes, move_tag_to_dialogue(kept, first_tag(following))
+                              ).otherwise(kept)
+
+            return let(own, receive)
 
-    def receive(own, i):
-        following = F.get(lines, i + 1)
-        takes = is_orphan(following) & F.contains(own, F.lit('"'))
-        return F.when(takes, move_tag_to_dialogue(own, first_tag(following))).otherwise(own)
+        return F.array_join(F.transform(b["new"], line), "\n")
 
-    return F.array_join(F.transform(repaired, receive), "\n")
+    return let(both, repaired)
 
 
 def found_tags(text) -> Column:
@@ -135,12 +147,13 @@ def validate_tagged(enhanced, original) -> Column:
 
 def validate_by_line(enhanced, original) -> Column:
     """Every line of a text validated alone; blank lines and missing responses stay as they were."""
-    answers = lines_of(enhanced)
+    def by_line(answers):
+        def checked(line, i):
+            answer = clean_response(F.get(answers, i))
+            usable = ~is_blank(line) & answer.isNotNull() & reject_reason(answer, line).isNull()
+            # One line has no neighbours, so its own repair is the whole repair.
+            return F.when(usable, own_repair(answer, line)).otherwise(line)
 
-    def checked(line, i):
-        answer = clean_response(F.get(answers, i))
-        usable = ~is_blank(line) & answer.isNotNull() & reject_reason(answer, line).isNull()
-        # One line has no neighbours, so its own repair is the whole repair.
-        return F.when(usable, own_repair(answer, line)).otherwise(line)
+        return F.array_join(F.transform(lines_of(original), checked), "\n")
 
-    return F.array_join(F.transform(lines_of(original), checked), "\n")
+    return let(lines_of(enhanced), by_line)

@@ -60,6 +60,20 @@ class Latest(Spec):
         return F.coalesce(F.last(v, ignorenulls=True).over(upto), carry)
 
 
+class LatestMark(Latest):
+    """`Latest` for texts that few rows have.
+
+    The block table lists a block's marks. Text cannot be kept in a hash aggregation's buffer,
+    so the plain form would sort every row on its way to the block table.
+    """
+
+    def summary(self, v, pos):
+        return F.collect_list(F.when(v.isNotNull(), F.struct(pos.alias("pos"), v.alias("mark"))))
+
+    def carried(self, s, before, whole):
+        return F.last(F.array_max(s)["mark"], ignorenulls=True).over(before)
+
+
 class Previous(Latest):
     """Last non-null value before this row."""
 
@@ -80,20 +94,33 @@ class WholeSum(Spec):
         return carry
 
 
+def _placed(df, pos, specs, block_rows):
+    first = pos if isinstance(pos, str) else pos[0]
+    return df.withColumn(BLOCK, block_of(first, block_rows)).withColumns(
+        {f"__v_{name}": spec.value for name, spec in specs.items()})
+
+
+def block_summary(df: DataFrame, keys: Sequence[str], pos: str | Sequence[str],
+                  specs: dict[str, Spec], block_rows: int = BLOCK_ROWS,
+                  **more: Column) -> DataFrame:
+    """The block table of `running`: keys, BLOCK, a column `__s_<name>` per spec, and `more`
+    aggregates. To be given to `running` where it is needed for something else too."""
+    place = F.col(pos) if isinstance(pos, str) else F.struct(*pos)
+    return _placed(df, pos, specs, block_rows).groupBy(*keys, BLOCK).agg(*[
+        spec.summary(F.col(f"__v_{name}"), place).alias(f"__s_{name}")
+        for name, spec in specs.items()], *[agg.alias(name) for name, agg in more.items()])
+
+
 def running(df: DataFrame, keys: Sequence[str], pos: str | Sequence[str], specs: dict[str, Spec],
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, summary: DataFrame | None = None) -> DataFrame:
     """Adds one column per spec, computed over each key's rows in `pos` order.
 
     With several order columns, blocks are cut by the first one.
     """
     order = [pos] if isinstance(pos, str) else list(pos)
-    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     at = [*keys, BLOCK]
-    rows = df.withColumn(BLOCK, block_of(order[0], block_rows)).withColumns(
-        {f"__v_{name}": spec.value for name, spec in specs.items()})
-    summary = rows.groupBy(*at).agg(*[
-        spec.summary(F.col(f"__v_{name}"), place).alias(f"__s_{name}")
-        for name, spec in specs.items()])
+    if summary is None:
+        summary = block_summary(df, keys, pos, specs, block_rows)
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*at, *[
@@ -102,7 +129,7 @@ def running(df: DataFrame, keys: Sequence[str], pos: str | Sequence[str], specs:
     inside = Window.partitionBy(*at).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(carry, at)
+    joined = _placed(df, pos, specs, block_rows).join(carry, at)
     return joined.select(*df.columns, *[
         spec.result(F.col(f"__v_{name}"), F.col(f"__c_{name}"), upto, earlier).alias(name)
         for name, spec in specs.items()])

@@ -3,31 +3,25 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptmill import fixed
-from scriptmill.functions.chars import column, is_blank, strip
+from scriptmill.functions.chars import column, strip
 from scriptmill.functions.clean import (
     escape_metadata, is_only_punctuation, is_safe_path, sanitize_title)
-from scriptmill.functions.segment import chapter_title, speakable_parts
-from scriptmill.operators.chapters import INTRODUCTION, chapter_table
-from scriptmill.operators.ordered import Latest, RunningSum, SumBefore, running
+from scriptmill.functions.segment import speakable_parts
+from scriptmill.operators.chapters import number_chapters
+from scriptmill.operators.ordered import RunningSum, SumBefore, running
 from scriptmill.operators.voices import assign_voice_multi, assign_voice_single
 
 KEYS = ["book_id"]
 
 
-def spoken_lines(lines: DataFrame) -> DataFrame:
-    """Lines that are read aloud, renumbered without the blank ones, with their chapter.
-
-    Numbering and chapters come from one pass over each book's blocks.
-    """
-    spoken = ~is_only_punctuation("line")
+def spoken_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines that are read aloud, renumbered without the blank ones, with their chapter; and the
+    chapters with their numbers."""
     marked = lines.withColumn("line", strip("line"))
-    placed = running(marked, KEYS, "line_no", {
-        "__no": SumBefore((~is_blank("line")).cast("bigint")),
-        "__title": Latest(F.when(spoken, chapter_title("line")))})
-    return placed.where(spoken).select(
-        "book_id", F.col("__no").alias("line_no"),
-        *[c for c in lines.columns if c not in ("book_id", "line_no", "line")], "line",
-        F.coalesce("__title", F.lit(INTRODUCTION)).alias("chapter"))
+    nonblank = (F.col("line") != "").cast("bigint")
+    spoken, chapters = number_chapters(marked, ~is_only_punctuation("line"),
+                                       specs={"__no": SumBefore(nonblank)})
+    return spoken.withColumn("line_no", F.col("__no")).drop("__no"), chapters
 
 
 def _parts(spoken: DataFrame) -> DataFrame:
@@ -39,36 +33,26 @@ PLAN = ["book_id", "chapter_no", "chapter", "line_no", "part_no", "type", "speak
         "text"]
 
 
-def _with_chapter_numbers(voiced: DataFrame, spoken: DataFrame) -> DataFrame:
-    chapters = chapter_table(spoken).select("book_id", "chapter", "chapter_no")
-    return voiced.join(chapters, ["book_id", "chapter"]).select(*PLAN)
-
-
 def narration_plan_single(lines: DataFrame, engine: str, gender: str) -> DataFrame:
     """One row per spoken part: narration in one voice, dialogue in another."""
-    spoken = spoken_lines(lines.select("book_id", "line_no", "line"))
+    spoken, chapters = spoken_lines(lines.select("book_id", "line_no", "line"))
     voiced = assign_voice_single(_parts(spoken), engine, gender).withColumn(
         "speaker", F.lit(None).cast("string"))
-    return _with_chapter_numbers(voiced, spoken)
+    return voiced.join(chapters, ["book_id", "chapter"]).select(*PLAN)
 
 
 def narration_plan_multi(script: DataFrame, characters: DataFrame, engine: str,
                          gender: str) -> DataFrame:
     """One row per spoken part of a script: narration in the narrator's voice, dialogue in the
     speaker's. Items keep their numbers, as scripts have no lines to leave out."""
-    items = script.withColumnRenamed("item_no", "line_no")
-    spoken = ~is_only_punctuation("line")
-    placed = running(items.withColumn("line", strip("line")), KEYS, "line_no", {
-        "__title": Latest(F.when(spoken, chapter_title("line")))})
-    kept = placed.where(spoken).select(
-        "book_id", "line_no", "speaker", "line",
-        F.coalesce("__title", F.lit(INTRODUCTION)).alias("chapter"))
+    items = script.withColumnRenamed("item_no", "line_no").withColumn("line", strip("line"))
+    spoken, chapters = number_chapters(items, ~is_only_punctuation("line"))
     # Casting the narration parts as the narrator keeps them out of the join with characters.
-    cast = _parts(kept).withColumnRenamed("speaker", "__said").withColumn(
+    cast = _parts(spoken).withColumnRenamed("speaker", "__said").withColumn(
         "speaker", F.when(F.col("type") == "narration", "narrator").otherwise(F.col("__said")))
     voiced = assign_voice_multi(cast, characters, engine, gender).withColumn(
         "speaker", F.col("__said"))
-    return _with_chapter_numbers(voiced, kept)
+    return voiced.join(chapters, ["book_id", "chapter"]).select(*PLAN)
 
 
 def voice_rollup(plan: DataFrame) -> DataFrame:
@@ -106,11 +90,10 @@ def chapter_timeline(chapters: DataFrame, pause_ms: int = 1000) -> DataFrame:
     return timed.withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
 
 
-def chapter_durations(spoken: DataFrame, segments: DataFrame) -> DataFrame:
-    """Sum of the segments of every chapter: book_id, chapter_no, chapter, duration_ms."""
-    lengths = spoken.join(segments, ["book_id", "line_no"]).groupBy("book_id", "chapter").agg(
-        F.sum("duration_ms").alias("duration_ms"))
-    return lengths.join(chapter_table(spoken), ["book_id", "chapter"]).select(
+def chapter_durations(spoken: DataFrame, chapters: DataFrame, duration_ms: Column) -> DataFrame:
+    """Sum of `duration_ms` over every chapter: book_id, chapter_no, chapter, duration_ms."""
+    lengths = spoken.groupBy("book_id", "chapter").agg(F.sum(duration_ms).alias("duration_ms"))
+    return lengths.join(chapters, ["book_id", "chapter"]).select(
         "book_id", "chapter_no", "chapter", "duration_ms")
 
 
