@@ -1,8 +1,14 @@
 """Registered queries over the given tables, with the SQL that checks them."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from catalog import (
     budgets, casting, cleaning, planning, registry, segmenting, sources, streams, tagging, windows)
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SECTIONS = [sources, cleaning, segmenting, casting, windows, budgets, tagging, registry, planning,
             streams]
 

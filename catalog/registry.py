@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from catalog import sqltext as s
-from catalog.budgets import narrative
+from catalog.budgets import NARRATIVE_SQL, chunks_sql, narrative
 from catalog.casting import MANUSCRIPT_SCRIPT_SQL, lower_script
 from catalog.data import (
-    CHAR_OPS, CHAR_OPS_SQL, CHARACTERS_SQL, char_ops, characters, manuscript, ms, table)
+    CHAR_OPS_SQL, CHARACTERS_SQL, char_ops, characters, manuscript, ms, table)
 from catalog.segmenting import ITEMS_SQL
-from catalog.windows import context_sql, dialogue_context, speaking_items
+from catalog.windows import context_sql, speaking_items, windows_sql
 from scriptmill.functions.paragraphs import join_paragraphs
 from scriptmill.operators import budgets, registry, windows
 
@@ -75,8 +75,11 @@ def tagging_requests(spark, sf_dir):
                                  registry.tagging_text(join_paragraphs("text")))
 
 
-def shout(texts):
-    return [t.upper() if len(t) % 7 else 1 / 0 for t in texts]
+def underline(texts):
+    """Stands for a model; fails on the texts that hold a comma."""
+    if any("," in t for t in texts):
+        raise ValueError("no commas, please")
+    return [t.replace(" ", "_") for t in texts]
 
 
 def run_rowwise(spark, sf_dir):
@@ -84,7 +87,7 @@ def run_rowwise(spark, sf_dir):
     requests = table(spark, sf_dir, "documents").select(
         F.col("source").alias("book_id"), F.col("doc_id").alias("key"),
         F.substring("text", 1, 40).alias("user_text"))
-    return registry.run_rowwise(requests, shout)
+    return registry.run_rowwise(requests, underline)
 
 
 def attribution_stats(spark, sf_dir):
@@ -105,7 +108,53 @@ QUERIES = {
     "attribution_stats": attribution_stats,
 }
 
+# The fold over batches as a recursion whose state is a book's list of characters.
+FOLD_SQL = f"""{CHAR_OPS_SQL},
+tidy as (select * exclude (name), {s.strip("lower(name)")} as name from ops),
+batches as (select book_id, batch_no, list({{'op_no': op_no, 'kind': operation, 'name': name,
+  'old': existing_name, 'age': age, 'gender': gender, 'd': description}} order by op_no) as ops,
+  row_number() over (partition by book_id order by batch_no) as k from tidy group by book_id, batch_no),
+fold as (
+  select distinct book_id, cast(0 as bigint) as k, [
+    {{'name': 'narrator', 'age': 'adult', 'gender': 'female', 'd': 'The narrator of the story',
+      'sb': cast(-1 as bigint), 'so': cast(0 as bigint), 'lb': cast(-1 as bigint)}},
+    {{'name': 'unknown', 'age': 'adult', 'gender': 'unknown', 'd': 'Unknown or ambiguous speaker',
+      'sb': cast(-1 as bigint), 'so': cast(1 as bigint), 'lb': cast(-1 as bigint)}}] as chars from batches
+  union all
+  select book_id, k, list_concat(
+    list_filter(chars, lambda c: not list_contains(gone, c.name) and not list_contains(named, c.name)),
+    list_transform(kept, lambda u: {{'name': u.name, 'age': u.age, 'gender': u.gender, 'd': u.d,
+      'sb': coalesce(list_filter(chars, lambda c: c.name = u.name)[1].sb, batch_no),
+      'so': coalesce(list_filter(chars, lambda c: c.name = u.name)[1].so,
+        list_min(list_transform(list_filter(made, lambda m: m.name = u.name), lambda m: m.op_no))),
+      'lb': batch_no}})) as chars
+  from (select *, list_transform(kept, lambda u: u.name) as named from (
+    select *, list_filter(made, lambda u: not list_contains(gone, u.name) and len(list_filter(made,
+      lambda m: m.name = u.name and m.op_no > u.op_no)) = 0) as kept from (
+    select *, list_transform(list_filter(made, lambda u: u.kind = 'merge'), lambda u: u.old) as gone from (
+    select *, list_transform(paired, lambda p: {{'op_no': p.o.op_no, 'name': p.o.name, 'kind': p.o.kind,
+      'old': p.o.old,
+      'age': case when p.o.kind = 'update' then coalesce(p.c.age, p.o.age) else p.o.age end,
+      'gender': case when p.o.kind = 'insert' or p.c is null then p.o.gender
+        when p.o.kind = 'update' then case when p.c.gender = 'unknown' then p.o.gender else p.c.gender end
+        when p.o.gender = 'unknown' then p.c.gender else p.o.gender end,
+      'd': case when p.o.kind = 'insert' or p.c is null or length(p.o.d) > length(p.c.d) then p.o.d
+        when p.o.kind = 'update' then p.c.d else {s.strip("p.c.d || ' ' || p.o.d")} end}}) as made from (
+    select f.book_id, b.k, b.batch_no, f.chars, list_filter(list_transform(b.ops, lambda o: {{'o': o,
+      'c': list_filter(f.chars, lambda c: c.name = case when o.kind = 'merge' then o.old else o.name end)[1]}}),
+      lambda p: p.o.kind <> 'merge' or p.c is not null) as paired
+    from fold f join batches b on b.book_id = f.book_id and b.k = f.k + 1)))))),
+folded as (select book_id, unnest(chars) as c from fold
+  qualify k = max(k) over (partition by book_id))
+select book_id, c.name as name, c.age as age, c.gender as gender, c.d as description,
+  c.sb as seen_batch, c.so as seen_op, c.lb as last_batch,
+  case when c.name = 'narrator' and c.lb = -1 then 0 else case c.gender
+    when 'male' then case c.age when 'child' then 4 else 1 end
+    when 'female' then case c.age when 'child' then 10 when 'adult' then 7 else 6 end
+    else 5 end end as gender_score from folded"""
+
 SQL = {
+    "apply_char_ops": "with recursive " + FOLD_SQL,
     "gender_score": f"""with {CHAR_OPS_SQL} select book_id, batch_no, op_no, case gender
         when 'male' then case age when 'child' then 4 else 1 end
         when 'female' then case age when 'child' then 10 when 'adult' then 7 else 6 end
@@ -168,6 +217,22 @@ SQL = {
           || chr(10) || '</context_after>' as user_text
           from contexts join items using (book_id, item_no))
         select *, 'match' as kind, {s.tokens("user_text")} as tokens from g"""),
+    "run_rowwise": """select source as book_id, doc_id as key,
+        case when not contains(substr(text, 1, 40), ',') then replace(substr(text, 1, 40), ' ', '_') end
+          as response,
+        case when contains(substr(text, 1, 40), ',') then 'ValueError: no commas, please' end as error
+        from documents""",
+    "tagging_requests": ms(f"""{NARRATIVE_SQL},
+        {windows_sql(2, "narrative")},
+        inside as (select n.book_id, n.line_no, n.line, n.line_no = w.start_line as first
+          from narrative n join windows w on n.book_id = w.book_id and n.line_no >= w.start_line
+          and n.line_no < w.end_line),
+        {chunks_sql("inside", 200, "first")},
+        g as (select c.book_id, c.chunk_no as key, '===== TEXT TO PROCESS =====' || chr(10)
+          || string_agg(n.line, ' ||| ' order by n.line_no) || chr(10) || '===== END TEXT ====='
+          as user_text from chunks c join narrative n on n.book_id = c.book_id
+          and n.line_no >= c.start_line and n.line_no < c.end_line group by 1, 2)
+        select *, 'tag' as kind, {s.tokens("user_text")} as tokens from g""", True),
     "attribution_stats": ms(f"""{MANUSCRIPT_SCRIPT_SQL}, {CHARACTERS_SQL},
         a as (select book_id, count(*) as items, count(distinct lower(speaker)) as speakers,
           count(*) filter (where speaker <> 'narrator') as attributed_lines from script group by all),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from scriptmill import fixed
 from scriptmill.functions.chars import (
-    NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD, WS, column, interleave, is_blank, strip)
+    NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD, WS, column, interleave, let, strip)
 from scriptmill.functions.clean import sanitize_title, speakable_text
 
 QUOTED = r'"[^"]+"'
@@ -61,7 +61,12 @@ def has_dialogue(line) -> Column:
 
 def is_chapter_heading(line) -> Column:
     """`Chapter` or `Part`, then digits or an English number word (hyphens allowed)."""
+    # Few lines start like a heading; the others are spared the look at number words.
     token = F.lower(F.regexp_extract(column(line), HEADING, 1))
+    return F.when(column(line).rlike(HEADING), let(token, _is_number)).otherwise(False)
+
+
+def _is_number(token: Column) -> Column:
     words = F.filter(F.split(token, "-", -1), lambda w: w.isin(fixed.NUMBER_WORDS))
 
     def count(word):
