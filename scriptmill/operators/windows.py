@@ -125,8 +125,10 @@ def dialogue_context(items: DataFrame, max_tokens: int = 1000, limit: int = 30,
     ).otherwise(F.col("content"))
     shown = with_neighbours(
         items.select("book_id", "item_no", "type", "content", "original_line",
-                     said.alias("said")).withColumns(
-            {"said_n": tokens("said"), "content_n": tokens("content")}),
+                     said.alias("said"), tokens("content").alias("content_n")).withColumn(
+            # Only what is shown with its speaker is counted a second time.
+            "said_n", F.when(F.col("said") == F.col("content"), F.col("content_n"))
+            .otherwise(tokens("said"))),
         "item_no", limit, limit, block_rows=4096)
     near = Window.partitionBy("book_id", BLOCK).orderBy("item_no")
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -34,7 +34,10 @@ PLAN = ["book_id", "chapter_no", "chapter", "line_no", "part_no", "type", "speak
 
 
 def narration_plan_single(lines: DataFrame, engine: str, gender: str) -> DataFrame:
-    """One row per spoken part: narration in one voice, dialogue in another."""
+    """One row per spoken part: narration in one voice, dialogue in another.
+
+    Where an engine needs its lines prepared, `prepare_for_tts` comes before this.
+    """
     spoken, chapters = spoken_lines(lines.select("book_id", "line_no", "line"))
     voiced = assign_voice_single(_parts(spoken), engine, gender).withColumn(
         "speaker", F.lit(None).cast("string"))

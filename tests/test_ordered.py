@@ -174,3 +174,25 @@ def test_chapters_merge_repeated_titles(spark):
     assert {(r["chapter"], r["chapter_no"]) for r in numbers.collect()} == {
         (r["chapter"], r["chapter_no"]) for r in table}
     assert rows.count() == len(lines)
+
+
+def test_samples_are_limited_before_the_shuffle(spark):
+    from scriptmill.operators.script import unknown_speakers
+
+    script = spark.createDataFrame([("b", i, f"s{i % 9}", "x" * (i % 90)) for i in range(99)],
+                                   "book_id string, item_no long, speaker string, line string")
+    cast = spark.createDataFrame([("b", "s0")], "book_id string, name string")
+    got = unknown_speakers(script, cast)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Partial") >= 1
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["name"], r["sample_no"]) for r in got.collect()) == [
+        (f"s{i}", k) for i in range(1, 6) for k in (1, 2)]
+
+
+def test_staging_uses_the_folder_the_session_names(spark, tmp_path):
+    from scriptmill.session import new_path, shared_folder
+
+    named = spark.newSession()
+    named.conf.set("spark.checkpoint.dir", str(tmp_path))
+    assert shared_folder(named) == str(tmp_path)
+    assert new_path(named, "x").startswith(str(tmp_path) + "/x-")
