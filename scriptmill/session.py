@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +25,12 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder. Only a session that names none, as in tests, gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="scriptmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named or _own_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"scriptmill-{application}-")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -189,10 +189,21 @@ def test_samples_are_limited_before_the_shuffle(spark):
         (f"s{i}", k) for i in range(1, 6) for k in (1, 2)]
 
 
-def test_staging_uses_the_folder_the_session_names(spark, tmp_path):
+class Session:
+    """What staging asks of a session."""
+
+    def __init__(self, spark, settings):
+        self.sparkContext, self.settings = spark.sparkContext, settings
+
+    @property
+    def conf(self):
+        return self.settings
+
+
+def test_staging_uses_the_folder_the_session_names(spark):
     from scriptmill.session import new_path, shared_folder
 
-    named = spark.newSession()
-    named.conf.set("spark.checkpoint.dir", str(tmp_path))
-    assert shared_folder(named) == str(tmp_path)
-    assert new_path(named, "x").startswith(str(tmp_path) + "/x-")
+    named = Session(spark, {"spark.checkpoint.dir": "hdfs://shared/x"})
+    assert new_path(named, "t").startswith("hdfs://shared/x/t-")
+    own = shared_folder(Session(spark, {}))
+    assert "scriptmill-" in own and own == shared_folder(Session(spark, {}))
