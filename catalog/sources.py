@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import sqltext as s
 from catalog.data import (
-    CHARACTERS_SQL, CONVERSATION_SCRIPT_SQL, characters, conversation_script, manuscript, ms, table)
+    CHARACTERS_SQL, CONVERSATION_SCRIPT_SQL, characters, conversation_script, ms, table)
 from catalog.planning import TIMELINE_SQL, timeline
 from catalog.windows import ASSIGNED_SQL, _page_sql, chapter_lines, chapter_table
 from scriptmill import fixed

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import sqltext as s
-from catalog.data import CHAR_OPS, table
+from catalog.data import CHAR_OPS
 from catalog.registry import FOLD_SQL
 from catalog.segmenting import ready_sql
 from scriptmill.functions.chars import lines_of

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog import sqltext as s
 from catalog.data import manuscript, ms, table
 from catalog.segmenting import ITEMS_SQL
-from scriptmill.functions.clean import ascii_punct
 from scriptmill.functions.paragraphs import (
     join_paragraphs, paragraph_sizes, split_paragraphs, with_top_snippets)
 from scriptmill.functions.tokens import token_count

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from scriptmill import fixed
-from scriptmill.functions.chars import WORD, is_blank, strip
+from scriptmill.functions.chars import WORD, is_blank
 from scriptmill.operators.ordered import SumBefore, WholeSum, running
 
 KEYS = ["book_id"]
