@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from scriptmill.llm import url_filters, warc
+from scriptmill.llm import neighbours, quality, url_filters, warc
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
+    "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_warc": warc.op10_warc,
 }
