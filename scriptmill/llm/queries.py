@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from scriptmill.llm import bpe, language, neighbours, quality, url_filters, warc
+from scriptmill.llm import bpe, language, line_dedup, neighbours, quality, url_filters, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
     "op6_language_id": language.op6_language_id,
@@ -11,6 +12,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 SQL = {
+    "op1_line_dedup": line_dedup.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_warc": warc.SQL,
 }
