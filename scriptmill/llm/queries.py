@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from scriptmill.llm import bpe, language, line_dedup, neighbours, quality, url_filters, warc
+from scriptmill.llm import bpe, decontaminate, language, line_dedup, neighbours, quality, url_filters, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
     "op6_language_id": language.op6_language_id,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_warc": warc.op10_warc,
