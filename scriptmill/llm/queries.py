@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from scriptmill.llm import bpe, decontaminate, language, line_dedup, neighbours, quality, url_filters, warc
+from scriptmill.llm import bpe, decontaminate, jaccard, language, line_dedup, neighbours, quality, url_filters, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_language_id": language.op6_language_id,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_bpe": bpe.op8_bpe,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op5_ngram_jaccard": jaccard.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_warc": warc.SQL,
 }
