@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from scriptmill.llm import bpe, decontaminate, jaccard, language, line_dedup, neighbours, quality, url_filters, warc
+from scriptmill.llm import bpe, decontaminate, jaccard, language, line_dedup, neighbours, quality, substrings, url_filters, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
     "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_language_id": language.op6_language_id,
