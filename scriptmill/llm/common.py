@@ -4,7 +4,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scriptmill.session import stage
 
-__all__ = ["ascii_lower", "held_out", "let", "stage", "table"]
+__all__ = ["ascii_lower", "bounded", "held_out", "let", "stage", "table"]
+
+#: tables of at most so many narrow rows (some 40 bytes each) are broadcast, larger ones joined by a shuffle
+BROADCAST_ROWS = 500_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,3 +29,15 @@ def held_out(doc_id: Column) -> Column:
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, even where `body` refers to it inside a lambda."""
     return F.transform(F.array(value), body)[0]
+
+
+def bounded(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A staged table for a join: broadcast where a count proves that it is small, else joined by a shuffle.
+
+    `weight` says how many narrow rows a row with arrays or texts counts for.
+    """
+    if weight is None:
+        rows = df.limit(BROADCAST_ROWS + 1).count()
+    else:
+        rows = df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

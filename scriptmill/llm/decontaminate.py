@@ -7,14 +7,12 @@ parameters are caught too. Everything is DataFrame functions.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scriptmill.llm.common import let, stage, table
+from scriptmill.llm.common import bounded, let, stage, table
 
 #: words of a window, and how many of them must be literal words in a window of a benchmark item
 WINDOW, LITERALS = 6, 3
 #: shares of an item's windows, and of its slots with one value, from which a document counts as leaked
 COVERAGE, CONSISTENCY = 0.35, 0.5
-#: window and id tables of at most so many rows are broadcast, larger ones joined by a shuffle
-BROADCAST_ROWS = 500_000
 
 NUMBER, NAME, UNIT = "\uE000", "\uE001", "\uE002"
 UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs day days week weeks month months "
@@ -66,11 +64,6 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int, liter
     return kept.join(kept.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast of a staged table that has at most `rows` rows, else the table for a join by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
           item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, literals: int = LITERALS,
           coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:

@@ -6,7 +6,7 @@ Everything is DataFrame functions.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scriptmill.llm.common import let, stage, table
+from scriptmill.llm.common import bounded, let, stage, table
 
 #: lines in the window of the rolling hash
 WINDOW = 2
@@ -75,10 +75,11 @@ def repeated_chunks(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     place = F.struct("_id", "_at")
     first = stage(keyed.groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("n")).where(
         "n > 1").drop("n"), "chunk-digests")  # written, so that AQE can split a hot digest in the join
-    again = stage(keyed.join(first, "digest").select(
+    again = stage(keyed.join(bounded(first), "digest").select(
         "digest", "_id", "_at", "body", (place == F.col("place")).alias("is_first")), "chunks")
     firsts = stage(again.where("is_first").groupBy("digest").agg(F.min("body").alias("first_body")), "first-chunks")
-    return again.where("not is_first").join(firsts, "digest").where("body = first_body").select("_id", "_at")
+    return again.where("not is_first").join(
+        bounded(firsts, F.ceil(F.octet_length("first_body") / 40) + 1), "digest").where("body = first_body").select("_id", "_at")
 
 
 def drop_repeated_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -96,7 +97,7 @@ def drop_repeated_lines(documents: DataFrame, doc_id: str = "doc_id", text: str
     own = F.col("_row").getField(text)
     left = F.array_join(F.transform(F.filter(
         chunk_texts(own), lambda c, k: ~F.array_contains(F.col("_cut"), k)), lambda c: c.body), "\n")
-    joined = rows.join(cut, F.col("_id") == F.col("_cut_id"), "left").withColumn(
+    joined = rows.join(bounded(cut, F.size("_cut")), F.col("_id") == F.col("_cut_id"), "left").withColumn(
         "_text", F.when(F.col("_cut").isNull(), own).otherwise(left))
     return joined.select(*((F.col("_text") if c == text else F.col("_row").getField(c)).alias(c)
                            for c in documents.columns))

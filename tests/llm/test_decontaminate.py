@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from scriptmill.llm import decontaminate as D
+from scriptmill.llm import common, decontaminate as D
 
 ITEM = ("A train leaves the station at 9 km from the old bridge and travels 45 km in 3 hours toward the city where "
         "Alice waits with 12 apples, how many apples are left when the train travels 45 km more?")
@@ -64,7 +64,7 @@ def test_edge_rows(docs, spark):
 
 
 def test_shuffled_when_large(docs, spark, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
     assert D.leaks(docs((1, ITEM), (2, CLEAN)), bench(spark, ITEM)).count() == 1
 
 
