@@ -31,10 +31,10 @@ QUOTED = """concat(replace(text, ',', '"'), case when doc_id % 2 = 0 then '"' el
 MARKED = """case doc_id % 4
   when 0 then concat('CONTENTS PROLOGUE', chr(10), 'PROLOGUE', chr(10), 'The Partners', chr(10), text,
     chr(10), 'Next book', chr(10), 'ABOUT THE AUTHOR ABOUT THE AUTHOR')
-  when 1 then concat('PROLOGUE', text) when 2 then concat('PROLOGUE Chapter', substr(text, 1, 40), 'ABOUT THE AUTHOR')
+  when 1 then concat('PROLOGUE', text) when 2 then concat('PROLOGUE Chapter', text, 'ABOUT THE AUTHOR')
   else concat('ABOUT THE AUTHOR', text, 'PROLOGUE') end"""
 THOUGHT = """case doc_id % 4 when 0 then concat('<think>a', chr(10), 'b</think> ', text, '<think>c</think>')
-  when 1 then concat(substr(text, 1, 30), '</think>', text) when 2 then concat(text, chr(10), '<think> ')
+  when 1 then concat(text, '</think>', text) when 2 then concat(text, chr(10), '<think> ')
   else text end"""
 LOG = "concat('size= 1kB time=0', cast(event_id % 3 as string), ':', cast(user_id % 60 as string), ':', cast(value as string), case when event_id % 4 = 0 then '.5' else ' x time=9:9:9' end)"
 

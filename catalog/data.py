@@ -7,30 +7,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptmill.sources.books import document_lines
 
-LINE_CASE = """case
-  when line_no % 40 = 0 and sec % 4 = 3 then concat('PART Twenty-One ', substr(raw, 1, 12))
-  when line_no % 40 = 0 then concat('Chapter ', cast(sec % 9 + 1 as string), ': Section')
-  when line_no % 40 = 20 then concat('Part of ', raw)
-  when line_no % 8 = 1 then concat(who, ' said, "', raw, '" and left')
-  when line_no % 8 = 2 then concat('"', raw, '" replied ', who, '.')
-  when line_no % 8 = 3 and line_no % 3 = 0 then concat(who, ' laughed at ', raw)
-  when line_no % 8 = 4 then concat('"', raw)
-  when line_no % 8 = 5 then concat(raw, '"')
-  when line_no % 16 = 6 then '...'
-  when line_no % 16 = 14 then ''
-  when line_no % 8 = 7 then concat('“', raw, '” — ', who, '’s note at 3:30 PM…')
-  else raw end"""
-WHO_CASE = """case (line_no % 5) when 0 then 'Mia' when 1 then 'Sam' when 2 then 'Ellie'
+WHO = """case ((doc_id * 3 + pos) % 5) when 0 then 'Mia' when 1 then 'Sam' when 2 then 'Ellie'
   when 3 then 'Jack' else 'Luna' end"""
+# What a document's line becomes: itself, spoken or quoted in some way, with lines put before and after it.
+NUMBER = "(doc_id * 3 + pos)"
+LINE_CASE = f"""case
+  when {NUMBER} % 40 = 20 then concat('Part of ', raw)
+  when {NUMBER} % 8 = 1 then concat({WHO}, ' said, "', raw, '" and left')
+  when {NUMBER} % 8 = 2 then concat('"', raw, '" replied ', {WHO}, '.')
+  when {NUMBER} % 8 = 3 and {NUMBER} % 3 = 0 then concat({WHO}, ' laughed at ', raw)
+  when {NUMBER} % 8 = 4 then concat('"', raw)
+  when {NUMBER} % 8 = 5 then concat(raw, '"')
+  when {NUMBER} % 8 = 7 then concat('“', raw, '” — ', {WHO}, '’s note at 3:30 PM…')
+  else raw end"""
+BEFORE_CASE = f"""case
+  when {NUMBER} % 160 = 120 then concat('PART Twenty-One ', raw)
+  when {NUMBER} % 40 = 0 then concat('Chapter ', cast(cast(floor({NUMBER} / 40) as bigint) % 9 + 1 as string), ': Section')
+  when {NUMBER} % 16 = 6 then '...'
+  when {NUMBER} % 16 = 14 then '' end"""
 
 MANUSCRIPT_SQL = f"""r as (
   select source as book_id, doc_id, i - 1 as pos, string_split(text, chr(10))[i] as raw
   from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
-n as (select book_id, raw,
-  cast(row_number() over (partition by book_id order by doc_id, pos) - 1 as bigint) as line_no
-  from r),
-k as (select *, {WHO_CASE} as who, cast(floor(line_no / 40) as bigint) as sec from n),
-manuscript as (select book_id, line_no, {LINE_CASE} as line from k)"""
+n as (select book_id, doc_id, pos, unnest(case when {BEFORE_CASE} is null then [{LINE_CASE}]
+  else [{BEFORE_CASE}, {LINE_CASE}] end) as line, unnest([1, 2]) as part from r),
+manuscript as (select book_id, cast(row_number() over (partition by book_id order by doc_id, pos, part) - 1 as bigint)
+  as line_no, line from n where line is not null)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def manuscript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id",
-                                                   "text")
-    known = document_lines(docs).withColumnRenamed("line", "raw").withColumns(
-        {"who": F.expr(WHO_CASE), "sec": F.floor(F.col("line_no") / 40).cast("bigint")})
-    return known.select("book_id", "line_no", F.expr(LINE_CASE).alias("line"))
+    """The documents of a source as a book. Every line of every document is in it, whole."""
+    lines = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("book_id"), "doc_id", F.expr(
+            f"flatten(transform(split(text, '\\n'), (raw, pos) -> filter(array({BEFORE_CASE}, {LINE_CASE}),"
+            " x -> x is not null)))").alias("lines"))
+    return document_lines(lines.select("book_id", "doc_id", F.array_join("lines", "\n").alias("text")))
 
 
 def ms(body: str, recursive: bool = False) -> str:
@@ -92,16 +95,16 @@ MANIFEST = """select cast(page_id as string) as book_id,
     when 3 then concat('shelf/', cast(page_id as string))
     when 4 then concat('shelf/it''s ', cast(page_id as string), '/')
     else concat('.hidden', cast(page_id as string)) end as path,
-  case when page_id % 3 = 0 then '' when page_id % 3 = 1 then concat('Title: "', substr(url, 8, 9), '" & more?')
+  case when page_id % 3 = 0 then '' when page_id % 3 = 1 then concat('Title: "', url, '" & more?')
     else concat('No. ', cast(page_id as string), ' / second') end as title,
   case page_id % 9 when 0 then 'm4b' when 1 then 'aac' when 2 then 'm4a' when 3 then 'mp3'
     when 4 then 'wav' when 5 then 'opus' when 6 then 'flac' when 7 then 'm4b' else 'ogg' end
     as output_format,
   case page_id % 7 when 0 then 'male' when 6 then 'other' else 'female' end as narrator_gender,
   case when page_id % 4 = 3 then 'nothing here' else concat(
-    'Title               : The "', substr(url, 8, 9), '"', chr(10), 'Title: Book ',
+    'Title               : The "', url, '"', chr(10), 'Title: Book ',
     cast(page_id as string), ' <i>', chr(10), 'no value', chr(10), 'Author(s): A. Writer: B', chr(10),
-    'Publisher:  ', chr(10), 'Languages: ', substr(html, 28, 2), chr(10), 'Title: Last ',
+    'Publisher:  ', chr(10), 'Languages: ', html, chr(10), 'Title: Last ',
     cast(page_id as string), chr(10), 'Comments: $5; "so" it is') end as metadata_text,
   case page_id % 6
     when 0 then '{"streams":[{"codec_type":"video"},{"codec_type":"audio","sample_rate":"48000","channels":2}],"format":{"duration":"12.5"}}'

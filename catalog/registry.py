@@ -52,7 +52,7 @@ def valid_names(spark, sf_dir):
 
 def extraction_requests(spark, sf_dir):
     items = windows.to_items(manuscript(spark, sf_dir))
-    made = budgets.batch_by_tokens(items, KEYS, "item_no", "content", 600)
+    made = budgets.batch_by_tokens(items, KEYS, "item_no", "content", 2000)
     text = budgets.group_text(items.where(~windows.is_blank("content")), made, KEYS, "item_no",
                               "content", "batch_no")
     return registry.prompt_table(text, "extract", F.col("batch_no"),
@@ -61,7 +61,7 @@ def extraction_requests(spark, sf_dir):
 
 def matching_requests(spark, sf_dir):
     contexts = windows.current_line_context(
-        windows.dialogue_context(speaking_items(spark, sf_dir), limit=5))
+        windows.dialogue_context(speaking_items(spark, sf_dir)))
     return registry.prompt_table(
         contexts, "match", F.col("item_no"),
         registry.matching_text("context_before", "content", "context_after"))
@@ -69,16 +69,16 @@ def matching_requests(spark, sf_dir):
 
 def tagging_requests(spark, sf_dir):
     lines = narrative(spark, sf_dir)
-    made = windows.window_chunks(lines, windows.emotion_windows(lines), max_tokens=200)
+    made = windows.window_chunks(lines, windows.emotion_windows(lines), max_tokens=500)
     text = budgets.group_text(lines, made, KEYS, "line_no", "line", "chunk_no", ["window_no"])
     return registry.prompt_table(text, "tag", F.col("chunk_no"),
                                  registry.tagging_text(join_paragraphs("text")))
 
 
 def underline(texts):
-    """Stands for a model; fails on the texts that hold a comma."""
-    if any("," in t for t in texts):
-        raise ValueError("no commas, please")
+    """Stands for a model; fails on the texts that hold a bar."""
+    if any("|" in t for t in texts):
+        raise ValueError("no bars, please")
     return [t.replace(" ", "_") for t in texts]
 
 
@@ -86,7 +86,7 @@ def run_rowwise(spark, sf_dir):
     """A caller's function over requests made of documents; some of its calls fail."""
     requests = table(spark, sf_dir, "documents").select(
         F.col("source").alias("book_id"), F.col("doc_id").alias("key"),
-        F.substring("text", 1, 40).alias("user_text"))
+        F.col("text").alias("user_text"))
     return registry.run_rowwise(requests, underline)
 
 
@@ -201,14 +201,14 @@ SQL = {
           from items where not {s.blank("content")}),
         f as (select book_id, rn, content, n as total, cast(0 as bigint) as key from t where rn = 1
           union all select t.book_id, t.rn, t.content,
-            case when f.total >= 600 then t.n else f.total + t.n end,
-            f.key + case when f.total >= 600 then 1 else 0 end
+            case when f.total >= 2000 then t.n else f.total + t.n end,
+            f.key + case when f.total >= 2000 then 1 else 0 end
           from f join t on t.book_id = f.book_id and t.rn = f.rn + 1),
         g as (select book_id, key, 'Analyze this text excerpt and extract character information:'
           || chr(10) || chr(10) || '<text_excerpt>' || chr(10) || string_agg(content, chr(10) order by rn)
           || chr(10) || '</text_excerpt>' as user_text from f group by book_id, key)
         select *, 'extract' as kind, {s.tokens("user_text")} as tokens from g""", True),
-    "matching_requests": ms(context_sql(5, 1000) + f""",
+    "matching_requests": ms(context_sql(30, 1000) + f""",
         g as (select book_id, item_no as key, 'Match this dialogue to a known character:' || chr(10)
           || chr(10) || '<context_before>' || chr(10) || context_before || chr(10) || chr(10)
           || '[CURRENT LINE WITH DIALOGUE TAGS]: ' || contexts.original_line || chr(10) || '</context_before>'
@@ -218,16 +218,16 @@ SQL = {
           from contexts join items using (book_id, item_no))
         select *, 'match' as kind, {s.tokens("user_text")} as tokens from g"""),
     "run_rowwise": """select source as book_id, doc_id as key,
-        case when not contains(substr(text, 1, 40), ',') then replace(substr(text, 1, 40), ' ', '_') end
+        case when not contains(text, '|') then replace(text, ' ', '_') end
           as response,
-        case when contains(substr(text, 1, 40), ',') then 'ValueError: no commas, please' end as error
+        case when contains(text, '|') then 'ValueError: no bars, please' end as error
         from documents""",
     "tagging_requests": ms(f"""{NARRATIVE_SQL},
         {windows_sql(2, "narrative")},
         inside as (select n.book_id, n.line_no, n.line, n.line_no = w.start_line as first
           from narrative n join windows w on n.book_id = w.book_id and n.line_no >= w.start_line
           and n.line_no < w.end_line),
-        {chunks_sql("inside", 200, "first")},
+        {chunks_sql("inside", 500, "first")},
         g as (select c.book_id, c.chunk_no as key, '===== TEXT TO PROCESS =====' || chr(10)
           || string_agg(n.line, ' ||| ' order by n.line_no) || chr(10) || '===== END TEXT ====='
           as user_text from chunks c join narrative n on n.book_id = c.book_id

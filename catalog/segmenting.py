@@ -42,10 +42,10 @@ def _rewrite(op, text="line"):
 
 # Lines with more colons, abbreviations, short texts and punctuation after quotes.
 VARIED = """case line_no % 11 when 0 then concat('score 15:3 ', line, ' at 12:45pm, see: ')
-  when 1 then concat(line, ' Mr.') when 2 then concat('a', substr(line, 1, 1))
+  when 1 then concat(line, ' Mr.') when 2 then concat('a ', line)
   when 3 then concat(line, '."') when 4 then concat('"', line, '".') when 5 then concat(line, ',')
-  when 6 then concat('"Yes," Sam replied', substr(line, 1, 20), '!')
-  when 7 then concat(substr(line, 1, 9), '''') else line end"""
+  when 6 then concat('"Yes," Sam replied', line, '!')
+  when 7 then concat(line, '''') else line end"""
 
 
 def varied(spark, sf_dir):

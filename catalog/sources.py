@@ -14,10 +14,25 @@ from scriptmill.session import new_path
 from scriptmill.sources import books, characters as maps, files
 
 
+def as_files(texts, label):
+    """Writes texts (book, pos, value) as one text file per book, in order; returns the files' paths."""
+    path = new_path(texts.sparkSession, label)
+    texts.repartition("book").sortWithinPartitions("book", "pos").select("book", "value").write.partitionBy(
+        "book").text(path)
+    return path + "/*/*.txt"
+
+
+BOOK_OF_PATH = F.regexp_extract("book_id", "book=([^/]+)/", 1)
+
+
 def read_books(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("book_id"), "text")
-    return books.book_lines(docs)
+    """Lines of text files that hold some hundred documents each, written with both kinds of line breaks."""
+    texts = table(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 256).cast("string")).alias("book"),
+        F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n")))
+        .otherwise(F.col("text")).alias("value"))
+    found = books.read_books(spark, as_files(texts, "book-files"))
+    return books.book_lines(found.withColumn("book_id", BOOK_OF_PATH))
 
 
 def number_lines(spark, sf_dir):
@@ -30,9 +45,9 @@ def read_script(spark, sf_dir):
     row = F.to_json(F.struct(F.col("role").alias("speaker"), F.col("text").alias("line")))
     upper = F.to_json(F.struct(F.upper("role").alias("speaker"), F.lit("...").alias("line")))
     texts = table(spark, sf_dir, "conversations").select(
-        F.concat_ws(":", "conv_id", "turn").alias("book_id"),
-        F.concat(F.lit("\n"), row, F.lit("\n \n"), upper, F.lit("\n")).alias("text"))
-    return books.parse_script(texts)
+        F.floor(F.col("conv_id") / 8).cast("string").alias("book"), F.struct("conv_id", "turn").alias("pos"),
+        F.concat(F.lit("\n"), row, F.lit("\n \n"), upper).alias("value"))
+    return books.read_script(spark, as_files(texts, "script-files")).withColumn("book_id", BOOK_OF_PATH)
 
 
 def script_rows(spark, sf_dir):
@@ -98,12 +113,16 @@ _JSON = """'{"speaker":' || to_json(speaker) || ',"line":' || to_json(line) || '
 _LEGEND = ", ".join(f'"{k}":"{v}"' for k, v in fixed.SCORE_LEGEND.items()).replace(", ", ",")
 
 SQL = {
-    "read_books": """with l as (select cast(doc_id as varchar) as book_id, string_split(text, chr(10)) as l
-        from documents) select book_id, unnest(range(0, len(l))) as line_no, unnest(l) as line from l""",
-    "document_lines": ms("""d as (select book_id, line_no, raw as line from n) select * from d"""),
-    "read_script": """select conv_id || ':' || turn as book_id, 0 as item_no, role as speaker, text as line
-        from conversations union all
-        select conv_id || ':' || turn, 1, upper(role), '...' from conversations""",
+    "read_books": """with l as (select source || '-' || (doc_id // 256) as book_id,
+        string_split(string_agg(text, chr(10) order by doc_id) || chr(10), chr(10)) as l from documents group by 1)
+        select book_id, unnest(range(0, len(l))) as line_no, unnest(l) as line from l""",
+    "document_lines": """select source as book_id, row_number() over (partition by source order by doc_id, i) - 1 as line_no,
+        line from (select source, doc_id, unnest(string_split(text, chr(10))) as line,
+          unnest(range(0, len(string_split(text, chr(10))))) as i from documents)""",
+    "read_script": """select cast(conv_id // 8 as varchar) as book_id,
+        row_number() over (partition by conv_id // 8 order by conv_id, turn, k) - 1 as item_no, speaker, line from (
+        select conv_id, turn, 0 as k, role as speaker, text as line from conversations union all
+        select conv_id, turn, 1, upper(role), '...' from conversations)""",
     "script_rows": f"with {CONVERSATION_SCRIPT_SQL} select book_id, item_no, {_JSON} as value from script",
     "write_script": f"with {CONVERSATION_SCRIPT_SQL} select * from script",
     "read_character_map": f"""with {CHARACTERS_SQL} select book_id, name, age, gender, gender_score,

@@ -34,7 +34,7 @@ def char_ops(spark, sf_dir):
 
 
 def progress(spark, sf_dir):
-    done = streams.run_available(streams.progress_log(document_stream(spark, sf_dir)), "progress")
+    done = streams.progress_log(document_stream(spark, sf_dir))
     return done.groupBy("book_id").agg(F.max("completed").alias("completed"))
 
 

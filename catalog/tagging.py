@@ -41,7 +41,7 @@ def fix_punctuation(spark, sf_dir):
         "book_id", "line_no", tagging.fix_tag_punctuation(F.expr(UNSTOPPED)).alias("line"))
 
 
-ORPHANED = "case when line_no % 4 = 2 then concat(substr(line, 1, 11), ' <cough>  ') else concat(line, ' <sigh>') end"
+ORPHANED = "case when line_no % 4 = 2 then case when length(line) < 12 then concat(line, ' <cough>  ') else concat(line, ' <cough> ', line) end else concat(line, ' <sigh>') end"
 
 
 def flag_orphans(spark, sf_dir):
@@ -191,6 +191,7 @@ SQL = {
           unnest(range(0, len(string_split(s.text, chr(10))))) + t.start_line as line_no
           from settled s join tagged t using (book_id, block_no)
           where len(string_split(s.text, chr(10))) = t.end_line - t.start_line)
-        select m.book_id, m.line_no, coalesce(b.tagged, m.line) as line, b.tagged is not null as replaced
+        select m.book_id, m.line_no, coalesce(b.tagged, m.line) as line, b.tagged is not null as replaced,
+          null::varchar as message
         from manuscript m left join back b using (book_id, line_no)"""),
 }

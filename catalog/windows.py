@@ -53,12 +53,12 @@ def speaking_items(spark, sf_dir):
 
 
 def dialogue_context(spark, sf_dir):
-    return windows.dialogue_context(speaking_items(spark, sf_dir), max_tokens=400).select(
+    return windows.dialogue_context(speaking_items(spark, sf_dir)).select(
         "book_id", "item_no", "context_before", "context_after")
 
 
 def current_line_context(spark, sf_dir):
-    contexts = windows.dialogue_context(speaking_items(spark, sf_dir), limit=4)
+    contexts = windows.dialogue_context(speaking_items(spark, sf_dir))
     return windows.current_line_context(contexts).select("book_id", "item_no", "context_before")
 
 
@@ -219,9 +219,9 @@ SQL = {
         from lens left join c using (book_id)"""),
     "token_count": ms(f"t as (select book_id, line_no, {s.tokens('line')} as tokens "
                       "from manuscript) select * from t"),
-    "dialogue_context": ms(context_sql(30, 400) + """ select book_id, item_no, context_before,
+    "dialogue_context": ms(context_sql(30, 1000) + """ select book_id, item_no, context_before,
         context_after from contexts"""),
-    "current_line_context": ms(context_sql(4, 1000) + """ select book_id, item_no, context_before
+    "current_line_context": ms(context_sql(30, 1000) + """ select book_id, item_no, context_before
         || chr(10) || chr(10) || '[CURRENT LINE WITH DIALOGUE TAGS]: ' || original_line
         as context_before from contexts"""),
     "join_paragraphs": f"""with {_PARAGRAPHS} select doc_id,

@@ -13,21 +13,21 @@ SPECIAL = ["narrator", "unknown"]
 def apply_tagged_lines(script: DataFrame, tagged: DataFrame) -> DataFrame:
     """Tagged lines in place of the script's, by position, if the counts of a book agree.
 
-    The counts travel through the block table, so no row waits for its whole book.
+    Rows without a speaker are rows of the script like others.     The counts travel through the block table, so no row waits for its whole book.
     """
     one = F.lit(1).cast("bigint")
-    both = script.withColumnRenamed("line", "__script").join(
+    both = script.withColumnRenamed("line", "__script").withColumn("__s", F.lit(True)).join(
         tagged.select("book_id", F.col("line_no").alias("item_no"), F.col("line").alias("__tag"),
                       F.lit(True).alias("__t")), ["book_id", "item_no"], "full")
     counted = running(both, KEYS, "item_no", {
-        "n_script": WholeSum(F.when(F.col("speaker").isNotNull(), one).otherwise(0)),
+        "n_script": WholeSum(F.when(F.col("__s"), one).otherwise(0)),
         "n_tagged": WholeSum(F.when(F.col("__t"), one).otherwise(0))})
     same = F.col("n_script") == F.col("n_tagged")
     message = F.when(F.col("n_tagged") == 0, "No pre-processed emotion tags found").when(
         same, "Successfully applied pre-processed emotion tags").otherwise(F.format_string(
             "Line count mismatch: %d enhanced lines vs %d speaker-attributed lines",
             F.col("n_tagged"), F.col("n_script")))
-    return counted.where(F.col("speaker").isNotNull()).select(
+    return counted.where(F.col("__s")).select(
         "book_id", "item_no", "speaker",
         F.when(same, F.col("__tag")).otherwise(F.col("__script")).alias("line"),
         (same & (F.col("n_tagged") > 0)).alias("applied"), message.alias("message"))

@@ -1,6 +1,7 @@
 """Session settings and staging of intermediate tables."""
 
 import os
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -23,8 +24,11 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a session that names none, as in tests, gets its own."""
+    """The cluster's shared folder. Only a local session that names none, as in tests, gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or _own_folder(spark.sparkContext.applicationId)
 
 
@@ -33,8 +37,22 @@ def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"scriptmill-{application}-")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes what this application has staged; for when all readers of its results are done."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

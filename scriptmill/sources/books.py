@@ -9,9 +9,9 @@ SCRIPT_ROW = "speaker string, line string"
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file: book_id is its path, text its whole content."""
+    """One row per text file: book_id is its path, text its whole content, each line break as one line feed."""
     return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("book_id"), F.col("value").alias("text"))
+        F.input_file_name().alias("book_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
 def book_lines(books: DataFrame) -> DataFrame:
@@ -33,13 +33,29 @@ def document_lines(documents: DataFrame) -> DataFrame:
         "book_id", (F.col("__first") + F.col("__at")).alias("line_no"), "line")
 
 
-def parse_script(texts: DataFrame) -> DataFrame:
-    """Script rows of JSON-lines texts (book_id, text); blank lines skipped, order kept."""
+def script_texts(texts: DataFrame) -> DataFrame:
+    """Rows of JSON-lines texts (book_id, text): speaker, line, and in `broken` what is not a JSON object.
+
+    Blank lines are skipped, order is kept, broken rows are numbered with the others.
+    """
     lines = texts.select("book_id", F.posexplode(lines_of("text")).alias("at", "row")).where(
         ~is_blank("row")).withColumn("at", F.col("at").cast("bigint"))
     return number_rows(lines, ["book_id"], "at", "item_no").select(
-        "book_id", "item_no", F.from_json(strip("row"), SCRIPT_ROW).alias("r")).select(
-        "book_id", "item_no", "r.speaker", "r.line")
+        "book_id", "item_no", F.from_json(strip("row"), SCRIPT_ROW + ", broken string", {
+            "columnNameOfCorruptRecord": "broken"}).alias("r")).select(
+        "book_id", "item_no", "r.speaker", "r.line", "r.broken")
+
+
+def parse_script(texts: DataFrame) -> DataFrame:
+    """Script rows of JSON-lines texts; a broken row fails the job when it is read."""
+    message = F.concat(F.lit("not a script row: "), F.col("broken"))
+    checked = F.when(F.col("broken").isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col("line"))
+    return script_texts(texts).select("book_id", "item_no", "speaker", checked.alias("line"))
+
+
+def broken_rows(texts: DataFrame) -> DataFrame:
+    """The rows that `parse_script` would fail on: book_id, item_no, broken."""
+    return script_texts(texts).where("broken is not null").select("book_id", "item_no", "broken")
 
 
 def read_script(spark: SparkSession, path: str) -> DataFrame:
@@ -55,14 +71,14 @@ def script_rows(script: DataFrame) -> DataFrame:
 ROWS_PER_PART = 1 << 20
 
 
-def write_ordered_text(df: DataFrame, pos: str, path: str, keys=("book_id",)) -> None:
+def write_ordered_text(df: DataFrame, pos: str, path: str, keys=("book_id",), rows_per_part: int = ROWS_PER_PART) -> None:
     """One folder per book and part with text files, rows in the book's order.
 
-    A book is cut into parts of ROWS_PER_PART rows, so a long one is written by many tasks; the
+    A book is cut into parts of `rows_per_part` rows, so a long one is written by many tasks; the
     parts' names sort in order. For the books one means to hand out: a folder each is too many
     for a whole corpus.
     """
-    part = F.floor(F.col(pos) / ROWS_PER_PART).cast("bigint")
+    part = F.floor(F.col(pos) / rows_per_part).cast("bigint")
     cut = df.withColumn("part", F.lpad(part.cast("string"), 8, "0"))
     (cut.repartition(*keys, "part").sortWithinPartitions(*keys, "part", pos)
         .select(*keys, "part", "value").write.partitionBy(*keys, "part").mode("overwrite")

@@ -2,6 +2,7 @@
 
 import json
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scriptmill.functions.clean import ascii_punct, close_quotes, is_only_punctuation
 from scriptmill.functions.segment import speakable_parts
 from scriptmill.functions.speech import prepare_for_tts
-from scriptmill.operators.registry import REGISTRY, REGISTRY_COLUMNS, Roster, clean_names
+from scriptmill.operators.registry import REGISTRY, Roster, clean_names
 from scriptmill.session import new_path
 
 
@@ -46,38 +47,54 @@ def clean_line_stream(lines: DataFrame) -> DataFrame:
         *keys, "part.*")
 
 
-CHANGES = REGISTRY + ", removed boolean"
+CHANGES = REGISTRY + ", revision long, removed boolean, late boolean"
+CHANGE_COLUMNS = [part.split()[0] for part in CHANGES.split(", ")]
+OP_COLUMNS = ["batch_no", "op_no", "operation", "name", "existing_name", "age", "gender", "description"]
 
 
 def _apply_ops(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    roster = Roster()
+    """The state is the registry before the newest batch, that batch's operations so far, and what was told last."""
+    settled, told = Roster(), Roster()
+    settled.seed()
+    newest, held, revision = None, [], 0
     if state.exists:
-        roster.known, roster.changed = json.loads(state.get[0])
-        roster.known = {name: tuple(v) for name, v in roster.known.items()}
-    else:
-        roster.seed()
-    before = dict(roster.known)
-    ops = pd.concat(list(frames)).sort_values(["batch_no", "op_no"])
-    ops = ops.astype(object).where(ops.notna(), None)
-    for op in ops.itertuples(index=False):
-        roster.add(op)
-    last = int(ops["batch_no"].max())
-    roster.flush()
-    state.update((json.dumps([roster.known, roster.changed]),))
-    changed = [r for r in roster.rows(book_id=key[0])
-               if before.get(r["name"]) != roster.known[r["name"]] or r["seen_batch"] == -1]
-    out = pd.DataFrame(changed, columns=REGISTRY_COLUMNS).assign(removed=False)
-    gone = [{"book_id": key[0], "name": n, "age": None, "gender": None, "description": None,
-             "seen_batch": v[3], "seen_op": v[4], "last_batch": last, "removed": True}
-            for n, v in before.items() if n not in roster.known]
-    yield pd.concat([out, pd.DataFrame(gone, columns=out.columns)]) if gone else out
+        known, changed, newest, held, told.known, revision = json.loads(state.get[0])
+        settled.known, settled.changed = {n: tuple(v) for n, v in known.items()}, changed
+        told.known = {n: tuple(v) for n, v in told.known.items()}
+    ops = pd.concat([f[OP_COLUMNS] for f in frames]).astype(object)
+    ops = [dict(zip(OP_COLUMNS, row, strict=True)) for row in ops.where(ops.notna(), None).itertuples(index=False)]
+    late = [op for op in ops if newest is not None and op["batch_no"] < newest]
+    held += [op for op in ops if newest is None or op["batch_no"] >= newest]
+    held.sort(key=lambda op: (op["batch_no"], op["op_no"]))
+    newest = held[-1]["batch_no"] if held else newest
+    for op in held:
+        if op["batch_no"] < newest:
+            settled.add(SimpleNamespace(**op))
+    settled.flush()
+    held = [op for op in held if op["batch_no"] == newest]
+    now = Roster()
+    now.known, now.changed = dict(settled.known), dict(settled.changed)
+    for op in held:
+        now.add(SimpleNamespace(**op))
+    now.flush()
+    revision += len(ops)
+    state.update((json.dumps([settled.known, settled.changed, newest, held, now.known, revision], default=int),))
+    rows = [r | {"removed": False, "late": False} for r in now.rows(book_id=key[0])
+            if told.known.get(r["name"]) != now.known[r["name"]]]
+    rows += [{"book_id": key[0], "name": n, "seen_batch": v[3], "seen_op": v[4], "last_batch": newest, "removed": True,
+              "late": False} for n, v in told.known.items() if n not in now.known]
+    rows += [{"book_id": key[0], "name": op["name"], "description": json.dumps(op, default=int), "last_batch": op["batch_no"],
+              "seen_op": op["op_no"], "removed": False, "late": True} for op in late]
+    yield pd.DataFrame(rows, columns=CHANGE_COLUMNS).assign(revision=revision)
 
 
 def char_ops_stream(ops: DataFrame) -> DataFrame:
     """Registry changes per book as operations arrive.
 
-    The registry of a book is its state. Batches of a book must arrive in order, each one whole.
-    Rows are new values, or removals of names that were merged away.
+    A book's batches must arrive in order; a batch may come in pieces. Its operations are held until one of
+    a higher batch_no arrives, and every trigger tells the registry as it is with those so far, so the result does
+    not depend on how files fall into triggers. Operations of an older batch change nothing and are told as `late`
+    rows, the operation as JSON in `description`. A task holds one book's registry and one trigger's operations on it.
     """
     return clean_names(ops).groupBy("book_id").applyInPandasWithState(
         _apply_ops, CHANGES, "roster string", "append", GroupStateTimeout.NoTimeout)
@@ -86,9 +103,15 @@ def char_ops_stream(ops: DataFrame) -> DataFrame:
 def latest_registry(changes: DataFrame) -> DataFrame:
     """The registry that a log of changes amounts to."""
     values = F.struct(*[c for c in changes.columns if c not in ("book_id", "name")])
-    return changes.groupBy("book_id", "name").agg(
-        F.max_by(values, "last_batch").alias("v")).select("book_id", "name", "v.*").where(
-        ~F.col("removed")).drop("removed")
+    return changes.where("not late").groupBy("book_id", "name").agg(
+        F.max_by(values, "revision").alias("v")).select("book_id", "name", "v.*").where(
+        ~F.col("removed")).drop("removed", "revision", "late")
+
+
+def late_ops(changes: DataFrame) -> DataFrame:
+    """Operations that came after a newer batch of their book: book_id, batch_no, op_no, operation (JSON)."""
+    return changes.where("late").select("book_id", F.col("last_batch").alias("batch_no"), F.col("seen_op").alias("op_no"),
+                                        F.col("description").alias("operation"))
 
 
 def progress_counts(lines: DataFrame) -> DataFrame:
@@ -96,23 +119,17 @@ def progress_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("book_id").agg(F.count(F.lit(1)).alias("completed"))
 
 
-def _partial_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield frame.groupby("book_id", as_index=False).size().rename(columns={"size": "n"})
-
-
-def _add_counts(key, frames: Iterator[pd.DataFrame], state: GroupState):
-    total = (state.get[0] if state.exists else 0) + sum(int(f["n"].sum()) for f in frames)
-    state.update((total,))
-    yield pd.DataFrame({"book_id": [key[0]], "completed": [total]})
+def progress_log(lines: DataFrame, label: str = "progress") -> DataFrame:
+    """Completed lines per book after every trigger of what is there now, as a table.
 
+    Spark keeps the counts; each trigger's updates are appended under its number, and a repeated trigger overwrites.
+    """
+    spark = lines.sparkSession
+    path = new_path(spark, label)
 
-def progress_log(lines: DataFrame) -> DataFrame:
-    """Completed lines per book after every trigger, for sinks that only append.
+    def write(updates: DataFrame, batch: int) -> None:
+        updates.write.mode("overwrite").parquet(f"{path}/trigger={batch}")
 
-    Lines are counted where they are read, so a busy book sends counts and not lines.
-    """
-    counts = lines.select("book_id").mapInPandas(_partial_counts, "book_id string, n long")
-    return counts.groupBy("book_id").applyInPandasWithState(
-        _add_counts, "book_id string, completed long", "completed long", "append",
-        GroupStateTimeout.NoTimeout)
+    (progress_counts(lines).writeStream.outputMode("update").option("checkpointLocation", path + "-state")
+        .foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("book_id string, completed long").parquet(f"{path}/trigger=*")

@@ -175,7 +175,59 @@ def test_streams_equal_batch(spark, lines):
     stored = stage(lines, "stored")
     parts = streams.run_available(streams.clean_line_stream(streams.table_stream(spark, path, 1)), "parts").collect()
     assert sorted(map(tuple, parts)) == sorted(map(tuple, streams.clean_line_stream(stored).collect()))
-    log = streams.run_available(streams.progress_log(streams.table_stream(spark, path, 1)), "log")
+    log = streams.progress_log(streams.table_stream(spark, path, 1))
     total = lines.count()
     assert log.agg(F.max("completed")).first()[0] == total
     assert streams.progress_counts(stored).first()["completed"] == total
+
+
+def test_scripts_keep_rows_without_a_speaker(spark):
+    script = spark.createDataFrame([("b", 0, None, "x"), ("b", 1, "s", "y")], SCRIPT)
+    tagged = spark.createDataFrame([("b", 0, "X"), ("b", 1, "Y")], "book_id string, line_no long, line string")
+    got = {(r["item_no"], r["speaker"], r["line"], r["applied"]) for r in scripts.apply_tagged_lines(script, tagged).collect()}
+    assert got == {(0, None, "X", True), (1, "s", "Y", True)}
+
+
+def test_line_breaks_and_broken_rows(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\rthree\nfour")
+    assert books.read_books(spark, str(tmp_path)).first()["text"] == "one\ntwo\nthree\nfour"
+    texts = spark.createDataFrame([("b", '{"speaker": "s", "line": "x"}\n\nnot json\n{"speaker": null, "line": "y"}')],
+                                  "book_id string, text string")
+    assert [(r["item_no"], r["broken"]) for r in books.broken_rows(texts).collect()] == [(1, "not json")]
+    with pytest.raises(Exception, match="not a script row: not json"):
+        books.parse_script(texts).collect()
+    good = spark.createDataFrame([("b", '{"speaker": null, "line": "y"}')], "book_id string, text string")
+    assert [tuple(r) for r in books.parse_script(good).collect()] == [("b", 0, None, "y")]
+
+
+def test_staging_needs_a_shared_folder(spark):
+    from scriptmill import session
+
+    class Conf:
+        def __init__(self, **known):
+            self.known = {k.replace("_", "."): v for k, v in known.items()}
+
+        def get(self, key, default=None):
+            return self.known.get(key, default)
+
+    class Fake:
+        sparkContext = spark.sparkContext
+
+        def __init__(self, **known):
+            self.conf = Conf(**known)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Fake(spark_master="spark://host:7077"))
+    assert session.shared_folder(Fake(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y"
+    assert session.shared_folder(Fake(spark_master="local[4]"))
+
+
+def test_staged_tables_can_be_dropped(spark, monkeypatch):
+    import os
+
+    from scriptmill import session
+
+    monkeypatch.setattr(session, "_made", {})
+    path = new_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path) and session.drop_staged(spark) == 1 and not os.path.exists(path)

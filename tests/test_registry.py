@@ -166,3 +166,22 @@ def test_attribution_stats(spark):
     assert registry.attribution_stats(script, chars).first().asDict() == {
         "book_id": "b", "in_registry": 3, "characters": 1, "speakers": 3, "invalid_speakers": 1,
         "attributed_lines": 3, "items": 4}
+
+
+def test_stream_takes_batches_in_pieces(spark):
+    """One batch in two files gives the same registry whether its files come in one trigger or in two."""
+    first = [("b", 0, 0, "insert", "x", None, "adult", "unknown", "first"), ("b", 1, 0, "insert", "y", None, "child", "male", "a")]
+    second = [("b", 1, 1, "update", "y", None, "adult", "female", "a longer text"),
+              ("b", 1, 2, "merge", "z", "x", "adult", "male", "z"), ("b", 0, 9, "insert", "late", None, "adult", "male", "")]
+    want = None
+    for per_trigger in (1, 64):
+        path = new_path(spark, "pieces")
+        for ops in (first, second):
+            spark.createDataFrame(ops, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        changes = streams.run_available(streams.char_ops_stream(streams.table_stream(spark, path, per_trigger)), "registry")
+        rows = {r["name"]: (r["age"], r["gender"], r["description"]) for r in streams.latest_registry(changes).collect()}
+        late = [(r["batch_no"], r["op_no"]) for r in streams.late_ops(changes).collect()]
+        rows.pop("late", None)
+        want = want or rows
+        assert rows == want and "x" not in rows and "z" in rows
+        assert late == ([(0, 9)] if per_trigger == 1 else [])

@@ -111,3 +111,12 @@ def test_fallback_and_reassembly(spark):
 def test_flag_orphans(spark):
     df = spark.createDataFrame([(0, "<sigh> ok"), (1, "ok"), (2, "a line of words <sigh>")], "line_no long, line string")
     assert [r["line_no"] for r in tags.flag_orphans(df).collect()] == [0]
+
+
+def test_overlapping_chunks_leave_the_book_alone(spark):
+    book = spark.createDataFrame([(b, i, f"l{i}") for b in "bc" for i in range(3)], "book_id string, line_no long, line string")
+    chunks = spark.createDataFrame([("b", 0, 2, "A\nB"), ("b", 1, 3, "C\nD"), ("c", 1, 3, "E\nF")],
+                                   "book_id string, start_line long, end_line long, text string")
+    rows = [tuple(r) for r in tags.reassemble(book, chunks).orderBy("book_id", "line_no").collect()]
+    assert rows == [("b", i, f"l{i}", False, tags.OVERLAP) for i in range(3)] + [
+        ("c", 0, "l0", False, None), ("c", 1, "E", True, None), ("c", 2, "F", True, None)]
