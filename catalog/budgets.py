@@ -42,7 +42,12 @@ def chunk_text(spark, sf_dir):
     return budgets.group_text(lines, made, KEYS, "line_no", "line", "chunk_no")
 
 
+def average_tokens(spark, sf_dir):
+    return budgets.average_tokens(chunks(spark, sf_dir), KEYS)
+
+
 QUERIES = {
+    "average_tokens": average_tokens,
     "chunk_by_tokens": chunks,
     "chunk_by_tokens_small": small_chunks,
     "batch_by_tokens": batches,
@@ -91,6 +96,8 @@ inside as (select n.book_id, n.line_no, n.line, w.window_no, n.line_no = w.start
   and n.line_no < w.end_line)"""
 
 SQL = {
+    "average_tokens": ms(chunks_sql("manuscript", 500) + """ select book_id, count(*) as n_groups,
+        round(avg(tokens), 1) as average_tokens from chunks group by 1""", True),
     "chunk_by_tokens": ms(chunks_sql("manuscript", 500) + " select * from chunks", True),
     "chunk_by_tokens_small": ms(chunks_sql("manuscript", 40) + " select * from chunks", True),
     "batch_by_tokens": ms(batches_sql(2000), True),

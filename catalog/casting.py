@@ -36,6 +36,15 @@ def voices_multi(spark, sf_dir):
         "book_id", "item_no", "speaker", "voice")
 
 
+OWN_MAP = voices.VOICE_MAP.replace('"af_', '"own_af_').replace('"am_', '"own_am_')
+
+
+def voices_own_map(spark, sf_dir):
+    """Casting by a user's own voice map."""
+    return voices.assign_voice_multi(manuscript_script(spark, sf_dir), characters(spark, sf_dir),
+                                     "kokoro", "female", OWN_MAP).select("book_id", "item_no", "speaker", "voice")
+
+
 def voices_single(spark, sf_dir):
     parts = manuscript(spark, sf_dir).select(
         "book_id", "line_no", F.posexplode(split_dialogue("line")).alias("p", "part")).select(
@@ -118,6 +127,7 @@ def first_usable(spark, sf_dir):
 QUERIES = {
     "load_voices": load_voices,
     "assign_voice_multi": voices_multi,
+    "assign_voice_own_map": voices_own_map,
     "assign_voice_single": voices_single,
     "require_engine": require_engine,
     "apply_tagged_lines": apply_tagged,
@@ -155,6 +165,12 @@ SQL = {
           on c.book_id = m.book_id and c.name = lower(m.speaker))
         select book_id, item_no, speaker, voice from cast_score x join voices v
         on v.engine = 'kokoro' and v.narrator_gender = 'female' and v.score = cast(x.score as varchar)"""),
+    "assign_voice_own_map": ms(f"""{MANUSCRIPT_SCRIPT_SQL}, {CHARACTERS_SQL}, {VOICES_SQL},
+        cast_score as (select m.book_id, m.item_no, m.speaker, case when lower(m.speaker) = 'narrator'
+          then 0 else coalesce(c.gender_score, 5) end as score from script m left join characters c
+          on c.book_id = m.book_id and c.name = lower(m.speaker))
+        select book_id, item_no, speaker, regexp_replace(voice, '^(af|am)_', 'own_\\1_') as voice from cast_score x join voices v
+        on v.engine = 'kokoro' and v.narrator_gender = 'female' and v.score = cast(x.score as varchar)"""),
     "assign_voice_single": ms(s.PARTS.format(lines="manuscript") + """
         select book_id, line_no, row_number() over (partition by book_id, line_no order by spot) - 1
           as part_no, case when starts_with(piece, '"') and ends_with(piece, '"') then 'dialogue'

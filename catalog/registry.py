@@ -43,11 +43,11 @@ def check_enums(spark, sf_dir):
 
 
 def roster_text(spark, sf_dir):
-    return registry.roster_text(characters(spark, sf_dir))
+    return registry.roster_text(characters(spark, sf_dir), 10_000)
 
 
 def valid_names(spark, sf_dir):
-    return registry.valid_names_text(characters(spark, sf_dir))
+    return registry.valid_names_text(characters(spark, sf_dir), 10_000)
 
 
 def extraction_requests(spark, sf_dir):

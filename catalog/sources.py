@@ -62,7 +62,7 @@ def write_script(spark, sf_dir):
 
 
 def character_map_text(spark, sf_dir):
-    return maps.character_map_text(characters(spark, sf_dir))
+    return maps.character_map_text(characters(spark, sf_dir), 10_000)
 
 
 def read_character_map(spark, sf_dir):

@@ -237,6 +237,11 @@ def batch_by_tokens(df: DataFrame, keys: Sequence[str], pos: str, text: str,
                   None, None)
 
 
+def average_tokens(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number of groups and average tokens of each, rounded to one digit, per key."""
+    return groups.groupBy(*keys).agg(F.count("*").alias("n_groups"), F.round(F.avg("tokens"), 1).alias("average_tokens"))
+
+
 def group_text(df: DataFrame, groups: DataFrame, keys: Sequence[str], pos: str, text: str,
                number: str, extra: Sequence[str] = ()) -> DataFrame:
     """The groups with their lines joined by newlines; a group's size is bounded by its budget."""

@@ -265,11 +265,11 @@ SEEN = ["seen_batch", "seen_op"]
 SEEN_BATCHES = 1 << 10
 
 
-def in_parts(df: DataFrame, text: Column, joined: str, out: str,
-             part_rows: int = 10_000) -> DataFrame:
+def in_parts(df: DataFrame, text: Column, joined: str, out: str, part_rows: int) -> DataFrame:
     """Per-book text from ordered rows, cut into parts of `part_rows` rows.
 
-    A usual book has one part, number 0. One with a huge roster never becomes one string.
+    A usual book has one part, number 0. One with a huge roster never becomes one string; `join_parts` makes
+    it one for readers that need it.
     """
     one = F.lit(1).cast("bigint")
     placed = running(df, KEYS, SEEN, {"__n": SumBefore(one)}, SEEN_BATCHES).withColumn(
@@ -281,22 +281,28 @@ def in_parts(df: DataFrame, text: Column, joined: str, out: str,
         F.transform("__l", lambda r: r["__text"]), joined).alias(out))
 
 
-def roster_text(characters: DataFrame) -> DataFrame:
-    """`- name: description (Age: a, Gender: g)` lines without the narrator, as first seen."""
+def join_parts(parts: DataFrame, out: str, joined: str = "\n") -> DataFrame:
+    """One text per book from the parts of `in_parts`; the caller knows that a book's text fits a row."""
+    ordered = F.sort_array(F.collect_list(F.struct("part_no", out)))
+    return parts.groupBy("book_id").agg(F.array_join(F.transform(ordered, lambda p: p[out]), joined).alias(out))
+
+
+def roster_text(characters: DataFrame, part_rows: int) -> DataFrame:
+    """`- name: description (Age: a, Gender: g)` lines without the narrator, as first seen, in parts of `part_rows`."""
     line = F.concat(
         F.lit("- "), F.col("name"), F.lit(": "),
         F.coalesce("description", F.lit("No description")), F.lit(" (Age: "),
         F.coalesce("age", F.lit("unknown")), F.lit(", Gender: "),
         F.coalesce("gender", F.lit("unknown")), F.lit(")"))
     books = characters.select("book_id").distinct()
-    listed = in_parts(characters.where(F.col("name") != "narrator"), line, "\n", "roster")
+    listed = in_parts(characters.where(F.col("name") != "narrator"), line, "\n", "roster", part_rows)
     return books.join(listed, "book_id", "left").select(
         "book_id", F.coalesce("part_no", F.lit(0)).alias("part_no"),
         F.coalesce("roster", F.lit(fixed.NO_CHARACTERS)).alias("roster"))
 
 
-def valid_names_text(characters: DataFrame) -> DataFrame:
-    """Numbered list: narrator, unknown, then the book's characters as first seen.
+def valid_names_text(characters: DataFrame, part_rows: int) -> DataFrame:
+    """Numbered list: narrator, unknown, then the book's characters as first seen, in parts of `part_rows`.
 
     A registry holds `unknown` from the start, so it comes twice, as in the lists that models
     were given so far.
@@ -308,7 +314,7 @@ def valid_names_text(characters: DataFrame) -> DataFrame:
         F.col("seen_op").cast("bigint").alias("seen_op"))
     rest = characters.where(F.col("name") != "narrator").select("book_id", "name", *SEEN)
     numbered = F.concat((F.col("__n") + 1).cast("string"), F.lit(". "), F.col("name"))
-    return in_parts(first.unionByName(rest), numbered, "\n", "names")
+    return in_parts(first.unionByName(rest), numbered, "\n", "names", part_rows)
 
 
 def prompt_table(df: DataFrame, kind: str, key: Column, text: Column,
@@ -337,11 +343,12 @@ def tagging_text(paragraphs) -> Column:
 
 
 def run_rowwise(df: DataFrame, fn: Callable[[list[str]], list[str]], text: str = "user_text",
-                key=("book_id", "key"), partitions: int | None = None) -> DataFrame:
+                key=("book_id", "key"), partitions: int | None = None, batch_rows: int = 256) -> DataFrame:
     """Applies a caller's function to batches of requests: key columns, response, error.
 
-    A batch that fails is tried row by row, so one bad request costs only its own answer.
-    `partitions` bounds how many calls run at once.
+    A batch that fails is tried again in halves, so one bad request costs its own answer and a call for
+    each halving. `batch_rows` bounds a call, `partitions` how many calls run at once. Stage the result before
+    reading it more than once, or the calls are made again.
     """
     from pyspark.sql.types import StringType, StructField, StructType
 
@@ -352,22 +359,22 @@ def run_rowwise(df: DataFrame, fn: Callable[[list[str]], list[str]], text: str =
                      + [StructField("response", StringType()), StructField("error", StringType())])
     names = [*key, "response", "error"]
 
-    def single(value):
+    def answered_by(texts):
         try:
-            return fn([value])[0], None
+            answers = list(fn(texts))
+            if len(answers) != len(texts):
+                raise ValueError("one response per request expected")
+            return [(a, None) for a in answers]
         except Exception as error:  # the caller's function may raise anything
-            return None, f"{type(error).__name__}: {error}"
+            if len(texts) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            half = len(texts) // 2
+            return answered_by(texts[:half]) + answered_by(texts[half:])
 
     def apply(frames):
         for frame in frames:
             texts = frame[text].tolist()
-            try:
-                answers = list(fn(texts))
-                if len(answers) != len(texts):
-                    raise ValueError("one response per request expected")
-                pairs = [(a, None) for a in answers]
-            except Exception:
-                pairs = [single(t) for t in texts]
+            pairs = [p for i in range(0, len(texts), batch_rows) for p in answered_by(texts[i:i + batch_rows])]
             answered = frame[list(key)].copy()
             answered["response"] = [p[0] for p in pairs]
             answered["error"] = [p[1] for p in pairs]

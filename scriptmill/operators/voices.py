@@ -42,34 +42,36 @@ def load_voice_pairs(spark: SparkSession, voice_map: str = VOICE_MAP) -> DataFra
         "engine", "p.*")
 
 
-def require_engine(df: DataFrame, engine: str = "engine") -> DataFrame:
+def require_engine(df: DataFrame, engine: str = "engine", voice_map: str = VOICE_MAP) -> DataFrame:
     """Fails the job when a row names an engine without voices."""
-    known = sorted({name for name, _ in fixed.VOICE_PAIRS})
+    known = sorted(json.loads(voice_map))
     good = F.coalesce(F.col(engine).isin(known), F.lit(False))
     message = F.concat(F.lit("no voices for engine: "), F.coalesce(F.col(engine), F.lit("null")))
     return df.withColumn(engine, F.when(good, F.col(engine)).otherwise(
         F.raise_error(message).cast("string")))
 
 
-def _check(engine: str, gender: str) -> str:
-    if (engine, "male") not in fixed.VOICE_PAIRS:
+def _voices(voice_map: str, engine: str, gender: str) -> tuple[dict, str]:
+    """The engine's part of a voice map (a small JSON text), and the narrator's gender there."""
+    engines = json.loads(voice_map)
+    if engine not in engines:
         raise ValueError(f"no voices for engine: {engine}")
-    return "male" if gender == "male" else "female"
+    return engines[engine], "male" if gender == "male" else "female"
 
 
-def voice_of_score(score, engine: str, gender: str) -> Column:
-    """Voice of a gender score; a score without one gets the narrator's."""
-    voices = fixed.VOICE_SCORES[engine, _check(engine, gender)]
-    table = F.array(*map(F.lit, voices))
-    score = column(score)
-    return F.coalesce(F.when(score >= 0, F.get(table, score)), F.lit(voices[0]))
+def voice_of_score(score, engine: str, gender: str, voice_map: str = VOICE_MAP) -> Column:
+    """Voice of a gender score; a score without one gets that of score 0, the narrator's."""
+    known, narrator = _voices(voice_map, engine, gender)
+    scores = known[f"{narrator}_score_map"]
+    table = F.create_map(*[F.lit(x) for pair in scores.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, column(score).cast("string")), F.lit(scores["0"]))
 
 
 def assign_voice_multi(script: DataFrame, characters: DataFrame, engine: str,
-                       gender: str) -> DataFrame:
+                       gender: str, voice_map: str = VOICE_MAP) -> DataFrame:
     """Adds `voice` by the speaker's gender score: narrator 0, speakers without a score 5.
 
-    The voice table is a fixed array inside the expression. The one join is on (book, name);
+    The voice map is a literal inside the expression. The one join is on (book, name);
     narrator rows, the bulk of a script, do not take part in it. A roster small enough is
     broadcast by its measured size, and otherwise AQE splits the rows of one busy speaker.
     """
@@ -80,26 +82,29 @@ def assign_voice_multi(script: DataFrame, characters: DataFrame, engine: str,
     cast = script.where(~narrator).withColumn("__name", name).join(
         scores, ["book_id", "__name"], "left").select(
         *script.columns,
-        voice_of_score(F.coalesce("__score", F.lit(fixed.NEUTRAL_SCORE)), engine, gender)
+        voice_of_score(F.coalesce("__score", F.lit(fixed.NEUTRAL_SCORE)), engine, gender, voice_map)
         .alias("voice"))
-    told = script.where(narrator).withColumn("voice", voice_of_score(F.lit(0), engine, gender))
+    told = script.where(narrator).withColumn("voice", voice_of_score(F.lit(0), engine, gender, voice_map))
     return told.unionByName(cast)
 
 
-def assign_voice_single(parts: DataFrame, engine: str, gender: str) -> DataFrame:
+def assign_voice_single(parts: DataFrame, engine: str, gender: str, voice_map: str = VOICE_MAP) -> DataFrame:
     """Adds `voice`: one voice for narration, one for dialogue."""
-    narrator, dialogue = fixed.VOICE_PAIRS[engine, _check(engine, gender)]
+    known, gender = _voices(voice_map, engine, gender)
+    narrator, dialogue = known[f"{gender}_narrator"], known[f"{gender}_dialogue"]
     return parts.withColumn(
         "voice", F.when(F.col("type") == "narration", narrator).otherwise(dialogue))
 
 
-def voice_combinations(voices: DataFrame) -> DataFrame:
+def voice_combinations(voices: DataFrame, most: int = 500) -> DataFrame:
     """All voices, then all unordered pairs of them joined by `+`.
 
-    `voices` (pos, voice) is a synthesis engine's own list. Each pair is made in the row of its
-    first voice, from one sorted list.
+    `voices` (pos, voice) is a synthesis engine's own list, of at most `most` voices; a longer one fails
+    the job. Each pair is made in the row of its first voice, from one sorted list.
     """
-    listed = voices.agg(F.sort_array(F.collect_list(F.struct("pos", "voice"))).alias("all"))
+    few = voices.limit(most + 1).agg(F.sort_array(F.collect_list(F.struct("pos", "voice"))).alias("all"))
+    listed = few.select(F.when(F.size("all") <= most, F.col("all")).otherwise(
+        F.raise_error(F.lit(f"more than {most} voices")).cast(few.schema["all"].dataType)).alias("all"))
     paired = listed.select(F.explode("all").alias("v"), "all").select(
         F.col("v.voice").alias("a"),
         F.explode(F.filter("all", lambda o: o["pos"] > F.col("v.pos"))).alias("o"))

@@ -129,7 +129,7 @@ def dialogue_context(items: DataFrame, max_tokens: int = 1000, limit: int = 30,
             # Only what is shown with its speaker is counted a second time.
             "said_n", F.when(F.col("said") == F.col("content"), F.col("content_n"))
             .otherwise(tokens("said"))),
-        "item_no", limit, limit, block_rows=4096)
+        "item_no", limit, limit, block_rows=max(4096, limit))
     near = Window.partitionBy("book_id", BLOCK).orderBy("item_no")
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = shown.withColumns({"said_sum": F.sum("said_n").over(upto),

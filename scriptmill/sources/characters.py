@@ -18,10 +18,10 @@ def parse_character_map(docs: DataFrame) -> DataFrame:
         "c.description")
 
 
-def character_map_text(characters: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """`{legend, scores}` documents: book_id, part_no, text.
+def character_map_text(characters: DataFrame, part_rows: int) -> DataFrame:
+    """`{legend, scores}` documents: book_id, part_no, text, for `part_rows` characters each.
 
-    A usual book is part 0. Parts of a huge roster are maps of their own.
+    A usual book is part 0. Parts of a huge roster are maps of their own; `parse_character_map` reads all of them.
     """
     one = F.lit(1).cast("bigint")
     placed = running(characters, ["book_id"], SEEN, {"__n": SumBefore(one)}, SEEN_BATCHES)

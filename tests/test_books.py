@@ -132,7 +132,7 @@ def test_character_map_round_trip(spark):
     rows = [("b", n, "adult", "male", i, f'd "{n}"', 0, i) for i, n in enumerate(["z", "a", "m"])]
     df = spark.createDataFrame(rows, "book_id string, name string, age string, gender string, gender_score int, "
                                      "description string, seen_batch long, seen_op long")
-    docs = maps.character_map_text(df)
+    docs = maps.character_map_text(df, 100)
     doc = json.loads(docs.first()["text"])
     assert list(doc["scores"]) == ["z", "a", "m"] and doc["legend"]["10"] == "completely feminine"
     assert sorted(map(tuple, maps.parse_character_map(docs).collect())) == sorted(r[:6] for r in rows)

@@ -134,10 +134,10 @@ def test_rosters(spark):
     chars = spark.createDataFrame([
         ("b", "narrator", "adult", "female", "tells", -1, 0), ("b", "zed", "child", "male", "small", 0, 1),
         ("b", "amy", "adult", "female", None, 0, 0), ("c", "narrator", "adult", "female", "tells", -1, 0)], CHARS)
-    assert {(r["book_id"], r["roster"]) for r in registry.roster_text(chars).collect()} == {
+    assert {(r["book_id"], r["roster"]) for r in registry.roster_text(chars, 100).collect()} == {
         ("b", "- amy: No description (Age: adult, Gender: female)\n- zed: small (Age: child, Gender: male)"),
         ("c", "No characters identified yet.")}
-    assert {(r["book_id"], r["names"]) for r in registry.valid_names_text(chars).collect()} == {
+    assert {(r["book_id"], r["names"]) for r in registry.valid_names_text(chars, 100).collect()} == {
         ("b", "1. narrator\n2. unknown\n3. amy\n4. zed"), ("c", "1. narrator\n2. unknown")}
 
 
