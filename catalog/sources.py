@@ -22,7 +22,8 @@ def as_files(texts, label):
     return path + "/*/*.txt"
 
 
-BOOK_OF_PATH = F.regexp_extract("book_id", "book=([^/]+)/", 1)
+def book_of_path():
+    return F.regexp_extract("book_id", "book=([^/]+)/", 1)
 
 
 def read_books(spark, sf_dir):
@@ -32,7 +33,7 @@ def read_books(spark, sf_dir):
         F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n")))
         .otherwise(F.col("text")).alias("value"))
     found = books.read_books(spark, as_files(texts, "book-files"))
-    return books.book_lines(found.withColumn("book_id", BOOK_OF_PATH))
+    return books.book_lines(found.withColumn("book_id", book_of_path()))
 
 
 def number_lines(spark, sf_dir):
@@ -47,7 +48,7 @@ def read_script(spark, sf_dir):
     texts = table(spark, sf_dir, "conversations").select(
         F.floor(F.col("conv_id") / 8).cast("string").alias("book"), F.struct("conv_id", "turn").alias("pos"),
         F.concat(F.lit("\n"), row, F.lit("\n \n"), upper).alias("value"))
-    return books.read_script(spark, as_files(texts, "script-files")).withColumn("book_id", BOOK_OF_PATH)
+    return books.read_script(spark, as_files(texts, "script-files")).withColumn("book_id", book_of_path())
 
 
 def script_rows(spark, sf_dir):
