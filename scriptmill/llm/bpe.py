@@ -77,7 +77,7 @@ class Encoder:
         self.marks = regex.compile("|".join(map(regex.escape, sorted(
             vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.longest = max(map(len, vocabulary.ids), default=1)
-        self.fits = functools.lru_cache(1 << 19)(self._fits)
+        self.fits = functools.lru_cache(1 << 18)(self._fits)
         self.spine = functools.lru_cache(None)(self._spine)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:

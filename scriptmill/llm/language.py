@@ -23,8 +23,8 @@ SALTS = 64
 EPOCHS, BATCH, RATE, DECAY, SEED = 3, 256, 0.2, 1e-6, 7
 #: a worker forgets its scored words when it holds so many
 KEPT_WORDS = 400_000
-#: words that go through forward-backward at once, whole texts at least
-CHUNK_WORDS = 500_000
+#: characters whose words go through forward-backward at once, whole texts at least
+CHUNK_CHARS = 2_000_000
 UNKNOWN = "und"
 find_words = re.compile(r"[^\W\d_]+").findall
 
@@ -215,19 +215,18 @@ class Labeller:
     def label(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """For each text the words' probabilities (words by languages), or None where it has no letter."""
         known, at = len(self.field.languages), 0
-        words = [find_words((t or "").lower()) if known else [] for t in texts]
-        while at < len(words):
-            stop, count = at, 0
-            while stop < len(words) and (stop == at or count + len(words[stop]) <= CHUNK_WORDS):
-                count += len(words[stop])
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= CHUNK_CHARS):
+                size += len(texts[stop] or "")
                 stop += 1
-            sizes = np.array([len(w) for w in words[at:stop]])
+            words = [find_words((t or "").lower()) if known else [] for t in texts[at:stop]]
+            sizes = np.array([len(w) for w in words])
             ends = np.cumsum(sizes)
-            if count:
-                begins = np.zeros(count, bool)
+            if ends[-1]:
+                begins = np.zeros(ends[-1], bool)
                 begins[(ends - sizes)[sizes > 0]] = True
-                numbers = self._numbers(words[at:stop])
-                found = self.field.marginals(self.scores[numbers], begins)
+                found = self.field.marginals(self.scores[self._numbers(words)], begins)
             for size, end in zip(sizes, ends, strict=True):
                 yield found[end - size:end] if size else None
             at = stop
