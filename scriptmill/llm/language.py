@@ -226,7 +226,8 @@ class Labeller:
             if ends[-1]:
                 begins = np.zeros(ends[-1], bool)
                 begins[(ends - sizes)[sizes > 0]] = True
-                found = self.field.marginals(self.scores[self._numbers(words)], begins)
+                numbers = self._numbers(words)  # before the scores are read: it may replace their table
+                found = self.field.marginals(self.scores[numbers], begins)
             for size, end in zip(sizes, ends, strict=True):
                 yield found[end - size:end] if size else None
             at = stop
