@@ -69,10 +69,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
           coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, consistency, reparameterised: documents that hold a benchmark item.
 
-    A pair counts where the document has at least `coverage` of the item's distinct template windows and at least
-    `consistency` of the item's slots in them are filled by one value each throughout the document;
-    it is reparameterised where some slot has another value than in the item. All windows of all whole texts are
-    looked up. Repeated item ids are one item with all their windows; repeated document ids one document.
+    A pair counts where some occurrence has at least `coverage` of the item's distinct template windows and at least
+    `consistency` of the item's slots in them are filled by one value each. Occurrences are the hits at one shift
+    between document and item, those at shifts within half an item's length to a length of each other (words put in or
+    left out), and all hits of the text; copies that follow each other are so judged each for itself. n_windows and coverage are
+    those of the whole text, consistency is that of the best occurrence; a pair is reparameterised where some slot has another value than
+    in the item. All windows of all whole texts are looked up. Repeated item ids are one item with all their windows; repeated document ids
+    one document.
     Null ids, and items with fewer than `size` words or without a window of `literals` literal words, match
     nothing; null and empty texts have no windows. Other columns are not read. An empty table gives no rows.
     """
@@ -83,8 +86,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     hits = stage(found.join(bounded(items.select("hash", "item_id", "item_pos")), "hash"), "window-hits")
     pairs = hits.groupBy("doc_id", "item_id").agg(
         F.count_distinct("hash").alias("n_windows"),
-        F.collect_set(F.struct("doc_pos", "item_pos")).alias("at")).join(
-        items.groupBy("item_id").agg(F.first("item_windows").alias("total")), "item_id").where(
+        F.collect_set(F.struct("doc_pos", "item_pos", "hash")).alias("at")).join(
+        items.groupBy("item_id").agg(F.first("item_windows").alias("total"), F.max("item_pos").alias("last")), "item_id").where(
         F.col("n_windows") >= coverage * F.col("total"))
     pairs = stage(pairs, "leak-candidates")
     ids = stage(pairs.select("doc_id").distinct(), "leak-documents")
@@ -102,10 +105,17 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             F.lower(F.get("doc_raw", hit.doc_pos + k)).alias("given")))
         return F.filter(both, lambda s: s.kind.isin(NUMBER, NAME, UNIT))
 
-    filled = pairs.join(own, "doc_id").join(asked, "item_id").withColumn(
-        "slots", F.array_distinct(F.flatten(F.transform("at", slots)))).groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max(F.col("n_windows") / F.col("total")).alias("coverage"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    shift, band = F.col("hit.shift"), F.floor((F.col("last") + size) / 2)
+    places = F.array(*(F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at")) for kind, at in (
+        ("text", F.lit(0)), ("shift", shift), ("band", F.floor(shift / band)), ("band", F.floor(shift / band) - 1))))
+    filled = pairs.join(own, "doc_id").join(asked, "item_id").select(
+        "doc_id", "item_id", "total", "last", F.explode(F.transform("at", lambda hit: F.struct(
+            (hit.doc_pos - hit.item_pos).alias("shift"), hit.getField("hash").alias("hash"), slots(hit).alias("slots")))).alias("hit"))
+    parts = filled.select("doc_id", "item_id", "total", "hit.hash", "hit.slots", F.explode(places).alias("place")).groupBy(
+        "doc_id", "item_id", "place").agg(
+        F.max("total").alias("total"), F.size(F.collect_set("hash")).alias("n_windows"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")).where(
+        F.col("n_windows") >= coverage * F.col("total"))
 
     def steady(slots: Column) -> Column:
         """The share of distinct item values that have one value in the document."""
@@ -114,8 +124,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             slots, lambda s: (s.kind == a.getField("kind")) & (s.asked == a.getField("asked")))) == 1)
         return F.when(F.size(slots) == 0, 1.0).otherwise(F.size(single) / F.size(asked))
 
-    return filled.select("doc_id", "item_id", "n_windows", "coverage", steady(F.col("slots")).alias("consistency"),
-                         F.exists("slots", lambda s: s.asked != s.given).alias("reparameterised")).where(
+    return parts.select(
+        "doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("total")).alias("coverage"),
+        steady(F.col("slots")).alias("consistency"),
+        F.exists("slots", lambda s: s.asked != s.given).alias("reparameterised")).groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").cast("long").alias("n_windows"), F.max("coverage").alias("coverage"),
+        F.max("consistency").alias("consistency"), F.max("reparameterised").alias("reparameterised")).where(
         F.col("consistency") >= consistency)
 
 

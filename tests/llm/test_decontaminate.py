@@ -45,6 +45,18 @@ def test_slots(docs, spark):
     assert [r.doc_id for r in strict.collect()] == [2]
 
 
+def test_occurrences_are_judged_each_for_itself(docs, spark):
+    third = OTHER.replace("7 km", "8 km").replace("60", "20").replace("4 hours", "2 hours").replace("Bob", "Carol").replace("30", "5")
+    longer = third.replace("toward the city", "slowly and steadily toward the old city")
+    rows = [(1, f"{ITEM}\n{OTHER}"), (2, f"{OTHER} {third}"), (3, f"{CLEAN}\n{OTHER}\n{CLEAN}\n{third}\n{ITEM}"),
+            (4, f"{MIXED}\n{MIXED}"), (5, f"{longer}\n{ITEM[:150]}"), (6, f"{CLEAN}\n{CLEAN}")]
+    got = {r.doc_id: r for r in D.leaks(docs(*rows), bench(spark, ITEM)).collect()}
+    assert {1, 2, 3, 5} <= set(got) and 6 not in got
+    assert all(got[i].consistency == 1.0 and got[i].reparameterised for i in (1, 2, 3))
+    strict = D.leaks(docs(*rows), bench(spark, ITEM), consistency=1.0)
+    assert 4 not in {r.doc_id for r in strict.collect()}
+
+
 def test_words_keep_their_templates(docs, spark):
     texts = ["3.5km and 12km, a3.5 İstanbul'da 5 Kg of Łódź é\u0301 \uE000x 1/2", "", None, "...", "x" * 20_000]
     df = docs(*enumerate(texts))
