@@ -21,6 +21,8 @@ UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr h
          "seconds second minutes minute hours hour miles mile feet foot inches inch pounds pound degrees degree").split()
 NUMBERS = "\\p{N}+(?:[.,:/]\\p{N}+)+|[\\p{L}\\p{M}\\p{N}]*\\p{N}[\\p{L}\\p{M}\\p{N}]*"
 NAMES = f"(?<=[\\p{{Ll}}{NUMBER}][,;]? {{1,2}})\\p{{Lu}}[\\p{{L}}\\p{{M}}]*"
+#: capitalised words that NAMES leaves at the start of a sentence, a line, a quote or a bracket
+INITIALS = f"(?<=^|[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}-{UNIT} ,;] {{0,2}})\\p{{Lu}}[\\p{{L}}\\p{{M}}]*"
 MEASURES = f"(?<={NUMBER} {{1,2}})(?i:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{M}}])"
 
 
@@ -31,14 +33,27 @@ def plain(text: Column) -> Column:
     return F.when(signs, F.translate(text, NUMBER + NAME + UNIT, "   ")).otherwise(text)
 
 
-def template(text: Column) -> Column:
-    """The words of a plain text in lower case, with placeholders: numbers; capitalised words inside a
-    sentence; units behind numbers."""
+def marked(text: Column) -> Column:
+    """A plain text with placeholders: numbers; capitalised words inside a sentence; units behind numbers."""
     text = F.regexp_replace(text, NUMBERS, f" {NUMBER} ")
-    text = F.regexp_replace(F.regexp_replace(text, NAMES, NAME), MEASURES, UNIT)
+    return F.regexp_replace(F.regexp_replace(text, NAMES, NAME), MEASURES, UNIT)
+
+
+def marked_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), f"[^\\p{{L}}\\p{{M}}{NUMBER}-{UNIT}]+"), "")
 
 
+def template(text: Column) -> Column:
+    """The words of a plain text in lower case, with placeholders."""
+    return marked_words(marked(text))
+
+
+def named_template(text: Column) -> Column:
+    """The words of `template`, with a name's placeholder also for capitalised words that start a sentence, which
+    may be names or not."""
+    return marked_words(F.regexp_replace(marked(text), INITIALS, NAME))
+
+
 def raw_words(text: Column) -> Column:
     """The words of a plain text as they stand, one for each of its template's."""
     return F.regexp_extract_all(text, F.lit("\\p{N}+(?:[.,:/]\\p{N}+)+|[\\p{L}\\p{M}\\p{N}]+"), F.lit(0))
@@ -52,16 +67,40 @@ def window_hashes(words: Column, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int, literals: int) -> DataFrame:
-    """hash, item_id, item_pos, item_windows: distinct windows of each item that hold enough literal words."""
+    """hash, item_id, item_pos, own, named, item_windows: distinct windows of each item that hold enough literal words; with
+    `named` those of its named template that differ. `own` is the hash of the plain window that either stands for."""
     items = benchmark.where(F.col(item_id).isNotNull()).select(
-        F.col(item_id).alias("item_id"), template(plain(F.col(text))).alias("words"))
+        F.col(item_id).alias("item_id"), template(plain(F.col(text))).alias("words"),
+        named_template(plain(F.col(text))).alias("named_words"))
     marks = F.array(F.lit(NUMBER), F.lit(NAME), F.lit(UNIT))
+
+    def enough(window: str) -> Column:
+        return F.size(F.filter(window, lambda x: ~F.array_contains(marks, x))) >= literals
+
     spans = items.where(F.size("words") >= size).select("item_id", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.struct(
-            (i - 1).alias("pos"), F.slice("words", i, size).alias("w")))).alias("s"))
-    kept = spans.where(F.size(F.filter("s.w", lambda x: ~F.array_contains(marks, x))) >= literals).groupBy(
-        F.xxhash64("s.w").alias("hash"), "item_id").agg(F.min("s.pos").alias("item_pos"))
-    return kept.join(kept.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
+            (i - 1).alias("pos"), F.slice("words", i, size).alias("w"),
+            F.slice("named_words", i, size).alias("named_w")))).alias("s"))
+    own = F.xxhash64("s.w")
+    kept = stage(spans.where(enough("s.w")).groupBy("item_id", own.alias("own")).agg(
+        F.min_by("s", "s.pos").alias("s")), "item-spans")
+    both = kept.select(F.col("own").alias("hash"), "item_id", F.col("s.pos").alias("item_pos"), "own",
+                       F.lit(False).alias("named")).unionByName(
+        kept.where((F.col("s.w") != F.col("s.named_w")) & enough("s.named_w")).select(
+            F.xxhash64("s.named_w").alias("hash"), "item_id", F.col("s.pos").alias("item_pos"), "own",
+            F.lit(True).alias("named")))
+    return both.join(kept.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
+
+
+def text_windows(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id, doc_pos, hash: all windows of the texts' templates, and those of their named templates that differ."""
+    def differing(plain_hashes: Column) -> Column:
+        return let(window_hashes(named_template(F.col("text")), size), lambda named: F.concat(plain_hashes, F.transform(
+            named, lambda h, i: F.when(h != F.get(plain_hashes, i), h))))
+
+    rows = texts.select("doc_id", let(window_hashes(template(F.col("text")), size), differing).alias("hashes"))
+    return rows.select("doc_id", F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "hash")).where(
+        "hash is not null").select("doc_id", F.expr("at % (n div 2)").cast("int").alias("doc_pos"), "hash")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -75,32 +114,39 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     left out), and all hits of the text; copies that follow each other are so judged each for itself. n_windows and coverage are
     those of the whole text, consistency is that of the best occurrence; a pair is reparameterised where some slot has another value than
     in the item. All windows of all whole texts are looked up. Repeated item ids are one item with all their windows; repeated document ids
-    one document.
+    one document. A window matches by its template or with the capitalised words that start sentences as names, so that
+    other names there are found too; a word that is no name then only is a slot more.
     Null ids, and items with fewer than `size` words or without a window of `literals` literal words, match
     nothing; null and empty texts have no windows. Other columns are not read. An empty table gives no rows.
     """
+    def windows(hits: Column) -> Column:
+        """Distinct windows of the item; one place of the text stands for one of them at most."""
+        return F.least(F.size(F.array_distinct(hits.own)), F.size(F.array_distinct(hits.doc_pos)))
+
     items = stage(item_windows(benchmark, item_id, item_text, size, literals), "item-windows")
     texts = documents.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), plain(F.col(text)).alias("text"))
-    found = texts.select("doc_id", F.posexplode(window_hashes(template(F.col("text")), size)).alias("doc_pos", "hash"))
-    hits = stage(found.join(bounded(items.select("hash", "item_id", "item_pos")), "hash"), "window-hits")
+    found = text_windows(texts, size)
+    hits = stage(found.join(bounded(items.select("hash", "item_id", "item_pos", "own", "named")), "hash"), "window-hits")
     pairs = hits.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("hash").alias("n_windows"),
-        F.collect_set(F.struct("doc_pos", "item_pos", "hash")).alias("at")).join(
+        F.collect_set(F.struct("doc_pos", "item_pos", "own", "named")).alias("at")).withColumn(
+        "n_windows", windows(F.col("at"))).join(
         items.groupBy("item_id").agg(F.first("item_windows").alias("total"), F.max("item_pos").alias("last")), "item_id").where(
         F.col("n_windows") >= coverage * F.col("total"))
     pairs = stage(pairs, "leak-candidates")
     ids = stage(pairs.select("doc_id").distinct(), "leak-documents")
     own = texts.join(bounded(ids), "doc_id", "left_semi").select(
-        "doc_id", template(F.col("text")).alias("doc_words"), raw_words(F.col("text")).alias("doc_raw"))
+        "doc_id", raw_words(F.col("text")).alias("doc_raw"))
     asked = benchmark.where(F.col(item_id).isNotNull()).select(
         F.col(item_id).alias("item_id"), plain(F.col(item_text)).alias("t")).join(
         pairs.select("item_id").distinct(), "item_id", "left_semi").select(
-        "item_id", template(F.col("t")).alias("item_words"), raw_words(F.col("t")).alias("item_raw"))
+        "item_id", template(F.col("t")).alias("item_words"),
+        named_template(F.col("t")).alias("item_named"), raw_words(F.col("t")).alias("item_raw"))
 
     def slots(hit: Column) -> Column:
         both = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(
-            F.get("item_words", hit.item_pos + k).alias("kind"),
+            F.when(hit.named, F.get("item_named", hit.item_pos + k)).otherwise(
+                F.get("item_words", hit.item_pos + k)).alias("kind"),
             F.lower(F.get("item_raw", hit.item_pos + k)).alias("asked"),
             F.lower(F.get("doc_raw", hit.doc_pos + k)).alias("given")))
         return F.filter(both, lambda s: s.kind.isin(NUMBER, NAME, UNIT))
@@ -110,10 +156,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         ("text", F.lit(0)), ("shift", shift), ("band", F.floor(shift / band)), ("band", F.floor(shift / band) - 1))))
     filled = pairs.join(own, "doc_id").join(asked, "item_id").select(
         "doc_id", "item_id", "total", "last", F.explode(F.transform("at", lambda hit: F.struct(
-            (hit.doc_pos - hit.item_pos).alias("shift"), hit.getField("hash").alias("hash"), slots(hit).alias("slots")))).alias("hit"))
-    parts = filled.select("doc_id", "item_id", "total", "hit.hash", "hit.slots", F.explode(places).alias("place")).groupBy(
+            (hit.doc_pos - hit.item_pos).alias("shift"), hit.own.alias("own"), hit.doc_pos.alias("doc_pos"),
+            slots(hit).alias("slots")))).alias("hit"))
+    parts = filled.select("doc_id", "item_id", "total", "hit.own", "hit.doc_pos", "hit.slots", F.explode(places).alias("place")).groupBy(
         "doc_id", "item_id", "place").agg(
-        F.max("total").alias("total"), F.size(F.collect_set("hash")).alias("n_windows"),
+        F.max("total").alias("total"), F.least(F.size(F.collect_set("own")), F.size(F.collect_set("doc_pos"))).alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")).where(
         F.col("n_windows") >= coverage * F.col("total"))
 

@@ -57,6 +57,16 @@ def test_occurrences_are_judged_each_for_itself(docs, spark):
     assert 4 not in {r.doc_id for r in strict.collect()}
 
 
+def test_names_that_start_sentences(docs, spark):
+    item = "Tom has 5 red apples. Tom buys 9 more apples. Tom eats 1 apple at noon. Tom sells 2 of them. What is left?"
+    quoted = "\u201cTom has 5 red apples.\u201d\n(Tom buys 9 more apples.)\nTom eats 1 apple at noon. Tom sells 2 of them. What is left?"
+    rows = [(1, item), (2, item.replace("Tom", "Raj")), (3, f"{CLEAN}. {quoted.replace('Tom', 'Mary')}"),
+            (4, item.replace("Tom", "Raj").replace("5", "6")), (5, item.replace("apple", "horse").replace("Tom", "Raj"))]
+    got = {r.doc_id: r for r in D.leaks(docs(*rows), bench(spark, item)).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(r.coverage == r.consistency == 1.0 for r in got.values())
+    assert not got[1].reparameterised and all(got[i].reparameterised for i in (2, 3, 4))
+
+
 def test_words_keep_their_templates(docs, spark):
     texts = ["3.5km and 12km, a3.5 İstanbul'da 5 Kg of Łódź é\u0301 \uE000x 1/2", "", None, "...", "x" * 20_000]
     df = docs(*enumerate(texts))
