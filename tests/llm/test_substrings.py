@@ -80,3 +80,15 @@ def test_cut_texts_and_edge_rows(docs):
     assert left[0][1].endswith(text(2, 30)) and passage in left[0][1]
     assert len(left[1][1]) < len(df.where("doc_id = 3").first().text) - len(passage) / 2 and left[1][1].startswith(text(3, 30)[:80])
     assert S.repeated_spans(df.where("false")).count() == 0
+
+
+def test_other_spaces_and_scripts_short_copies_and_repetition(docs):
+    r = random.Random(5)
+    han, thai = ("".join(chr(r.randint(a, b)) for _ in range(200)) for a, b in ((0x4E00, 0x9FFF), (0x0E01, 0x0E2E)))
+    wide, nbsp = text(31, 60).replace(" ", "\u3000"), text(32, 60).replace(" ", "\u00a0")
+    passages = [han, thai, wide, nbsp, "foo " * 60, "repeated " * 60, "\u6f22\u5b57 " * 60, "one two three " * 20]
+    rows = [(10 * k + d, f"{text(300 + 10 * k + d, 30 + 7 * d)} {p} {text(400 + 10 * k + d, 30)}")
+            for k, p in enumerate(passages) for d in (0, 1)]
+    rows += [(900, "a short copy"), (901, "a short copy"), (902, "another text"), (903, "word"), (904, "word")]
+    got = {r.doc_id for r in S.repeated_spans(docs(*rows)).collect()}
+    assert got == {10 * k + d for k in range(len(passages)) for d in (0, 1)} | {900, 901}
