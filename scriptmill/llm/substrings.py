@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptmill.llm.common import stage, table
 
@@ -129,6 +129,23 @@ def chunk_rows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
         run, f"doc_id {kind}, start long, size int, words int, signs int, ends boolean, digest long")
 
 
+def _spans(documents: DataFrame, doc_id: str, text: str, words: int, *more: Column) -> DataFrame:
+    """The rows of repeated_spans, with more aggregates over the chunks of each run."""
+    rows = stage(chunk_rows(documents, doc_id, text), "substring-chunks")
+    repeated = stage(rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where(
+        "first_doc <> last_doc").select("digest", "first_doc"), "repeated-digests")
+    found = rows.join(repeated, "digest").select("doc_id", "start", "size", "words", "signs", "ends", "first_doc").distinct()
+    order = Window.partitionBy("doc_id").orderBy("start")
+    begins = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("size")).over(order), F.lit(True))
+    return found.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order)).groupBy(
+        "doc_id", "run").agg(
+        F.min("start").alias("start"), F.sum("size").alias("size"),
+        (F.sum("words") + F.floor(F.sum("signs") / SIGNS)).alias("n_words"),
+        ((F.min("start") == 0) & F.max("ends")).alias("whole"), F.min("first_doc").alias("first_doc"),
+        F.sum(F.when(F.col("first_doc") != F.col("doc_id"), F.col("size")).otherwise(0)).alias("n_removed"), *more).where(
+        (F.col("n_words") >= words) | (F.col("whole") & (F.col("n_words") > 0))).drop("run", "whole")
+
+
 def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, start, size, n_words, first_doc, n_removed: runs of chunks that other documents have too.
 
@@ -143,30 +160,19 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     Null and empty texts and null ids have no rows. Rows that share an id are one document. A text of one word without spaces is
     never reported. Other columns are not read.
     """
-    rows = stage(chunk_rows(documents, doc_id, text), "substring-chunks")
-    repeated = stage(rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where(
-        "first_doc <> last_doc").select("digest", "first_doc"), "repeated-digests")
-    found = rows.join(repeated, "digest").select("doc_id", "start", "size", "words", "signs", "ends", "first_doc").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start")
-    begins = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("size")).over(order), F.lit(True))
-    return found.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order)).groupBy(
-        "doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("size").alias("size"), (F.sum("words") + F.floor(F.sum("signs") / SIGNS)).alias("n_words"),
-        ((F.min("start") == 0) & F.max("ends")).alias("whole"),
-        F.min("first_doc").alias("first_doc"),
-        F.sum(F.when(F.col("first_doc") != F.col("doc_id"), F.col("size")).otherwise(0)).alias("n_removed")).where(
-        (F.col("n_words") >= words) | (F.col("whole") & (F.col("n_words") > 0))).drop("run", "whole")
+    return _spans(documents, doc_id, text, words)
 
 
 def drop_repeated_substrings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
                              words: int = WORDS) -> DataFrame:
-    """`documents` with each run of repeated chunks cut out of every document but the run's first one.
+    """`documents` without those chunks of runs that a document with a smaller id has, so the first copy of each chunk stays.
 
     All rows and columns stay. Null ids and texts are left alone; rows that share an id are cut alike only where their
     bytes fit, since a cut that would split a character is left out.
     """
-    spans = stage(repeated_spans(documents, doc_id, text, words).where("first_doc <> doc_id").groupBy(
-        F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("_cut")), "substring-cuts")
+    elsewhere = F.when(F.col("first_doc") != F.col("doc_id"), F.struct("start", "size"))
+    spans = stage(_spans(documents, doc_id, text, words, F.collect_list(elsewhere).alias("cut")).where("n_removed > 0").groupBy(
+        F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.flatten(F.collect_list("cut"))).alias("_cut")), "substring-cuts")
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:

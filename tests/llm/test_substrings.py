@@ -92,3 +92,19 @@ def test_other_spaces_and_scripts_short_copies_and_repetition(docs):
     rows += [(900, "a short copy"), (901, "a short copy"), (902, "another text"), (903, "word"), (904, "word")]
     got = {r.doc_id for r in S.repeated_spans(docs(*rows)).collect()}
     assert got == {10 * k + d for k in range(len(passages)) for d in (0, 1)} | {900, 901}
+
+
+def test_first_copies_stay_where_passages_touch(docs):
+    def ends(t):
+        return S.cuts(np.frombuffer(t.encode(), np.uint8)).tolist()
+
+    def until_cut(t):
+        return t.encode()[:ends(t)[-2]].decode()
+
+    p = until_cut(text(41, 80))
+    q = next(q for q in (until_cut(text(k, 80)) for k in range(42, 400)) if set(ends(p + q)) == {*ends(p), *(len(p.encode()) + e for e in ends(q))})
+    df = docs((1, p), (2, p + q), (3, q))
+    out = {r.doc_id: r.text for r in S.drop_repeated_substrings(df).collect()}
+    assert out == {1: p, 2: q, 3: ""}
+    spans = S.repeated_spans(df).where("doc_id = 2").collect()
+    assert [(r.start, r.size, r.n_removed) for r in spans] == [(0, len((p + q).encode()), len(p.encode()))]
