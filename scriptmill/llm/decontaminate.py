@@ -94,13 +94,14 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int, liter
 
 def text_windows(texts: DataFrame, size: int) -> DataFrame:
     """doc_id, doc_pos, hash: all windows of the texts' templates, and those of their named templates that differ."""
-    def differing(plain_hashes: Column) -> Column:
-        return let(window_hashes(named_template(F.col("text")), size), lambda named: F.concat(plain_hashes, F.transform(
-            named, lambda h, i: F.when(h != F.get(plain_hashes, i), h))))
-
-    rows = texts.select("doc_id", let(window_hashes(template(F.col("text")), size), differing).alias("hashes"))
-    return rows.select("doc_id", F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "hash")).where(
-        "hash is not null").select("doc_id", F.expr("at % (n div 2)").cast("int").alias("doc_pos"), "hash")
+    def words(base: Column) -> Column:
+        return F.struct(window_hashes(marked_words(base), size).alias("own"),
+                        window_hashes(marked_words(F.regexp_replace(base, INITIALS, NAME)), size).alias("named"))
+
+    both = let(let(marked(F.col("text")), words), lambda w: F.transform(w.own, lambda h, i: F.struct(
+        h.alias("own"), F.nullif(F.get(w.named, i), h).alias("named"))))
+    return texts.select("doc_id", F.posexplode(both).alias("doc_pos", "w")).select(
+        "doc_id", "doc_pos", F.explode(F.array("w.own", "w.named")).alias("hash")).where("hash is not null")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
