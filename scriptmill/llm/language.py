@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptmill.llm.common import held_out, table
 
-#: lines the field is fitted on at most (those with the smallest hash of id and position), and the longest such line
+#: lines the field is fitted on at most (those with the smallest hash of id and position), and characters of the
+#: pieces that longer ones are split into, at white space where there is some
 SAMPLE_LINES, SAMPLE_CHARS = 12_000, 2_000
 #: hash buckets of the features; words of the lexicon of each language
 BUCKETS, LEXICON = 1 << 16, 300
@@ -33,7 +34,7 @@ def features(word: str, lexicon: dict[str, tuple]) -> list[int]:
     """Buckets of a word's affixes of 1 to 3 letters, its 2- and 3-grams, and the lexicons that hold it."""
     framed, size = f"^{word}$", len(word)
     names = [f"p{word[:n]}" for n in (1, 2, 3) if n <= size] + [f"s{word[-n:]}" for n in (1, 2, 3) if n <= size]
-    names += [framed[i:i + n] for n in (2, 3) for i in range(min(len(framed), 40) - n + 1)]
+    names += [framed[i:i + n] for n in (2, 3) for i in range(len(framed) - n + 1)]
     names += lexicon.get(word, ())
     return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS for name in names]
 
@@ -177,15 +178,17 @@ class Field:
 
 def fit_field(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
               lines: int = SAMPLE_LINES) -> Field:
-    """A field fitted on at most `lines` lines of at most SAMPLE_CHARS characters (so what the driver gets is
+    """A field fitted on at most `lines` lines, or pieces of at most SAMPLE_CHARS characters of longer ones (so what the driver gets is
     bounded), an equal number for each language, from documents outside the held-out fifth."""
-    rows = documents.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("lang"),
-                            F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).where(
-        F.col("lang").isNotNull() & ~held_out(F.col("i")) & (F.length("line") <= SAMPLE_CHARS)
-        & F.col("line").rlike("\\p{L}"))
-    rows = rows.withColumn("order", F.xxhash64("i", "at"))
+    whole = documents.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("lang"),
+                             F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).where(
+        F.col("lang").isNotNull() & ~held_out(F.col("i")))
+    pieces = F.when(F.length("line") <= SAMPLE_CHARS, F.array("line")).otherwise(F.regexp_extract_all(
+        "line", F.lit(f"(?s).{{1,{SAMPLE_CHARS}}}(?:(?<=\\s)|(?=\\s)|$)|.{{1,{SAMPLE_CHARS}}}"), F.lit(0)))
+    rows = whole.select("i", "lang", "at", F.posexplode(pieces).alias("piece", "line")).where(F.col("line").rlike("\\p{L}"))
+    rows = rows.withColumn("order", F.when(F.col("piece") == 0, F.xxhash64("i", "at")).otherwise(F.xxhash64("i", "at", "piece")))
     salt = F.pmod("order", F.lit(SALTS))  # no task ranks all lines of a language
-    rank = F.row_number().over(Window.partitionBy("lang", salt).orderBy("order", "i", "at"))
+    rank = F.row_number().over(Window.partitionBy("lang", salt).orderBy("order", "i", "at", "piece"))
     sample = rows.withColumn("rank", rank).where(F.col("rank") <= -(-lines // SALTS)).orderBy("rank", "lang").limit(
         lines).select("lang", "line", "order").collect()
     sample.sort(key=lambda r: (r.order, r.line))

@@ -56,3 +56,13 @@ def test_edge_rows(docs, spark, field):
     assert L.identify(df.where("false"), field).count() == 0
     none = L.fit_field(df.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang_pred, r.score) for r in L.identify(df, none).collect()} == {("und", 0.0)}
+
+
+def test_long_lines_and_words_are_learned_from(spark):
+    words = {"aa": "alba mana tara ", "bb": "zilch morx quip ", "cc": "\u6f22\u5b57\u8a9e\u6587"}
+    rows = [(i, w * (4 * L.SAMPLE_CHARS // len(w)), lang) for i in range(30) for lang, w in words.items()]
+    field = L.fit_field(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lines=200)
+    assert field.languages == ["aa", "bb", "cc"]
+    asked = spark.createDataFrame([(k, w * 5) for k, w in enumerate(words.values())], "doc_id long, text string")
+    assert [r.lang_pred for r in L.identify(asked, field).orderBy("doc_id").collect()] == ["aa", "bb", "cc"]
+    assert set(L.features("a" * 50 + "xyz" + "a" * 50, {})) != set(L.features("a" * 103, {}))
