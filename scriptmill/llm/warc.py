@@ -57,8 +57,11 @@ def encode_record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    data = "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    if len(data) > RECORD_BYTES:
+        raise ValueError(f"the record of page {page_id} has {len(data)} bytes, more than {RECORD_BYTES}, and could not be read again")
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + pack.flush()
+    return pack.compress(data) + pack.flush()
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -208,34 +211,39 @@ def salvage(stream) -> Iterator[dict]:
         yield {"kind": "gap", "offset": gap, "gap_bytes": source.at - gap, "reason": why}
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, with_payload: bool = True, whole: bool = False) -> DataFrame:
     """All records and quarantined gaps of the archives named in column `archive`, one task slot per archive.
 
     Streams each archive, holding one record at a time. Null names are skipped, an empty archive gives no
-    rows, one that cannot be opened fails the job. Record ids other than page ids are kept as they stand.
+    rows, one that cannot be opened fails the job; with `whole` so does one that gives another number of records than its column
+    `records` says. Record ids other than page ids are kept as they stand.
     """
     columns = [f.split()[0] for f in RECORDS.split(", ")]
     kinds = {"offset": pa.int64(), "payload_bytes": pa.int64(), "gap_bytes": pa.int64(), "payload": pa.binary()}
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                count = 0
                 with _open(name, "r") as stream:
                     rows, size = [], 0
                     for row in salvage(stream):
                         size += len(row.get("payload") or b"") + 500
+                        count += row["kind"] != "gap"
                         rows.append(row | {"archive": name} if with_payload else row | {"archive": name, "payload": None})
                         if size > 4 << 20:
                             yield batch_of(rows)
                             rows, size = [], 0
                     if rows:
                         yield batch_of(rows)
+                if told is not None and count != told:
+                    raise ValueError(f"{name} gave {count} of {told} records")
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([r.get(c) for r in rows], kinds.get(c, pa.string())) for c in columns], columns)
 
-    names = archives.select("archive").where("archive is not null")
+    names = archives.select("archive", (F.col("records") if whole else F.lit(None)).cast("long").alias("records")).where("archive is not null")
     return names.repartition(F.col("archive")).mapInArrow(read, RECORDS)
 
 
@@ -262,7 +270,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = revisits(table(spark, sf_dir, "pages"))
     kind = records.schema["page_id"].dataType
     archives = write_archives(records, new_path(spark, "warc"))
-    return read_archives(archives, with_payload=False).where("kind <> 'gap'").select(
+    return read_archives(archives, with_payload=False, whole=True).where("kind <> 'gap'").select(
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("kind").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
 

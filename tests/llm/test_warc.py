@@ -72,3 +72,14 @@ def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     archives = W.write_archives(W.revisits(df), new_path(spark, "test-warc"))
     assert archives.count() == 0 and W.read_archives(archives).count() == 0
+
+
+def test_no_record_is_lost_silently(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "short"), (2, "u", "other")], "page_id long, url string, html string")
+    archives = W.write_archives(W.revisits(df), new_path(spark, "test-warc"))
+    assert W.read_archives(archives, whole=True).count() == 2
+    with pytest.raises(Exception, match="records"):
+        W.read_archives(archives.selectExpr("archive", "records + 1 as records"), whole=True).collect()
+    monkeypatch.setattr(W, "RECORD_BYTES", 1000)
+    with pytest.raises(ValueError, match="more than 1000"):
+        record(1, b"x" * 1000)
