@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from scriptmill.llm import bpe, decontaminate, jaccard, language, line_dedup, neighbours, quality, substrings, url_filters, warc
+from scriptmill.llm import (
+    bpe, decontaminate, jaccard, language, line_dedup, neighbours, pieces, quality, substrings, url_filters, warc)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_warc": warc.op10_warc,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
