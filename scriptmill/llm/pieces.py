@@ -6,6 +6,7 @@ is filled from left to right; the ids are read off it backwards.
 """
 
 import functools
+import itertools
 import re
 import struct
 from array import array
@@ -20,8 +21,8 @@ from scriptmill.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: a worker forgets its encoded words when it holds so many (some 30 MB), and never keeps longer ones
-KEPT_WORDS, KEPT_SIZE = 150_000, 48
+#: a worker forgets its encoded words when it holds so many (some 80 MB), and never keeps longer ones
+KEPT_WORDS, KEPT_SIZE = 400_000, 32
 #: borders between tokens that a worker remembers (some 15 MB)
 KEPT_BORDERS = 1 << 17
 #: characters that a worker splits into words at a time, whole texts at least
@@ -123,9 +124,15 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.kept = vocabulary, {}
-        known = "".join(map(re.escape, sorted(vocabulary.signs - {SPACE})))
-        # no token holds a space after another sign, nor a sign without an entry: pieces of texts are encoded alone
-        self.find = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]+").findall
+        letters = {c for c in vocabulary.signs if c.isalpha()}
+        groups = [letters, vocabulary.signs - letters - {SPACE}]
+        if any((a in letters) != (b in letters) for t in vocabulary.ids for a, b in itertools.pairwise(t.lstrip(SPACE))):
+            groups = [groups[0] | groups[1]]
+        # no token crosses the border of two groups, holds a space after another sign, or a sign without an entry:
+        # such pieces of a text are encoded alone
+        known = ["".join(map(re.escape, sorted(group))) for group in groups]
+        self.find = re.compile("|".join([f"{SPACE}*[{signs}]+" for signs in known] + [
+            f"{SPACE}+", f"[^{''.join(known)}{SPACE}]+"])).findall
         self.ends = ahocorasick.Automaton()
         for token, i in vocabulary.ids.items():
             if len(token) == 1 or i in vocabulary.halves:
