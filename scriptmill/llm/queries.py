@@ -1,7 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
 from scriptmill.llm import (
-    bpe, decontaminate, jaccard, language, line_dedup, neighbours, pieces, quality, substrings, url_filters, warc)
+    bpe, conversations, decontaminate, jaccard, language, line_dedup, neighbours, pieces, quality, substrings, url_filters,
+    warc, whitening)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +15,8 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_warc": warc.op10_warc,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_conversation_trie": conversations.op12_conversation_trie,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 SQL = {
@@ -21,4 +24,5 @@ SQL = {
     "op5_ngram_jaccard": jaccard.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_warc": warc.SQL,
+    "op12_conversation_trie": conversations.SQL,
 }
