@@ -15,22 +15,26 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptmill.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
-SPACE = "▁"
+#: what a model file has for a space; in texts it is one
+SIGN = "▁"
 #: a worker forgets its encoded words when it holds so many (some 80 MB), and never keeps longer ones
 KEPT_WORDS, KEPT_SIZE = 400_000, 32
 #: borders between tokens that a worker remembers (some 15 MB)
 KEPT_BORDERS = 1 << 17
-#: characters that a worker splits into words at a time, whole texts at least
-CHUNK_CHARS = 2 << 20
+#: bytes of text that a worker splits into words at a time, whole texts at least
+CHUNK_BYTES = 1 << 20
 #: kinds of pieces in a model file
 NORMAL, UNKNOWN, CONTROL, UNUSED, BYTE = 1, 2, 3, 5, 6
 BPE = 2
 INF = float("inf")
+#: stands between words, and for the token before a word's first one
+SEPARATOR, START = "\0", -1
 
 
 def default_path() -> str:
@@ -69,7 +73,7 @@ class Vocabulary:
 
     `rank` orders merges by falling score; equal scores share a rank, and of equal ranks the left merges first.
     `halves` says which two tokens a token's own text is merged from last; tokens that their own text does not lead to
-    are never made, so they are left out of it.
+    are never made, so they are left out of it. Tokens have a space where the file has its sign for one.
     """
 
     def __init__(self, path: str):
@@ -81,12 +85,14 @@ class Vocabulary:
         self.tokens = [p[1].decode() for p in pieces]
         kinds = [p.get(3, NORMAL) for p in pieces]
         scores = [struct.unpack("<f", p[2])[0] if 2 in p else 0.0 for p in pieces]
+        spaced = any(" " in t for t in self.tokens)
+        self.tokens = [t.replace(SIGN, " ") for t in self.tokens]
         self.ids = {t: i for i, (t, k) in enumerate(zip(self.tokens, kinds)) if k == NORMAL}
         signs = {t for t in self.ids if len(t) == 1}
         foreign = {c for t in self.ids if len(t) > 1 for c in t} - signs
         if (trainer.get(3) != BPE or rules.get(2) or rules.get(3, 1) != 1 or rules.get(4, 1) != 0 or rules.get(5, 1) != 1
                 or kinds.count(BYTE) != 256 or set(kinds) - {NORMAL, UNKNOWN, CONTROL, UNUSED, BYTE} or foreign
-                or any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.ids)):
+                or spaced or SEPARATOR in signs or any(re.search("[^ ] ", t) for t in self.ids)):
             raise ValueError(f"{path}: not a BPE model with byte fallback and identical text")
         self.signs = signs
         self.bytes = [i for _, i in sorted((int(t[3:5], 16), i) for i, t in enumerate(self.tokens) if kinds[i] == BYTE)]
@@ -125,19 +131,19 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.kept = vocabulary, {}
         letters = {c for c in vocabulary.signs if c.isalpha()}
-        groups = [letters, vocabulary.signs - letters - {SPACE}]
-        if any((a in letters) != (b in letters) for t in vocabulary.ids for a, b in itertools.pairwise(t.lstrip(SPACE))):
+        groups = [letters, vocabulary.signs - letters - {" "}]
+        if any((a in letters) != (b in letters) for t in vocabulary.ids for a, b in itertools.pairwise(t.lstrip(" "))):
             groups = [groups[0] | groups[1]]
         # no token crosses the border of two groups, holds a space after another sign, or a sign without an entry:
         # such pieces of a text are encoded alone
         known = ["".join(map(re.escape, sorted(group))) for group in groups]
-        self.find = re.compile("|".join([f"{SPACE}*[{signs}]+" for signs in known] + [
-            f"{SPACE}+", f"[^{''.join(known)}{SPACE}]+"])).findall
+        self.find = re.compile("|".join([f" *[{signs}]+" for signs in known] + [" +", f"[^{''.join(known)} ]+"])).findall
         self.ends = ahocorasick.Automaton()
         for token, i in vocabulary.ids.items():
-            if len(token) == 1 or i in vocabulary.halves:
+            if i in vocabulary.halves:
                 self.ends.add_word(token, (len(token), i))
         self.ends.make_automaton()
+        self.single = {t: vocabulary.ids[t] for t in vocabulary.signs} | {SEPARATOR: START}
         self.spine = functools.lru_cache(None)(self._spine)
         self.fits = functools.lru_cache(KEPT_BORDERS)(self._fits)
 
@@ -152,6 +158,8 @@ class Encoder:
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether no merge ever crosses the border between two neighbouring tokens."""
+        if left == START:
+            return True
         ids, rank = self.v.ids, self.v.rank
         for a, a_made, a_ends in self.spine(left, 1):
             for b, b_made, b_ends in self.spine(right, 0):
@@ -162,43 +170,46 @@ class Encoder:
                         return False
         return True
 
-    def word(self, text: str) -> bytes:
-        """The ids of one piece of a text as little-endian 32-bit numbers."""
-        if text[0] not in self.v.signs:
-            return array("i", [self.v.bytes[b] for b in text.encode()]).tobytes()
-        last: list[tuple[int, int]] = [(0, -1)] * len(text)
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of pieces of texts as little-endian 32-bit numbers. The tables of all of them are filled in one run
+        of the automaton, over the pieces behind one another."""
+        found, known = {}, []
+        for word in words:
+            if word[0] in self.v.signs:
+                known.append(word)
+            else:
+                found[word] = array("i", [self.v.bytes[b] for b in word.encode()]).tobytes()
+        text = SEPARATOR.join(["", *known])
+        # where no longer token ends a prefix, its last sign does
+        last, sizes = [*map(self.single.get, text)], [1] * len(text)
         filled, fits = -1, self.fits
-        for end, match in self.ends.iter(text):
-            if end != filled:
-                size, token = match
-                before = end - size
-                if before < 0 or fits(last[before][1], token):
-                    last[end], filled = match, end
-        ids, at = [], len(text) - 1
-        while at >= 0:
-            size, token = last[at]
-            if not size:
-                raise ValueError(f"no token ends {text[:at + 1][-40:]!r}")
-            ids.append(token)
-            at -= size
-        return array("i", ids[::-1]).tobytes()
+        for end, (size, token) in self.ends.iter(text):
+            if end != filled and fits(last[end - size], token):
+                last[end], sizes[end], filled = token, size, end
+        stop = 0
+        for word in known:
+            start, stop = stop, stop + 1 + len(word)
+            ids, at = [], stop - 1
+            while at > start:
+                ids.append(last[at])
+                at -= sizes[at]
+            ids.reverse()
+            found[word] = array("i", ids).tobytes()
+        return found
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); every text has the id of its end."""
         kept, find = self.kept, self.find
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        pieces = [find(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
-        long = []
-        for word in set().union(*pieces):
-            if word not in kept:
-                kept[word] = self.word(word)
-                if len(word) > KEPT_SIZE:
-                    long.append(word)
+        pieces = [find(" " + text.replace(SIGN, " ")) if text else [] for text in texts]
+        new = self.learn(set().union(*pieces).difference(kept))
+        kept.update(new)
         end, look = array("i", [self.v.end]).tobytes(), kept.__getitem__
         coded = [b"".join(map(look, own)) + end for own in pieces]
-        for word in long:
-            del kept[word]
+        for word in new:
+            if len(word) > KEPT_SIZE:
+                del kept[word]
         return np.frombuffer(b"".join(coded), "<i4"), np.array([len(b) // 4 for b in coded], np.int64)
 
 
@@ -206,12 +217,12 @@ class Decoder:
     """The text of lists of ids. Signs in bytes that are no UTF-8 become U+FFFD, one for each byte."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.parts = {i: t.replace(SPACE, " ").encode() for i, t in enumerate(vocabulary.tokens)}
+        self.parts = {i: t.encode() for i, t in enumerate(vocabulary.tokens)}
         self.parts |= {i: bytes([b]) for b, i in enumerate(vocabulary.bytes)}
         self.parts |= dict.fromkeys(vocabulary.silent, b"")
         self.parts |= dict.fromkeys(vocabulary.unknown, " ⁇ ".encode())
         self.silent = vocabulary.silent
-        self.led = {i for t, i in vocabulary.ids.items() if t[0] == SPACE}
+        self.led = {i for t, i in vocabulary.ids.items() if t[0] == " "}
 
     def text(self, ids: list[int]) -> str:
         parts = self.parts
@@ -240,40 +251,54 @@ def _each_byte(raw: bytes) -> str:
             at += fault.end
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Spans of whole texts of about CHUNK_CHARS."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= CHUNK_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Spans of whole texts of about CHUNK_BYTES."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(total):
+        before = total[start - 1] if start else 0
+        stop = min(len(total), int(np.searchsorted(total, before + CHUNK_BYTES)) + 1)
+        yield start, stop
+        start = stop
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """key and `ids` (array<int>) of every whole text, as the sentencepiece library encodes it with an end id only.
-
-    Null and empty texts have the end id alone. Keys may be null or repeated; other columns are not read. Words of any
-    length are encoded in time linear in their length; texts are never cut. The model is read on the driver; its size
-    bounds what is sent to the workers.
-    """
+def _coded(df: DataFrame, key: str, text: str, path: str | None, decoded: str | None) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
     kind = df.schema[key].dataType.simpleString()
+    names = ["_key", "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
+        encoder, decoder = Encoder(held.value), Decoder(held.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for start, stop in _chunks(texts):
-                ids, counts = encoder.encode(texts[start:stop])
+                ids, counts = encoder.encode(texts.slice(start, stop - start).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), lists], ["_key", "ids"])
+                out = [batch.column(0).slice(start, stop - start), pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(ids, pa.int32()))]
+                if decoded:
+                    flat, ends = ids.tolist(), offsets.tolist()
+                    out.append(pa.array([decoder.text(flat[a:b]) for a, b in itertools.pairwise(ends)], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
-        run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+        run, f"_key {kind}, ids array<int>" + (f", {decoded} string" if decoded else "")).withColumnRenamed("_key", key)
+
+
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """key and `ids` (array<int>) of every whole text, as the sentencepiece library encodes it with an end id only.
+
+    Null and empty texts have the end id alone. Keys may be null or repeated; other columns are not read. Words of any
+    length are encoded in time linear in their length; texts are never cut. The model is read on the driver; its size
+    bounds what is sent to the workers.
+    """
+    return _coded(df, key, text, path, None)
+
+
+def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", into: str = "decoded",
+               path: str | None = None) -> DataFrame:
+    """`encode` with the text that its ids decode to, as `decode` gives it, in one pass."""
+    return _coded(df, key, text, path, into)
 
 
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
@@ -293,8 +318,7 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | N
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key, n_tokens and the digests of the ids and of the decoded text of every row."""
-    coded = decode(encode(df, key, text, path), path=path)
-    return coded.select(key, F.size("ids").cast("long").alias("n_tokens"),
+    return round_trip(df, key, text, path=path).select(key, F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
