@@ -32,8 +32,7 @@ def read_books(spark, sf_dir):
         F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 256).cast("string")).alias("book"),
         F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n")))
         .otherwise(F.col("text")).alias("value"))
-    found = books.read_books(spark, as_files(texts, "book-files"))
-    return books.book_lines(found.withColumn("book_id", book_of_path()))
+    return books.read_lines(spark, as_files(texts, "book-files")).withColumn("book_id", book_of_path())
 
 
 def number_lines(spark, sf_dir):

@@ -205,5 +205,8 @@ def test_staging_uses_the_folder_the_session_names(spark):
 
     named = Session(spark, {"spark.checkpoint.dir": "hdfs://shared/x"})
     assert new_path(named, "t").startswith("hdfs://shared/x/t-")
-    own = shared_folder(Session(spark, {}))
-    assert "scriptmill-" in own and own == shared_folder(Session(spark, {}))
+    local = Session(spark, {"spark.master": "local[2]"})
+    assert "scriptmill-" in shared_folder(local) and shared_folder(local) == shared_folder(local)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(Session(spark, {"spark.master": master}))
