@@ -6,8 +6,8 @@ a whole book would be one task. Here each block of rows is folded on its own, gi
 
 1. a block's transfer table says for every entry state which state it is left in; with a
    forced group start inside, that is one state whatever the entry;
-2. tables are composed, first within spans of blocks, then over the spans of a book, which
-   gives every block its entry state;
+2. tables are composed up a tree of fixed fan-in, and entry states are handed down it again, which
+   gives every block its own;
 3. every block is cut once from its entry state, and the pieces of a group that crosses a block
    edge are put together by an aggregation.
 
@@ -27,7 +27,7 @@ from scriptmill.operators.ordered import BLOCK, RunningSum, block_of, running
 from scriptmill.session import stage
 
 FOLD_ROWS = 1 << 11  # rows of one block; arrays never grow past this
-SPAN_BLOCKS = 256    # blocks composed in one step
+FAN_IN = 64          # tables composed in one step
 
 # States of the open group, as places in a transfer table:
 # 0 = no open group, 1 + n = an open group of n tokens, the last = over the limit.
@@ -121,6 +121,32 @@ def group_starts(rule, tokens, breaks, entry: int) -> list[int]:
     return starts
 
 
+def narrowed(table: np.ndarray) -> np.ndarray:
+    """A table as runs of states that are left alike or one after another: their first states, the states these are
+    left in, and steps of 0 or 1. Groups soon close alike however they were entered, so there are few."""
+    rise = np.diff(table)
+    straight = (rise == 0) | (rise == 1)
+    straight[1:] &= rise[1:] == rise[:-1]
+    first = np.flatnonzero(np.append(True, ~straight))
+    step = np.append(rise, 0)[first]
+    step[np.diff(np.append(first, len(table))) == 1] = 0
+    return np.concatenate([first, table[first], step]).astype(np.int32)
+
+
+def widened(runs: np.ndarray, states: int) -> np.ndarray:
+    """The whole table of `narrowed`."""
+    first, to, step = np.asarray(runs).reshape(3, -1)
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, states)))
+    return to[run] + step[run] * (np.arange(states) - first[run])
+
+
+def left_in(runs: np.ndarray, state: int) -> int:
+    """The state that `state` is left in."""
+    first, to, step = np.asarray(runs).reshape(3, -1)
+    run = np.searchsorted(first, state, side="right") - 1
+    return int(to[run] + step[run] * (state - first[run]))
+
+
 def _pack(rows: DataFrame, keys) -> DataFrame:
     """One row per block: its positions and counts in order, and where groups must start."""
     ordered = F.sort_array(F.collect_list(F.struct("pos", "tokens", "opens", "ends")))
@@ -135,44 +161,57 @@ def _pack(rows: DataFrame, keys) -> DataFrame:
 
 
 def _transfer(packed: DataFrame, keys, rule) -> DataFrame:
-    """keys, BLOCK, table: the exit state for every entry state."""
+    """keys, BLOCK, table: the exit state for every entry state, narrowed."""
     @F.pandas_udf("array<int>")
     def tables(tokens: pd.Series, breaks: pd.Series, closed: pd.Series) -> pd.Series:
-        return pd.Series([exit_states(rule, *row) for row in zip(tokens, breaks, closed)])
+        return pd.Series([narrowed(exit_states(rule, *row)) for row in zip(tokens, breaks, closed)])
 
     return packed.select(*keys, BLOCK, tables("tokens", "breaks", "closed").alias("table"))
 
 
-def _compose(seq: Column, states: int) -> Column:
-    return F.aggregate(seq, F.sequence(F.lit(0), F.lit(states - 1)),
-                       lambda acc, b: F.transform(acc, lambda s: F.get(b["table"], s)))
-
+def _entry_states(transfer: DataFrame, keys, rule) -> DataFrame:
+    """keys, BLOCK, entry: the state every block is entered with.
 
-def _entries(seq: Column, first: Column) -> Column:
-    """(at, state) per element: the state each table of an ordered array is entered with."""
-    init = F.struct(first.alias("state"),
-                    F.array().cast("array<struct<at:bigint,state:int>>").alias("out"))
-    walked = F.aggregate(seq, init, lambda acc, b: F.struct(
-        F.get(b["table"], acc["state"]).alias("state"),
-        F.array_append(acc["out"], F.struct(b["at"].alias("at"), acc["state"].alias("state")))
-        .alias("out")))
-    return walked["out"]
+    Up the tree, FAN_IN neighbouring tables become one; down it, each of them is told its entry. No row holds more than
+    FAN_IN tables, whatever the length of a book; a level has FAN_IN times fewer rows than the one below.
+    """
+    states, top = rule.top + 2, transfer.agg(F.max(BLOCK)).first()[0] or 0
 
+    @F.pandas_udf("array<int>")
+    def composed(tables: pd.Series) -> pd.Series:
+        out = []
+        for own in tables:
+            whole = np.arange(states)
+            for runs in own:
+                whole = widened(runs, states)[whole]
+            out.append(narrowed(whole))
+        return pd.Series(out)
 
-def _entry_states(transfer: DataFrame, keys, rule) -> DataFrame:
-    """keys, BLOCK, entry: the state every block is entered with."""
+    @F.pandas_udf("array<int>")
+    def entered(tables: pd.Series, first: pd.Series) -> pd.Series:
+        out = []
+        for own, state in zip(tables, first):
+            passed = [int(state)]
+            for runs in own[:-1]:
+                passed.append(left_in(runs, passed[-1]))
+            out.append(passed)
+        return pd.Series(out)
+
+    level, spans = transfer.withColumnRenamed(BLOCK, "at"), []
     ordered = F.sort_array(F.collect_list(F.struct(F.col("at"), F.col("table"))))
-    spans = (transfer.withColumn("at", F.col(BLOCK))
-             .withColumn("span", block_of(BLOCK, SPAN_BLOCKS))
-             .groupBy(*keys, "span").agg(ordered.alias("seq")))
-    books = (spans.select(*keys, F.col("span").alias("at"),
-                          _compose(F.col("seq"), rule.top + 2).alias("table"))
-             .groupBy(*keys).agg(ordered.alias("seq"))
-             .select(*keys, F.explode(_entries(F.col("seq"), F.lit(0))).alias("e"))
-             .select(*keys, F.col("e.at").alias("span"), F.col("e.state").alias("first")))
-    return (spans.join(books, [*keys, "span"])
-            .select(*keys, F.explode(_entries(F.col("seq"), F.col("first"))).alias("e"))
-            .select(*keys, F.col("e.at").alias(BLOCK), F.col("e.state").alias("entry")))
+    while True:
+        grouped = level.groupBy(*keys, block_of("at", FAN_IN).alias("span")).agg(ordered.alias("seq"))
+        spans.append(stage(grouped, "spans"))
+        top //= FAN_IN
+        if not top:
+            break
+        level = spans[-1].select(*keys, F.col("span").alias("at"), composed("seq.table").alias("table"))
+    entries = spans[-1].select(*keys, "span", F.lit(0).alias("entry"))
+    for grouped in reversed(spans):
+        told = grouped.join(entries, [*keys, "span"]).select(*keys, F.explode(F.arrays_zip(
+            F.col("seq.at").alias("span"), entered("seq.table", "entry").alias("entry"))).alias("e"))
+        entries = told.select(*keys, "e.span", "e.entry")
+    return entries.withColumnRenamed("span", BLOCK)
 
 
 def _pieces(packed: DataFrame, keys, rule) -> DataFrame:

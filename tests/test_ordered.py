@@ -69,7 +69,7 @@ def groups_by_loop(rows, close_before, close_after):
 @pytest.mark.parametrize("limit, blanks", [(5, 0.0), (9, 0.1), (30, 0.02), (3, 0.5)])
 def test_chunks_match_a_loop(spark, monkeypatch, limit, blanks):
     monkeypatch.setattr(budgets, "FOLD_ROWS", 4)
-    monkeypatch.setattr(budgets, "SPAN_BLOCKS", 2)
+    monkeypatch.setattr(budgets, "FAN_IN", 2)
     rng = random.Random(limit)
     rows = [(b, i, "" if rng.random() < blanks else "w " * rng.choice([0, 1, 1, 2, 3, 7, 40]) + "end",
              rng.random() < blanks / 2) for b in ("x", "y", "z") for i in range(rng.randint(1, 60))]
@@ -85,7 +85,7 @@ def test_chunks_match_a_loop(spark, monkeypatch, limit, blanks):
 @pytest.mark.parametrize("minimum", [1, 6, 25])
 def test_batches_match_a_loop(spark, monkeypatch, minimum):
     monkeypatch.setattr(budgets, "FOLD_ROWS", 4)
-    monkeypatch.setattr(budgets, "SPAN_BLOCKS", 2)
+    monkeypatch.setattr(budgets, "FAN_IN", 2)
     rng = random.Random(minimum)
     rows = [(b, i, " " if rng.random() < 0.2 else "w " * rng.choice([0, 1, 4, 30]) + "end")
             for b in ("x", "y") for i in range(70)]
@@ -98,6 +98,40 @@ def test_batches_match_a_loop(spark, monkeypatch, minimum):
             items, lambda total, n: False, lambda total: total >= minimum)
 
 
+@pytest.mark.parametrize("rule", [budgets.Chunks(40), budgets.Batches(40)])
+def test_narrowed_tables_are_whole(rule):
+    rng = random.Random(2)
+    for size in [1, 2, 3, 10, 300]:
+        for closed in (False, True):
+            tokens = [rng.choice([0, 1, 3, 50, 9]) for _ in range(size)]
+            table = budgets.exit_states(rule, tokens, [size // 2] if rng.random() < 0.2 else [], closed)
+            runs = budgets.narrowed(table)
+            assert budgets.widened(runs, len(table)).tolist() == table.tolist()
+            assert [budgets.left_in(runs, i) for i in range(len(table))] == table.tolist()
+    assert len(runs) <= 30
+
+
+@pytest.mark.parametrize("table", [[5], [0, 0, 1, 2], [0, 0, 5, 5, 5], [3, 1, 2, 3, 0, 0], [7, 9, 7, 9], list(range(9)), [1] * 9])
+def test_any_table_is_narrowed(table):
+    import numpy as np
+    assert budgets.widened(budgets.narrowed(np.array(table)), len(table)).tolist() == table
+
+
+def test_no_array_grows_with_a_book(spark, monkeypatch):
+    """One book of 700 blocks, a fan-in of 3: six levels, and at most 3 tables or 4 positions in a row."""
+    monkeypatch.setattr(budgets, "FOLD_ROWS", 4)
+    monkeypatch.setattr(budgets, "FAN_IN", 3)
+    staged, stage = {}, budgets.stage
+    monkeypatch.setattr(budgets, "stage", lambda df, label: staged.setdefault(f"{label}{len(staged)}", stage(df, label)))
+    lines = spark.range(2800).select(F.lit("b").alias("book_id"), F.col("id").alias("line_no"), F.lit("w").alias("line"))
+    got = budgets.chunk_by_tokens(lines, ["book_id"], "line_no", "line", 7, tokens=F.col("line_no") % 5)
+    want = groups_by_loop([(i, i % 5, False, False) for i in range(2800)], lambda total, n: total + n > 7, lambda total: False)
+    assert sorted(tuple(r[c] for c in ("chunk_no", "start_line", "end_line", "line_count", "tokens")) for r in got.collect()) == want
+    spans = [df for name, df in staged.items() if name.startswith("spans")]
+    assert len(spans) == 6 and max(df.agg(F.max(F.size("seq"))).first()[0] for df in spans) == 3
+    assert max(df.agg(F.max(F.size("pos"))).first()[0] for name, df in staged.items() if name.startswith("budget")) == 4
+
+
 def test_zero_token_rows_after_an_oversize_row(spark):
     df = spark.createDataFrame([("b", i, t) for i, t in enumerate([0, 9, 0, 0, 2])],
                                "book_id string, line_no long, n long").withColumn("line", F.lit("x"))
