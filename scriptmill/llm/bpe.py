@@ -1,7 +1,7 @@
 """BPE by prefix-sharing trie traversal, and decoding.
 
-Distinct words go into a trie; walking it depth first, every node gets the last token of the encoding of its
-prefix. That token t, of length n, is the one whose pair with the last token of the prefix n symbols shorter
+Distinct words are put in order, which is a depth-first walk of their trie; every node on the way gets the last token
+of the encoding of its prefix. That token t, of length n, is the one whose pair with the last token of the prefix n symbols shorter
 survives all merges, so the encoding of a prefix that many words share is found once, from two states.
 """
 
@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scriptmill.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
-#: a worker forgets its encoded words when it holds so many, and never keeps longer ones
-KEPT_WORDS, KEPT_SIZE = 700_000, 64
+#: a beginning of tokens that is none itself
+NO_TOKEN = -1
+#: a worker forgets its encoded words when it holds so many (some 70 MB), and never keeps longer ones
+KEPT_WORDS, KEPT_SIZE = 350_000, 32
+#: pairs of tokens that a worker remembers (some 20 MB)
+KEPT_PAIRS = 1 << 17
 #: characters that a worker splits into words at a time, whole texts at least
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 1 << 20
 
 
 def default_path() -> str:
@@ -76,8 +80,16 @@ class Encoder:
         self.find = regex.compile(vocabulary.pattern).findall
         self.marks = regex.compile("|".join(map(regex.escape, sorted(
             vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.longest = max(map(len, vocabulary.ids), default=1)
-        self.fits = functools.lru_cache(1 << 18)(self._fits)
+        # tokens that words can be made of, by their signs: inside a word, with all their beginnings, and at its end
+        self.inside, self.last = {}, {}
+        for token, i in vocabulary.ids.items():
+            ends = token.endswith(vocabulary.end)
+            body = token[:-len(vocabulary.end)] if ends else token
+            if body and (len(body) == 1 or i in vocabulary.halves):
+                for n in range(1, len(body) + 1):
+                    self.inside.setdefault(body[:n], NO_TOKEN)
+                (self.last if ends else self.inside)[body] = i
+        self.fits = functools.lru_cache(KEPT_PAIRS)(self._fits)
         self.spine = functools.lru_cache(None)(self._spine)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -102,45 +114,39 @@ class Encoder:
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of distinct words as little-endian 32-bit numbers.
 
-        `states` holds, for each shorter prefix of the node at hand, the token that ends its encoding and that
-        token's length; `tail` holds the last signs of the node's prefix.
+        `states` holds, for each prefix of the word at hand, the token that ends its encoding, that token's length, and how
+        many signs at the prefix's end begin some token. A word shares the states of the prefix that the word before has too.
         """
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for sign in "".join(map(self.signs.__getitem__, word.encode())):
-                node = node.setdefault(sign, {})
-            node[""] = word
-        found, states, last, end, longest = {}, [], self._last, self.v.end, self.longest
-        todo = [(0, "", trie)]
-        while todo:
-            depth, tail, node = todo.pop()
-            del states[depth:]
-            word = node.pop("", None)
-            if word is not None:
-                token, n = last(tail, depth, states, end)
-                ids, at = [token], depth - n
-                while at:
-                    token, n = states[at]
-                    ids.append(token)
-                    at -= n
-                found[word] = array("i", ids[::-1]).tobytes()
-            if node:
-                states.append(last(tail, depth, states, "") if depth else (-1, 0))
-                for sign, below in node.items():
-                    todo.append((depth + 1, (tail + sign)[-longest:], below))
+        sign, last = self.signs.__getitem__, self._last
+        found, states, before = {}, [(NO_TOKEN, 0, 0)], ""
+        for signs, word in sorted(("".join(map(sign, word.encode())), word) for word in words):
+            shared, most = 0, min(len(states) - 1, len(signs) - 1)
+            while shared < most and signs[shared] == before[shared]:
+                shared += 1
+            del states[shared + 1:]
+            for depth in range(shared + 1, len(signs)):
+                states.append(last(signs, depth, states, self.inside))
+            before, at, ids = signs, len(signs), []
+            token, n, _ = last(signs, at, states, self.last)
+            while True:
+                ids.append(token)
+                at -= n
+                if not at:
+                    break
+                token, n, _ = states[at]
+            found[word] = array("i", ids[::-1]).tobytes()
         return found
 
-    def _last(self, tail: str, depth: int, states: list, end: str) -> tuple[int, int]:
-        """(token, its length) that ends the encoding of a prefix of `depth` signs. Exactly one token fits."""
-        ids, halves, size = self.v.ids, self.v.halves, len(tail)
-        for n in range(size, 0, -1):
-            token = ids.get(tail[size - n:] + end)
-            if token is None or n > 1 and token not in halves:  # no entry, or one that no merge makes
-                continue
-            if n == depth or self.fits(states[depth - n][0], token):
-                return token, n
-        raise ValueError(f"no token ends {tail!r}")
+    def _last(self, signs: str, depth: int, states: list, tokens: dict[str, int]) -> tuple[int, int, int]:
+        """The state of the first `depth` signs. Exactly one of `tokens` fits."""
+        reach, fits = 0, self.fits
+        for n in range(states[depth - 1][2] + 1, 0, -1):
+            token = tokens.get(signs[depth - n:depth])
+            if token is not None:
+                reach = reach or n
+                if token != NO_TOKEN and (n == depth or fits(states[depth - n][0], token)):
+                    return token, n, reach
+        raise ValueError(f"no token ends {signs[:depth][-40:]!r}")
 
     def words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma, as in the library
@@ -184,28 +190,54 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """key and `ids` (array<int>) of every whole text, as the tokenizers library encodes it without added
-    special tokens; the strings of special tokens in a text become their ids, as there.
+def _texts(lists: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list of ids, joined by one space; null lists give nothing, as do null and unknown ids."""
+    flat = lists.flatten()
+    known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), flat, None)
+    strings = tokens.take(known)
+    counts = pc.fill_null(pc.list_value_length(lists), 0)
+    offsets = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))]).astype(np.int64)
+    if strings.null_count:
+        kept = strings.is_valid().to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
+        strings = strings.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), strings), " ")
 
-    Null and empty texts have no ids. Keys may be null or repeated; other columns are not read. Words of any
-    length are encoded; texts are never cut. The vocabulary's size bounds what is sent to the workers.
-    """
+
+def _coded(df: DataFrame, key: str, text: str, path: str | None, decoded: str | None) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
     kind = df.schema[key].dataType.simpleString()
+    names = ["_key", "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
+        encoder, tokens = Encoder(held.value), pa.array(held.value.tokens, pa.string())
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, stop in chunks(texts):
                 ids, counts = encoder.encode(texts[start:stop])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), lists], ["_key", "ids"])
+                out = [batch.column(0).slice(start, stop - start), lists]
+                yield pa.RecordBatch.from_arrays(out + ([_texts(lists, tokens)] if decoded else []), names)
 
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
-        run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+        run, f"_key {kind}, ids array<int>" + (f", {decoded} string" if decoded else "")).withColumnRenamed("_key", key)
+
+
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """key and `ids` (array<int>) of every whole text, as the tokenizers library encodes it without added
+    special tokens; the strings of special tokens in a text become their ids, as there.
+
+    Null and empty texts have no ids. Keys may be null or repeated; other columns are not read. Words of any
+    length are encoded; texts are never cut. The vocabulary's size bounds what is sent to the workers.
+    """
+    return _coded(df, key, text, path, None)
+
+
+def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", into: str = "decoded",
+               path: str | None = None) -> DataFrame:
+    """`encode` with the text that its ids decode to, as `decode` gives it, in one pass."""
+    return _coded(df, key, text, path, into)
 
 
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
@@ -215,25 +247,14 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | N
 
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
-        tokens = pa.array(held.value, pa.string())
-        flat = lists.flatten()
-        known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), flat, None)
-        strings = tokens.take(known)
-        counts = pc.fill_null(pc.list_value_length(lists), 0)
-        offsets = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))]).astype(np.int64)
-        if strings.null_count:
-            kept = strings.is_valid().to_numpy(zero_copy_only=False)
-            offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
-            strings = strings.drop_null()
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), strings), " ")
+        return _texts(lists, pa.array(held.value, pa.string()))
 
     return df.withColumn(into, text_of(F.col(ids)))
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key, n_tokens and the digests of the ids and of the decoded text of every row."""
-    coded = decode(encode(df, key, text, path), path=path)
-    return coded.select(key, F.size("ids").cast("long").alias("n_tokens"),
+    return round_trip(df, key, text, path=path).select(key, F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

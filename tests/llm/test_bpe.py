@@ -45,7 +45,7 @@ def test_runs_and_special_tokens(library):
 def test_queries_digest_and_round_trip(docs, library):
     df = docs((None, "Hello  WORLD"), (1, None), (1, ""), (2, "<|endoftext|> naïve"), (3, "ab " * 50_000), (3, "ab " * 50_000))
     rows = bpe.decode(bpe.encode(df)).collect()
-    assert len(rows) == 6
+    assert len(rows) == 6 and bpe.round_trip(df).collect() == rows
     for r in rows:
         assert r.decoded == library.decode(list(r.ids), skip_special_tokens=False)
     assert sorted(len(r.ids) for r in rows)[:2] == [0, 0]
