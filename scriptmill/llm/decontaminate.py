@@ -15,32 +15,35 @@ WINDOW, LITERALS = 6, 3
 COVERAGE, CONSISTENCY = 0.35, 0.5
 
 NUMBER, NAME, UNIT = "\uE000", "\uE001", "\uE002"
+#: stands before words that may be names or not
+INITIAL = "\uE003"
 UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr hrs day days week weeks month months "
          "year years ms hz khz mhz ghz w kw mw v kb mb gb tb mph kmh percent usd eur gbp dollars dollar euros euro cents cent "
          "meters meter metres metre kilometers kilometer grams gram kilograms kilogram liters liter litres litre "
          "seconds second minutes minute hours hour miles mile feet foot inches inch pounds pound degrees degree").split()
 NUMBERS = "\\p{N}+(?:[.,:/]\\p{N}+)+|[\\p{L}\\p{M}\\p{N}]*\\p{N}[\\p{L}\\p{M}\\p{N}]*"
-NAMES = f"(?<=[\\p{{Ll}}{NUMBER}][,;]? {{1,2}})\\p{{Lu}}[\\p{{L}}\\p{{M}}]*"
+NAMES = f"\\p{{Lu}}(?<=[\\p{{Ll}}{NUMBER}][,;]? {{1,2}}\\p{{Lu}})[\\p{{L}}\\p{{M}}]*"
 #: capitalised words that NAMES leaves at the start of a sentence, a line, a quote or a bracket
-INITIALS = f"(?<=^|[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}-{UNIT} ,;] {{0,2}})\\p{{Lu}}[\\p{{L}}\\p{{M}}]*"
-MEASURES = f"(?<={NUMBER} {{1,2}})(?i:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{M}}])"
+INITIALS = f"\\p{{Lu}}(?<=(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}-{INITIAL} ,;] {{0,2}})\\p{{Lu}})[\\p{{L}}\\p{{M}}]*"
+MEASURES = f"({NUMBER} {{1,2}})(?i:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{M}}])"
 
 
 def plain(text: Column) -> Column:
     """The text without the signs that stand for slots; a null text is empty."""
     text = F.coalesce(text, F.lit(""))
-    signs = text.contains(NUMBER) | text.contains(NAME) | text.contains(UNIT)
-    return F.when(signs, F.translate(text, NUMBER + NAME + UNIT, "   ")).otherwise(text)
+    signs = NUMBER + NAME + UNIT + INITIAL
+    held = text.contains(NUMBER) | text.contains(NAME) | text.contains(UNIT) | text.contains(INITIAL)
+    return F.when(held, F.translate(text, signs, " " * len(signs))).otherwise(text)
 
 
 def marked(text: Column) -> Column:
     """A plain text with placeholders: numbers; capitalised words inside a sentence; units behind numbers."""
     text = F.regexp_replace(text, NUMBERS, f" {NUMBER} ")
-    return F.regexp_replace(F.regexp_replace(text, NAMES, NAME), MEASURES, UNIT)
+    return F.regexp_replace(F.regexp_replace(text, NAMES, NAME), MEASURES, f"$1{UNIT}")
 
 
 def marked_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), f"[^\\p{{L}}\\p{{M}}{NUMBER}-{UNIT}]+"), "")
+    return F.array_remove(F.split(F.lower(text), f"[^\\p{{L}}\\p{{M}}{NUMBER}-{INITIAL}]+"), "")
 
 
 def template(text: Column) -> Column:
@@ -59,11 +62,9 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("\\p{N}+(?:[.,:/]\\p{N}+)+|[\\p{L}\\p{M}\\p{N}]+"), F.lit(0))
 
 
-def window_hashes(words: Column, size: int) -> Column:
-    """A hash for each window of `size` words; none where there are fewer words."""
-    return let(words, lambda w: F.when(F.size(w) >= size, F.transform(
-        F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(
-        F.array().cast("array<bigint>")))
+def window_hash(hashes: Column, at, size: int) -> Column:
+    """The hash of the window at place `at` (from 0), of the hashes of its words."""
+    return F.xxhash64(*(F.get(hashes, at + k) for k in range(size)))
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int, literals: int) -> DataFrame:
@@ -81,25 +82,33 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int, liter
         F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.struct(
             (i - 1).alias("pos"), F.slice("words", i, size).alias("w"),
             F.slice("named_words", i, size).alias("named_w")))).alias("s"))
-    own = F.xxhash64("s.w")
+    def hashed(window: str) -> Column:
+        return let(F.transform(window, lambda w: F.xxhash64(w)), lambda h: window_hash(h, F.lit(0), size))
+
+    own = hashed("s.w")
     kept = stage(spans.where(enough("s.w")).groupBy("item_id", own.alias("own")).agg(
         F.min_by("s", "s.pos").alias("s")), "item-spans")
     both = kept.select(F.col("own").alias("hash"), "item_id", F.col("s.pos").alias("item_pos"), "own",
                        F.lit(False).alias("named")).unionByName(
         kept.where((F.col("s.w") != F.col("s.named_w")) & enough("s.named_w")).select(
-            F.xxhash64("s.named_w").alias("hash"), "item_id", F.col("s.pos").alias("item_pos"), "own",
+            hashed("s.named_w").alias("hash"), "item_id", F.col("s.pos").alias("item_pos"), "own",
             F.lit(True).alias("named")))
     return both.join(kept.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
 
 
 def text_windows(texts: DataFrame, size: int) -> DataFrame:
     """doc_id, doc_pos, hash: all windows of the texts' templates, and those of their named templates that differ."""
-    def words(base: Column) -> Column:
-        return F.struct(window_hashes(marked_words(base), size).alias("own"),
-                        window_hashes(marked_words(F.regexp_replace(base, INITIALS, NAME)), size).alias("named"))
-
-    both = let(let(marked(F.col("text")), words), lambda w: F.transform(w.own, lambda h, i: F.struct(
-        h.alias("own"), F.nullif(F.get(w.named, i), h).alias("named"))))
+    def windows(words: Column) -> Column:
+        """Each word is hashed once, and once more for all words that may be names; windows combine hashes."""
+        initial = F.transform(words, lambda w: F.startswith(w, F.lit(INITIAL)))
+        own = F.transform(words, lambda w: F.xxhash64(F.when(F.startswith(w, F.lit(INITIAL)), F.substring(w, 2, 2**31 - 1)).otherwise(w)))
+        named = F.zip_with(initial, own, lambda i, h: F.when(i, F.xxhash64(F.lit(NAME))).otherwise(h))
+        return let(F.struct(own.alias("own"), named.alias("named")), lambda h: F.when(F.size(h.own) >= size, F.transform(
+            F.sequence(F.lit(0), F.size(h.own) - size), lambda i: F.struct(
+                window_hash(h.own, i, size).alias("own"), window_hash(h.named, i, size).alias("named")))))
+
+    both = F.transform(let(marked_words(F.regexp_replace(marked(F.col("text")), INITIALS, INITIAL + "$0")), windows),
+                       lambda w: F.struct(w.own, F.nullif(w.named, w.own).alias("named")))
     return texts.select("doc_id", F.posexplode(both).alias("doc_pos", "w")).select(
         "doc_id", "doc_pos", F.explode(F.array("w.own", "w.named")).alias("hash")).where("hash is not null")
 
