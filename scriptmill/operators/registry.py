@@ -42,8 +42,10 @@ def check_enums(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def clean_names(ops: DataFrame) -> DataFrame:
+    """Operations with a name; names in lower case, a null description as an empty one."""
     tidy = ops.select(*OPS).withColumns({
-        "name": F.lower(strip("name")), "existing_name": F.lower(strip("existing_name"))})
+        "name": F.lower(strip("name")), "existing_name": F.lower(strip("existing_name")),
+        "description": F.coalesce("description", F.lit(""))})
     return tidy.where(F.col("name") != "")
 
 

@@ -185,3 +185,12 @@ def test_stream_takes_batches_in_pieces(spark):
         want = want or rows
         assert rows == want and "x" not in rows and "z" in rows
         assert late == ([(0, 9)] if per_trigger == 1 else [])
+
+
+def test_null_descriptions_are_empty(spark, books):
+    """In names of their own and in merge families alike."""
+    bare = {k: [{**o, "description": None if len(o["description"]) < 3 else o["description"]} for o in ops]
+            for k, ops in books.items()}
+    empty = {k: [{**o, "description": o["description"] or ""} for o in ops] for k, ops in bare.items()}
+    got = as_dict(registry.apply_char_ops(frame(spark, bare)).collect())
+    assert got == {k: fold(ops) for k, ops in empty.items()}
