@@ -5,11 +5,12 @@ import sys
 from pyspark import cloudpickle
 
 from catalog import (
-    budgets, casting, cleaning, manuscripts, planning, registry, segmenting, sources, streams, tagging, windows)
+    budgets, casting, cleaning, manuscripts, planning, registry, roundtrip, segmenting, sources, streams, tagging,
+    windows)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SECTIONS = [sources, cleaning, manuscripts, segmenting, casting, windows, budgets, tagging, registry, planning,
+SECTIONS = [sources, cleaning, manuscripts, segmenting, casting, windows, budgets, tagging, roundtrip, registry, planning,
             streams]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scriptmill import fixed
 from scriptmill.functions.chars import column, strip
 from scriptmill.functions.tokens import token_count
+from scriptmill.operators.answers import in_halves
 from scriptmill.operators.ordered import SumBefore, running
 from scriptmill.session import stage
 
@@ -350,7 +351,7 @@ def run_rowwise(df: DataFrame, fn: Callable[[list[str]], list[str]], text: str =
 
     A batch that fails is tried again in halves, so one bad request costs its own answer and a call for
     each halving. `batch_rows` bounds a call, `partitions` how many calls run at once. Stage the result before
-    reading it more than once, or the calls are made again.
+    reading it more than once, or the calls are made again; `answers.ask` keeps answers in a log.
     """
     from pyspark.sql.types import StringType, StructField, StructType
 
@@ -361,22 +362,10 @@ def run_rowwise(df: DataFrame, fn: Callable[[list[str]], list[str]], text: str =
                      + [StructField("response", StringType()), StructField("error", StringType())])
     names = [*key, "response", "error"]
 
-    def answered_by(texts):
-        try:
-            answers = list(fn(texts))
-            if len(answers) != len(texts):
-                raise ValueError("one response per request expected")
-            return [(a, None) for a in answers]
-        except Exception as error:  # the caller's function may raise anything
-            if len(texts) == 1:
-                return [(None, f"{type(error).__name__}: {error}")]
-            half = len(texts) // 2
-            return answered_by(texts[:half]) + answered_by(texts[half:])
-
     def apply(frames):
         for frame in frames:
             texts = frame[text].tolist()
-            pairs = [p for i in range(0, len(texts), batch_rows) for p in answered_by(texts[i:i + batch_rows])]
+            pairs = [p for i in range(0, len(texts), batch_rows) for p in in_halves(fn, texts[i:i + batch_rows])]
             answered = frame[list(key)].copy()
             answered["response"] = [p[0] for p in pairs]
             answered["error"] = [p[1] for p in pairs]
