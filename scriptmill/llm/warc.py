@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptmill.llm.common import stage, table
+from scriptmill.llm.common import bounded, stage, table
 from scriptmill.session import new_path
 
 #: payloads of at least so many bytes are stored once, their copies become revisit records
@@ -20,6 +20,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 #: bytes read from an archive at a time
 READ_BYTES = 1 << 20
+#: archives are read by at most so many tasks
+READERS = 20_000
 #: bytes a search for the next record holds at most
 HEADER_BYTES = 1 << 16
 #: a record that claims more is damaged; bounds what one record may hold in memory
@@ -212,8 +214,9 @@ def salvage(stream) -> Iterator[dict]:
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True, whole: bool = False) -> DataFrame:
-    """All records and quarantined gaps of the archives named in column `archive`, one task slot per archive.
+    """All records and quarantined gaps of the archives named in column `archive`.
 
+    As many tasks as there are archives, READERS at most, read them; a table of names is counted for that.
     Streams each archive, holding one record at a time. Null names are skipped, an empty archive gives no
     rows, one that cannot be opened fails the job; with `whole` so does one that gives another number of records than its column
     `records` says. Record ids other than page ids are kept as they stand.
@@ -244,7 +247,9 @@ def read_archives(archives: DataFrame, with_payload: bool = True, whole: bool =
             [pa.array([r.get(c) for r in rows], kinds.get(c, pa.string())) for c in columns], columns)
 
     names = archives.select("archive", (F.col("records") if whole else F.lit(None)).cast("long").alias("records")).where("archive is not null")
-    return names.repartition(F.col("archive")).mapInArrow(read, RECORDS)
+    # An explicit number, which AQE keeps; it would join a few names to one task.
+    spread = names.repartition(max(1, min(names.count(), READERS)))
+    return spread.mapInArrow(read, RECORDS)
 
 
 def revisits(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html",
@@ -253,16 +258,20 @@ def revisits(pages: DataFrame, key: str = "page_id", url: str = "url", text: str
     largest key is the response, the others refer to it.
 
     Null text is an empty payload. A null key counts as smallest; rows that share the largest key are all
-    responses. Only narrow rows (digests, keys) are grouped; copies of one payload may be most of the table,
-    since partial sums come first and the join back is split by AQE.
+    responses. Only narrow rows (digests, keys) are grouped, after partial sums. The repeated digests are staged:
+    where a count proves that they are few they are broadcast, and no payload moves; otherwise AQE can split a
+    payload that most rows share. Payloads below `least` bytes find nothing in the join.
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"),
                         F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("payload")).select(
         "*", F.octet_length("payload").alias("size"), F.sha1("payload").alias("digest"))
-    first = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(
-        F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    large = F.col("size") >= least
+    first = stage(rows.where(large).groupBy(F.col("digest").alias("same"), F.col("size").alias("length")).agg(
+        F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "responses")
     refers = F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first"))
-    return rows.join(first, ["digest", "size"], "left").select(
+    # Small payloads have no digest to meet, so that the many empty ones are not one key.
+    same = (F.when(large, F.col("digest")) == F.col("same")) & (F.col("size") == F.col("length"))
+    return rows.join(bounded(first), same, "left").select(
         "page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 

@@ -83,3 +83,38 @@ def test_no_record_is_lost_silently(spark, monkeypatch):
     monkeypatch.setattr(W, "RECORD_BYTES", 1000)
     with pytest.raises(ValueError, match="more than 1000"):
         record(1, b"x" * 1000)
+
+
+def sizes(df):
+    return [len(part) for part in df.rdd.glom().collect() if part]
+
+
+def test_archives_are_spread_over_tasks(spark):
+    pages = spark.range(200).selectExpr("id as page_id", "'u' as url", "concat('text ', id) as html")
+    archives = W.write_archives(W.revisits(pages), new_path(spark, "test-warc"), 1)
+    assert archives.count() == 200
+    rows = sizes(W.read_archives(archives, with_payload=False))
+    assert sum(rows) == 200 and len(rows) > 100 and max(rows) <= 8
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_one_payload_may_be_most_rows(spark, monkeypatch, broadcast):
+    """A broadcast moves no page; a shuffle spreads small payloads, and repeated ones are joined the same way."""
+    from scriptmill.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    hot = "concat(repeat('x', 1200), case when id % 10 = 0 then cast(id % 7 as string) else '' end)"
+    pages = spark.range(2000).selectExpr(
+        "id as page_id", "'u' as url", f"case when id % 4 = 3 then null when id % 4 = 2 then 'small' else {hot} end as html")
+    found = W.revisits(pages).drop("payload")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == bool(broadcast)
+    top = {}
+    rows = found.collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts = {r.page_id: r.html for r in pages.collect()}
+    for i, text in texts.items():
+        top[text] = max(top.get(text, -1), i)
+    assert {r.page_id: r.refers_to for r in rows} == {
+        i: top[t] if t and len(t) >= 1000 and top[t] != i else None for i, t in texts.items()}
