@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptmill.llm.common import ascii_lower, table
+from scriptmill.llm.common import ascii_lower, bounded, stage, table
 
 #: verdict, host, path; the rules of the registered query
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -14,7 +14,13 @@ BROADCAST_RULES = 100_000
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    """Rules as a table of literals."""
+    names = ["verdict", "host", "path"]
+    if not rules:
+        return spark.range(0).select(*[F.lit("").alias(n) for n in names])
+    values = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, rule, strict=True)))
+                       for rule in rules))
+    return spark.range(1).select(F.inline(values))
 
 
 def url_parts(url):
@@ -30,8 +36,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
 
     A rule fits its host and all hosts below it where the path starts with the rule's path. The longest
     rule (host and path together, then host) wins; of equal rules `block` does. `default` is the verdict
-    where none fits. Each distinct (host, path) is expanded into one expression per rule shape (number of
-    labels, length of path); expressions meet rules by equal digest prefixes, full digests decide.
+    where none fits. Each distinct (host, path) is expanded into the suffixes of its host, and these, joined with
+    the rules' shapes (number of labels, length of path), into one expression per shape; expressions meet rules
+    by equal digest prefixes, full digests decide. What fits is staged: where a count proves that it is small it is
+    broadcast, otherwise AQE can split an address that most rows share. Rows without a host meet nothing.
 
     Rules need a host and a verdict, others are skipped; a null path is an empty one. Null, empty and
     malformed urls have host and path '' and get the default. Null keys and repeated rows stay as they are.
@@ -44,28 +52,25 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
         "verdict", F.concat("host", "path").alias("rule"),
         F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("reach"),
         F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h")).alias("weight"))
-    shapes = [tuple(r) for r in rules.select("labels", "reach").distinct().collect()]  # shapes, not rules
     host, path = url_parts(F.col("_url"))
     parts = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url")).select(
         "_key", host.alias("host"), path.alias("path"))
-    if not shapes:
-        return parts.select(F.col("_key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"),
-                            F.lit(default).alias("verdict"))
-    labels = F.split("host", "\\.")
-    expressions = F.array(*(
-        F.when((F.size(labels) >= k) & (F.length("path") >= n),
-               F.concat(F.array_join(F.slice(labels, -k, k), "."), F.substring("path", 1, n)))
-        for k, n in shapes))
-    probes = parts.select("host", "path").distinct().select(
-        "host", "path", F.explode(expressions).alias("expression")).where("expression is not null").select(
-        "host", "path", F.sha2("expression", 256).alias("digest"))
+    # A host has a suffix for each of its labels; shapes say how much of the path goes with it.
+    names = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.struct(
+        k.alias("labels"), F.array_join(F.slice(names, -k, k), ".").alias("suffix")))
+    shapes = bounded(stage(rules.select("labels", "reach").distinct(), "rule-shapes"))
+    probes = parts.where("host <> ''").select("host", "path").distinct().select(
+        "host", "path", F.inline(suffixes)).join(shapes, "labels").where("length(path) >= reach").select(
+        "host", "path", F.sha2(F.concat("suffix", F.expr("substring(path, 1, reach)")), 256).alias("digest"))
     index = rules.select("rule", "verdict", "weight", F.sha2("rule", 256).alias("full")).withColumn(
         "short", F.substring("full", 1, PREFIX))
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         index = F.broadcast(index)
-    best = probes.join(index, F.substring("digest", 1, PREFIX) == F.col("short")).where("digest = full").groupBy(
-        "host", "path").agg(F.max(F.struct("weight", "rule", "verdict")).alias("best"))
-    return parts.join(best, ["host", "path"], "left").select(
+    best = stage(probes.join(index, F.substring("digest", 1, PREFIX) == F.col("short")).where("digest = full").groupBy(
+        "host", "path").agg(F.max(F.struct("weight", "rule", "verdict")).alias("best")), "url-verdicts")
+    weight = 1 + (F.length("host") + F.length("path")) / 40
+    return parts.join(bounded(best, weight), ["host", "path"], "left").select(
         F.col("_key").alias(key), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 

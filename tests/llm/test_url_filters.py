@@ -41,3 +41,30 @@ def test_large_rule_tables_are_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(U, "BROADCAST_RULES", 2)
     df = spark.createDataFrame([(1, "http://x.example.org/es/1")], "page_id long, url string")
     assert U.judge_urls(df, U.rule_table(spark)).first().rule == "example.org/es/"
+
+
+def test_most_urls_may_be_null_or_equal(spark, monkeypatch):
+    """Few verdicts are broadcast, so no key gathers rows; beyond the bound a shuffle gives the same."""
+    from scriptmill.llm import common
+
+    df = spark.range(3000).selectExpr("id as page_id", "case when id % 10 < 6 then null when id % 10 < 9 "
+                                      "then 'http://a.com/de/' else concat('http://h', id, '.org/') end as url")
+    want = {i: "allow" if i % 10 < 6 or i % 10 == 9 else "block" for i in range(3000)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for rows, kind in ((500_000, True), (0, False)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        got = U.judge_urls(df, U.rule_table(spark))
+        assert ("SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()) == kind
+        assert {r.page_id: r.verdict for r in got.collect()} == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rules_of_many_shapes(spark):
+    rules = [("block", "a.org", "/" + "x" * n) for n in range(0, 300, 3)] + [("allow", "b." * k + "org", "/") for k in range(12)]
+    urls = ["http://a.org/" + "x" * n for n in (0, 1, 2, 3, 200, 500)] + ["http://" + "b." * k + "org/" for k in (0, 5, 20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: tuple(r)[1:] for r in U.judge_urls(df, U.rule_table(spark, rules)).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
+    none = U.rule_table(spark, ())
+    assert {r.verdict for r in U.judge_urls(df, none).collect()} == {"allow"}
+    assert "Python" not in U.judge_urls(df, U.rule_table(spark))._jdf.queryExecution().executedPlan().toString()
