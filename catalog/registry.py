@@ -204,18 +204,15 @@ SQL = {
             case when f.total >= 2000 then t.n else f.total + t.n end,
             f.key + case when f.total >= 2000 then 1 else 0 end
           from f join t on t.book_id = f.book_id and t.rn = f.rn + 1),
-        g as (select book_id, key, 'Analyze this text excerpt and extract character information:'
-          || chr(10) || chr(10) || '<text_excerpt>' || chr(10) || string_agg(content, chr(10) order by rn)
-          || chr(10) || '</text_excerpt>' as user_text from f group by book_id, key)
-        select *, 'extract' as kind, {s.tokens("user_text")} as tokens from g""", True),
+        g as (select book_id, key, string_agg(content, chr(10) order by rn) as body from f group by book_id, key),
+        h as (select book_id, key, {s.fill(registry.EXTRACT, text="body")} as user_text from g)
+        select *, 'extract' as kind, {s.tokens("user_text")} as tokens from h""", True),
     "matching_requests": ms(context_sql(30, 1000) + f""",
-        g as (select book_id, item_no as key, 'Match this dialogue to a known character:' || chr(10)
-          || chr(10) || '<context_before>' || chr(10) || context_before || chr(10) || chr(10)
-          || '[CURRENT LINE WITH DIALOGUE TAGS]: ' || contexts.original_line || chr(10) || '</context_before>'
-          || chr(10) || chr(10) || '<dialogue_line>' || chr(10) || content || chr(10)
-          || '</dialogue_line>' || chr(10) || chr(10) || '<context_after>' || chr(10) || context_after
-          || chr(10) || '</context_after>' as user_text
-          from contexts join items using (book_id, item_no))
+        around as (select book_id, item_no as key, content, context_after, context_before || chr(10) || chr(10)
+          || '[CURRENT LINE WITH DIALOGUE TAGS]: ' || contexts.original_line as before
+          from contexts join items using (book_id, item_no)),
+        g as (select book_id, key, {s.fill(registry.MATCH, before="before", line="content", after="context_after")}
+          as user_text from around)
         select *, 'match' as kind, {s.tokens("user_text")} as tokens from g"""),
     "run_rowwise": """select source as book_id, doc_id as key,
         case when not contains(text, '|') then replace(text, ' ', '_') end
@@ -228,11 +225,11 @@ SQL = {
           from narrative n join windows w on n.book_id = w.book_id and n.line_no >= w.start_line
           and n.line_no < w.end_line),
         {chunks_sql("inside", 500, "first")},
-        g as (select c.book_id, c.chunk_no as key, '===== TEXT TO PROCESS =====' || chr(10)
-          || string_agg(n.line, ' ||| ' order by n.line_no) || chr(10) || '===== END TEXT ====='
-          as user_text from chunks c join narrative n on n.book_id = c.book_id
-          and n.line_no >= c.start_line and n.line_no < c.end_line group by 1, 2)
-        select *, 'tag' as kind, {s.tokens("user_text")} as tokens from g""", True),
+        g as (select c.book_id, c.chunk_no as key, string_agg(n.line, ' ||| ' order by n.line_no) as body
+          from chunks c join narrative n on n.book_id = c.book_id
+          and n.line_no >= c.start_line and n.line_no < c.end_line group by 1, 2),
+        h as (select book_id, key, {s.fill(registry.TAG, lines="body")} as user_text from g)
+        select *, 'tag' as kind, {s.tokens("user_text")} as tokens from h""", True),
     "attribution_stats": ms(f"""{MANUSCRIPT_SCRIPT_SQL}, {CHARACTERS_SQL},
         a as (select book_id, count(*) as items, count(distinct lower(speaker)) as speakers,
           count(*) filter (where speaker <> 'narrator') as attributed_lines from script group by all),

@@ -7,6 +7,7 @@ from catalog.budgets import INSIDE_SQL, KEYS, chunks_sql, narrative
 from catalog.data import ms
 from catalog.tagging import has_tag, own_sql, reason_sql, repair_sql, stop_sql
 from scriptmill.operators import answers, budgets, roundtrip, windows
+from scriptmill.operators.registry import TAG
 from scriptmill.session import new_path
 
 
@@ -95,8 +96,8 @@ SQL = {
         select n.book_id, n.line_no, coalesce(b.tagged, n.line) as line, b.tagged is not null as replaced,
           null::varchar as message from narrative n left join back b using (book_id, line_no)""", True),
     "answered_requests": ms(CHUNKED_SQL + f""",
-        said as (select book_id, chunk_no, body, '===== TEXT TO PROCESS =====' || chr(10) || body || chr(10)
-          || '===== END TEXT =====' as request, {reply_sql("body")} as reply from joined)
+        said as (select book_id, chunk_no, body, {s.fill(TAG, lines="body")} as request,
+          {reply_sql("body")} as reply from joined)
         select book_id, chunk_no, {s.tokens("request")} as tokens, case when reply is null then 'again'
           when length(body) % 6 = 0 then '<think>' || length(body) || '?</think>' || chr(10) || reply
           else reply end as response, false as failed from said""", True),

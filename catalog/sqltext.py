@@ -1,5 +1,7 @@
 """SQL expressions that several checks use."""
 
+import re
+
 from scriptmill import fixed
 from scriptmill.functions.clean import PUNCTUATION, TAG
 
@@ -14,6 +16,12 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def fill(template, **values):
+    """A request's wording with SQL at its places."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(values[p] if i % 2 else q(p) for i, p in enumerate(parts) if p)
+
+
 def sub(x, pattern, to, flags="g"):
     return f"regexp_replace({x}, {q(pattern)}, {q(to)}, {q(flags)})"
 

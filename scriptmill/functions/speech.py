@@ -11,7 +11,8 @@ def needs_no_stop(line) -> Column:
     """Very short lines, and lines that end in an abbreviation."""
     line = column(line)
     # The longest abbreviation, its dot, and the character before it.
-    tail = F.substring(line, -6, 6)
+    reach = max(map(len, fixed.ABBREVIATIONS)) + 2
+    tail = F.substring(line, -reach, reach)
     abbreviation = rf"(?i){NOT_AFTER_WORD}(?:{'|'.join(fixed.ABBREVIATIONS)})\.\z"
     return ((F.length(strip(line)) <= 2)
             | (F.endswith(line, F.lit(".")) & tail.rlike(abbreviation)))

@@ -1,5 +1,6 @@
 """The character registry: scores, operations on it, rosters and request tables."""
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -327,22 +328,35 @@ def prompt_table(df: DataFrame, kind: str, key: Column, text: Column,
                      text.alias("user_text")).withColumn("tokens", tokens("user_text"))
 
 
-def extraction_text(text) -> Column:
-    return F.concat(F.lit("Analyze this text excerpt and extract character information:\n\n"
-                          "<text_excerpt>\n"), column(text), F.lit("\n</text_excerpt>"))
+#: wordings of requests; callers give their own, with the same places in braces
+EXTRACT = "Who appears in this passage?\n\n[passage]\n{text}\n[end]"
+MATCH = "Who speaks the line between?\n\n[before]\n{before}\n\n[line]\n{line}\n\n[after]\n{after}\n[end]"
+TAG = "[lines]\n{lines}\n[end]"
 
 
-def matching_text(before, dialogue, after) -> Column:
-    return F.concat(
-        F.lit("Match this dialogue to a known character:\n\n<context_before>\n"), column(before),
-        F.lit("\n</context_before>\n\n<dialogue_line>\n"), column(dialogue),
-        F.lit("\n</dialogue_line>\n\n<context_after>\n"), column(after),
-        F.lit("\n</context_after>"))
+def places(template: str) -> list[str]:
+    """The template cut at its places: text, name, text, name, ..., text."""
+    return re.split(r"\{(\w+)\}", template)
 
 
-def tagging_text(paragraphs) -> Column:
-    return F.concat(F.lit("===== TEXT TO PROCESS =====\n"), column(paragraphs),
-                    F.lit("\n===== END TEXT ====="))
+def filled(template: str, **values) -> Column:
+    """The template with a column at each of its places. Values that hold braces stay as they are."""
+    parts = places(template)
+    if unknown := set(parts[1::2]) - set(values):
+        raise ValueError(f"no value for {', '.join(sorted(unknown))}")
+    return F.concat(*(column(values[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
+def extraction_text(text, template: str = EXTRACT) -> Column:
+    return filled(template, text=text)
+
+
+def matching_text(before, dialogue, after, template: str = MATCH) -> Column:
+    return filled(template, before=before, line=dialogue, after=after)
+
+
+def tagging_text(paragraphs, template: str = TAG) -> Column:
+    return filled(template, lines=paragraphs)
 
 
 def run_rowwise(df: DataFrame, fn: Callable[[list[str]], list[str]], text: str = "user_text",

@@ -12,7 +12,7 @@ from scriptmill.functions.chars import is_blank, lines_of
 from scriptmill.functions.clean import strip_thinking
 from scriptmill.functions.paragraphs import join_paragraphs, paragraph_sizes, split_paragraphs
 from scriptmill.functions.tokens import token_count
-from scriptmill.operators.registry import tagging_text
+from scriptmill.operators.registry import TAG, tagging_text
 from scriptmill.operators.tags import reassemble, validate_chunks
 from scriptmill.session import stage
 
@@ -20,14 +20,15 @@ CHUNK = ["book_id", "chunk_no"]
 LINE = [*CHUNK, "at"]
 
 
-def _requests(df: DataFrame, kind: str, key: list[str], original: str) -> DataFrame:
-    return df.select(*key, F.lit(kind).alias("kind"), tagging_text(join_paragraphs(original)).alias("user_text")
-                     ).withColumn("tokens", token_count("user_text"))
+def _requests(df: DataFrame, kind: str, key: list[str], original: str, template: str) -> DataFrame:
+    text = tagging_text(join_paragraphs(original), template)
+    return df.select(*key, F.lit(kind).alias("kind"), text.alias("user_text")).withColumn(
+        "tokens", token_count("user_text"))
 
 
-def chunk_requests(chunks: DataFrame) -> DataFrame:
+def chunk_requests(chunks: DataFrame, template: str = TAG) -> DataFrame:
     """One request a chunk: book_id, chunk_no, kind, user_text (its lines in paragraph form), tokens."""
-    return _requests(chunks, "tag", CHUNK, "original")
+    return _requests(chunks, "tag", CHUNK, "original", template)
 
 
 def answer_lines(response, original) -> Column:
@@ -51,9 +52,9 @@ def reverted_lines(checked: DataFrame) -> DataFrame:
     return checked.where("reverted").select(*CHUNK, F.posexplode(lines_of("original")).alias("at", "line"))
 
 
-def line_requests(checked: DataFrame) -> DataFrame:
+def line_requests(checked: DataFrame, template: str = TAG) -> DataFrame:
     """One request for each line of a reverted chunk that is not blank."""
-    return _requests(reverted_lines(checked).where(~is_blank("line")), "tag_line", LINE, "line")
+    return _requests(reverted_lines(checked).where(~is_blank("line")), "tag_line", LINE, "line", template)
 
 
 def line_answers(checked: DataFrame, responses: DataFrame) -> DataFrame:
@@ -73,16 +74,17 @@ def line_answers(checked: DataFrame, responses: DataFrame) -> DataFrame:
     return checked.join(back, CHUNK, "left").withColumn("text", F.coalesce("__text", "text")).drop("__text")
 
 
-def tag_chunks(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def tag_chunks(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], template: str = TAG) -> DataFrame:
     """Chunks after both rounds: text; success, reverted and reason of the first; lines_tagged of the second.
 
     What is read more than once is staged, so that no answer is asked for again.
     """
     chunks = stage(chunks, "chunks")
-    checked = stage(chunk_answers(chunks, ask(chunk_requests(chunks))), "checked")
-    return stage(line_answers(checked, ask(line_requests(checked))), "tagged")
+    checked = stage(chunk_answers(chunks, ask(chunk_requests(chunks, template))), "checked")
+    return stage(line_answers(checked, ask(line_requests(checked, template))), "tagged")
 
 
-def tag_lines(lines: DataFrame, chunks: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def tag_lines(lines: DataFrame, chunks: DataFrame, ask: Callable[[DataFrame], DataFrame],
+              template: str = TAG) -> DataFrame:
     """The book's lines after both rounds, as `reassemble` gives them."""
-    return reassemble(lines, tag_chunks(chunks, ask))
+    return reassemble(lines, tag_chunks(chunks, ask, template))

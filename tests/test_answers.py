@@ -166,3 +166,15 @@ def test_both_rounds_reassemble(spark, tmp_path):
                    for i in range(6)}
     empty = roundtrip.tag_lines(lines, chunks.limit(0), ask)
     assert {r["line"] for r in empty.collect()} == {f"line number {i} is here" for i in range(6)}
+
+
+def test_wordings_are_the_callers(spark):
+    from scriptmill.operators.registry import filled, matching_text
+
+    df = spark.createDataFrame([("a {line} $1", "b", "c")], "x string, y string, z string")
+    assert df.select(matching_text("x", "y", "z", "<{line}> after {before} {line}")).first()[0] == "<b> after a {line} $1 b"
+    assert df.select(filled("no places")).first()[0] == "no places"
+    with pytest.raises(ValueError, match="no value for other"):
+        filled("{other}", line="x")
+    chunks = chunk(spark, "one\ntwo")
+    assert roundtrip.chunk_requests(chunks, "tag: {lines}").first()["user_text"] == "tag: one ||| two"
