@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import sqltext as s
 from catalog.casting import MANUSCRIPT_SCRIPT_SQL, VOICES_SQL, manuscript_script
 from catalog.data import CHARACTERS_SQL, MANIFEST_SQL, characters, manifest, manuscript, ms
+from catalog.segmenting import ready_sql
 from catalog.windows import ASSIGNED_SQL
 from scriptmill.functions.clean import ascii_punct, close_quotes, parse_key_values, parse_probe_json
 from scriptmill.plans import narration
@@ -25,6 +26,32 @@ def plan_multi(spark, sf_dir):
     ).withColumn("part_no", F.col("part_no").cast("bigint"))
 
 
+# Books whose number is even have tagged lines; of scripts, those that end in 4 or 8 lack one.
+TAGGED_BOOK = "right(book_id, 1) in ('0', '2', '4', '6', '8')"
+SHORT_BOOK = "right(book_id, 1) in ('4', '8')"
+TAGGED = """replace(line, '" ', ' <laugh>" ')"""
+
+
+def plan_prepared(spark, sf_dir):
+    lines = cleaned(spark, sf_dir)
+    tagged = lines.where(TAGGED_BOOK).withColumn("line", F.expr(TAGGED))
+    return narration.narration_plan_single(
+        narration.prepared_lines(lines, "orpheus", tagged), "orpheus", "female").withColumn(
+        "part_no", F.col("part_no").cast("bigint")).drop("speaker")
+
+
+def script_prepared(spark, sf_dir):
+    script = manuscript_script(spark, sf_dir)
+    tagged = script.where(TAGGED_BOOK).where(f"item_no > 0 or not {SHORT_BOOK}").select(
+        "book_id", F.col("item_no").alias("line_no"), F.expr(TAGGED).alias("line"))
+    return narration.prepared_script(script, "orpheus", tagged)
+
+
+def untagged_script(spark, sf_dir):
+    script = manuscript_script(spark, sf_dir).withColumn("line", F.expr(TAGGED))
+    return narration.prepared_script(script, "kokoro")
+
+
 def rollup(spark, sf_dir):
     return narration.voice_rollup(
         narration.narration_plan_single(cleaned(spark, sf_dir), "kokoro", "male"))
@@ -66,6 +93,9 @@ QUERIES = {
     "narration_rollup": rollup,
     "narration_plan_single": plan_single,
     "narration_plan_multi": plan_multi,
+    "narration_plan_prepared": plan_prepared,
+    "prepared_script": script_prepared,
+    "untagged_script": untagged_script,
     "book_options": book_options,
     "chapter_timeline": timeline,
     "metadata_tags": metadata_tags,
@@ -137,6 +167,21 @@ SQL = {
         count(*) as n_parts, cast(sum(length(text)) as bigint) as n_chars from plan group by all"""),
     "narration_plan_single": ms(PLAN_SQL + " select * from plan"),
     "narration_plan_multi": ms(MULTI_SQL),
+    "narration_plan_prepared": ms(f"""varied as (select book_id, line_no, {s.close_quotes(s.ascii_punct("line"))} as line
+          from manuscript),
+        ready as ({ready_sql("line_no")}),
+        lines as (select book_id, line_no, case when {TAGGED_BOOK} then {TAGGED} else ready end as line
+          from varied join ready using (book_id, line_no)),
+        {PLAN_SQL.replace("from manuscript", "from lines").replace("am_puck' else 'af_alloy+am_puck", "tara' else 'leah")}
+        select * from plan"""),
+    "prepared_script": ms(f"""{MANUSCRIPT_SCRIPT_SQL},
+        varied as (select book_id, item_no as line_no, case when {TAGGED_BOOK} and not {SHORT_BOOK} then {TAGGED}
+          else line end as line from script),
+        ready as ({ready_sql("0")})
+        select s.book_id, s.item_no, s.speaker, r.ready as line from script s
+        join ready r on r.book_id = s.book_id and r.line_no = s.item_no"""),
+    "untagged_script": ms(f"""{MANUSCRIPT_SCRIPT_SQL} select book_id, item_no, speaker,
+        {s.without_tags(TAGGED)} as line from script"""),
     "book_options": f"""with {MANIFEST_SQL},
         m as (select book_id, case
           when output_format not in ('m4b','aac','m4a','mp3','wav','opus','flac','pcm') then 'Invalid output format'

@@ -80,6 +80,9 @@ VOICE_PAIRS = {
     ("orpheus", "female"): ("tara", "leah"),
 }
 
+# Engines whose lines are prepared before synthesis.
+PREPARED_ENGINES = ["orpheus"]
+
 # Message texts.
 NO_CHARACTERS = "No characters identified yet."
 NO_BEFORE = "[No previous context]"

@@ -5,11 +5,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scriptmill import fixed
 from scriptmill.functions.chars import column, strip
 from scriptmill.functions.clean import (
-    escape_metadata, is_only_punctuation, is_safe_path, sanitize_title)
+    escape_metadata, is_only_punctuation, is_safe_path, sanitize_title, strip_emotion_tags)
 from scriptmill.functions.segment import speakable_parts
+from scriptmill.functions.speech import prepare_for_tts
 from scriptmill.operators.chapters import number_chapters
 from scriptmill.operators.ordered import RunningSum, SumBefore, running
+from scriptmill.operators.script import apply_tagged_lines
 from scriptmill.operators.voices import assign_voice_multi, assign_voice_single
+from scriptmill.session import stage
 
 KEYS = ["book_id"]
 
@@ -36,7 +39,7 @@ PLAN = ["book_id", "chapter_no", "chapter", "line_no", "part_no", "type", "speak
 def narration_plan_single(lines: DataFrame, engine: str, gender: str) -> DataFrame:
     """One row per spoken part: narration in one voice, dialogue in another.
 
-    Where an engine needs its lines prepared, `prepare_for_tts` comes before this.
+    Where an engine needs its lines prepared or there are tagged lines, `prepared_lines` comes before this.
     """
     spoken, chapters = spoken_lines(lines.select("book_id", "line_no", "line"))
     voiced = assign_voice_single(_parts(spoken), engine, gender).withColumn(
@@ -58,6 +61,36 @@ def narration_plan_multi(script: DataFrame, characters: DataFrame, engine: str,
     return voiced.join(chapters, ["book_id", "chapter"]).select(*PLAN)
 
 
+def prepared_lines(lines: DataFrame, engine: str, tagged: DataFrame | None = None) -> DataFrame:
+    """book_id, line_no, line, as the engine reads them.
+
+    A book with any `tagged` lines (book_id, line_no, line) is made of these alone, as they are. Other books keep
+    their lines, prepared where the engine asks for it; line 0 is then taken for a title. Tagged books are
+    staged, as few rows: the join is a broadcast by measured size, or one whose hot books AQE can split.
+    """
+    own = lines.select("book_id", "line_no", "line")
+    if tagged is not None:
+        books = stage(tagged.select("book_id").distinct(), "tagged-books")
+        own = own.join(books, "book_id", "left_anti")
+    if engine in fixed.PREPARED_ENGINES:
+        own = prepare_for_tts(own, "line", "line", "line_no")
+    return own if tagged is None else own.unionByName(tagged.select("book_id", "line_no", "line"))
+
+
+def prepared_script(script: DataFrame, engine: str, tagged: DataFrame | None = None) -> DataFrame:
+    """book_id, item_no, speaker, line, as the engine reads them.
+
+    With `tagged` lines a book gets those if they are as many as its items, else it keeps its own; without, all
+    tags are taken out. Each item is prepared by itself where the engine asks for it.
+    """
+    if tagged is None:
+        said = script.withColumn("line", strip_emotion_tags("line"))
+    else:
+        said = apply_tagged_lines(script, tagged)
+    said = said.select("book_id", "item_no", "speaker", "line")
+    return prepare_for_tts(said, "line", "line") if engine in fixed.PREPARED_ENGINES else said
+
+
 def voice_rollup(plan: DataFrame) -> DataFrame:
     """Parts and characters to synthesise per book, chapter and voice."""
     return plan.groupBy("book_id", "chapter_no", "chapter", "voice").agg(
