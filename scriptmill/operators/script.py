@@ -80,35 +80,41 @@ def found_characters(characters: DataFrame) -> DataFrame:
 def match_by_name(items: DataFrame, characters: DataFrame) -> DataFrame:
     """Speaker of a dialogue item: the one character named in the narration of its line.
 
-    Names meet the narration as whole words. Narration is cut into word runs of the lengths
-    that names have, and joined on (book, run), so lines and characters never pair freely.
+    Names meet the narration as whole words. Only lines that hold dialogue are asked: each word of
+    their narration, with the words after it, looks for names that begin with that word (an equi-join
+    on book and word), and the rest of a name is compared in place.
     """
     def words(text):
         return F.filter(F.split(F.lower(text), rf"[^{WORD}]+", -1), lambda w: w != "")
 
     named = characters.where(~F.col("name").isin(SPECIAL)).select(
-        "book_id", "name", words(F.col("name")).alias("__w"))
-    # A handful of whole numbers: how many words the names have.
-    sizes = [r[0] for r in named.select(F.size("__w")).distinct().collect() if r[0] > 0]
-    narration = items.where((F.col("type") == "narrator") & ~is_blank("content")).select(
-        "book_id", "line_no", words(F.col("content")).alias("__w"))
-    none = F.array().cast("array<string>")
-
-    def runs_of(n):
-        last = F.size("__w") - n
-        starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
-        return F.when(last >= 0, F.transform(
-            starts, lambda i: F.array_join(F.slice("__w", i + 1, n), " "))).otherwise(none)
-
-    runs = F.concat(none, *[runs_of(n) for n in sorted(sizes)])
-    cut = narration.select("book_id", "line_no", F.explode(F.array_distinct(runs)).alias("run"))
-    hits = cut.join(named.select("book_id", "name", F.array_join("__w", " ").alias("run")),
-                    ["book_id", "run"])
+        "book_id", "name", words(F.col("name")).alias("__name")).where(F.size("__name") > 0)
+    # One whole number: how many words the longest name has.
+    longest = named.agg(F.max(F.size("__name"))).first()[0] or 1
+    told = (F.col("type") == "narrator") & ~is_blank("content")
+    lines = items.groupBy("book_id", "line_no").agg(
+        F.collect_list(F.when(F.col("type") == "dialogue", F.struct("item_no"))).alias("__spoken"),
+        F.collect_list(F.when(told, F.col("content"))).alias("__told")).where(F.size("__spoken") > 0)
+
+    def runs(told_words):
+        """Each word of an item with the words after it, as many as a name may have."""
+        return F.transform(told_words, lambda w, i: F.slice(told_words, i + 1, longest))
+
+    found = lines.select("book_id", "line_no", "__spoken", F.posexplode_outer(
+        F.array_distinct(F.flatten(F.transform(F.transform("__told", words), runs)))).alias("__at", "__run")).select(
+        "book_id", "line_no", "__run", F.col("__run")[0].alias("__first"),
+        # One row of a line carries its items.
+        F.when(F.coalesce("__at", F.lit(0)) == 0, F.col("__spoken")).alias("__spoken"))
+    index = named.withColumnRenamed("book_id", "__book").withColumn("__start", F.col("__name")[0])
+    whole = F.slice("__run", 1, F.size("__name")) == F.col("__name")
+    hits = found.join(index, (F.col("book_id") == F.col("__book")) & (F.col("__first") == F.col("__start"))
+                      & whole, "left")
     single = hits.groupBy("book_id", "line_no").agg(
-        F.min("name").alias("lo"), F.max("name").alias("hi")).where(F.col("lo") == F.col("hi"))
-    return items.where(F.col("type") == "dialogue").join(
-        single, ["book_id", "line_no"], "left").select(
-        "book_id", "item_no", F.coalesce("lo", F.lit("unknown")).alias("speaker"))
+        F.min("name").alias("lo"), F.max("name").alias("hi"),
+        F.first("__spoken", ignorenulls=True).alias("__spoken"))
+    speaker = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("unknown")
+    return single.select("book_id", speaker.alias("speaker"), F.explode("__spoken").alias("__s")).select(
+        "book_id", "__s.item_no", "speaker")
 
 
 def check_matches(matches: DataFrame, characters: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from scriptmill.operators.ordered import (
 from scriptmill.session import stage
 
 KEYS = ["book_id"]
+#: items of a block whose texts are gathered at once for its dialogue contexts
+CONTEXT_ROWS = 1024
 
 
 def drop_blank_lines(lines: DataFrame, trim: bool = True) -> DataFrame:
@@ -129,33 +131,32 @@ def dialogue_context(items: DataFrame, max_tokens: int = 1000, limit: int = 30,
             # Only what is shown with its speaker is counted a second time.
             "said_n", F.when(F.col("said") == F.col("content"), F.col("content_n"))
             .otherwise(tokens("said"))),
-        "item_no", limit, limit, block_rows=max(4096, limit))
+        "item_no", limit, limit, block_rows=max(CONTEXT_ROWS, limit))
     near = Window.partitionBy("book_id", BLOCK).orderBy("item_no")
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = shown.withColumns({"said_sum": F.sum("said_n").over(upto),
-                              "content_sum": F.sum("content_n").over(upto)})
-
-    def gathered(text, total, count):
-        return F.collect_list(F.struct(F.col(text).alias("text"), F.col(total).alias("sum"),
-                                       F.col(count).alias("n")))
-
-    framed = sums.withColumns({
-        "back": gathered("said", "said_sum", "said_n").over(near.rowsBetween(-limit, -1)),
-        "ahead": gathered("content", "content_sum", "content_n").over(
-            near.rowsBetween(1, limit))}).where(F.col(HOME) & (F.col("type") == "dialogue"))
-    # Tokens of the items from x up to the one before this, and from the next up to x.
-    fits_back = F.filter("back", lambda x: F.col("said_sum") - F.col("said_n") - x["sum"] + x["n"]
-                         <= max_tokens)
-    fits_ahead = F.filter("ahead", lambda x: x["sum"] - F.col("content_sum") <= max_tokens)
+    asks = F.col(HOME) & (F.col("type") == "dialogue")
+    # A block's items once, with sums up to each; only dialogue rows reach into them.
+    blocks = shown.withColumns({
+        "said_before": F.sum("said_n").over(upto) - F.col("said_n"),
+        "content_sum": F.sum("content_n").over(upto)}).groupBy("book_id", BLOCK).agg(
+        F.sort_array(F.collect_list(F.struct(
+            "item_no", "said", "content", "said_before", "content_sum", asks.alias("asks"),
+            F.when(asks, F.col("original_line")).alias("original_line")))).alias("__b"))
+    asked = blocks.select("book_id", "__b", F.posexplode("__b").alias("__i", "it")).where("it.asks")
+    back = F.slice("__b", F.greatest(F.col("__i") - limit, F.lit(0)) + 1, F.least("__i", F.lit(limit)))
+    ahead = F.slice("__b", F.col("__i") + 2, limit)
+    fits_back = F.filter(back, lambda x: F.col("it.said_before") - x["said_before"] <= max_tokens)
+    fits_ahead = F.filter(ahead, lambda x: x["content_sum"] - F.col("it.content_sum") <= max_tokens)
 
     def joined(kept, none):
-        return F.when(F.size(kept) == 0, F.lit(none)).otherwise(
-            F.array_join(F.transform(kept, lambda x: x["text"]), "\n"))
-
-    return framed.select(
-        "book_id", "item_no", "content", "original_line",
-        joined(fits_back, fixed.NO_BEFORE).alias("context_before"),
-        joined(fits_ahead, fixed.NO_AFTER).alias("context_after"))
+        return F.when(F.size(kept) == 0, F.lit(none)).otherwise(F.array_join(kept, "\n"))
+
+    return asked.select(
+        "book_id", "it.item_no", "it.content", "it.original_line",
+        fits_back.getField("said").alias("__back"), fits_ahead.getField("content").alias("__ahead"),
+    ).select("book_id", "item_no", "content", "original_line",
+             joined("__back", fixed.NO_BEFORE).alias("context_before"),
+             joined("__ahead", fixed.NO_AFTER).alias("context_after"))
 
 
 def current_line_context(contexts: DataFrame) -> DataFrame:

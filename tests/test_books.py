@@ -69,6 +69,33 @@ def test_names_match_as_whole_words_and_only_alone(spark):
         1: "old man", 3: "ann", 5: "unknown"}
 
 
+def test_names_are_sought_in_lines_with_dialogue(spark):
+    items = spark.createDataFrame([
+        (b, i, t, c, line) for i, (b, t, c, line) in enumerate([
+            ("b", "narrator", "Mary Ann Lee left.", 0),  # no dialogue
+            ("b", "narrator", "said mary", 1), ("b", "dialogue", '"x"', 1), ("b", "narrator", "ann lee", 1),
+            ("b", "narrator", "Then Mary-Ann LEE, Mary Ann Lee!", 2), ("b", "dialogue", '"y"', 2), ("b", "dialogue", '"z"', 2),
+            ("b", "dialogue", '"alone"', 3), ("b", "narrator", " ", 4), ("b", "dialogue", '"blank"', 4),
+            ("c", "narrator", "Mary Ann Lee", 5), ("c", "dialogue", '"other book"', 5),
+            ("b", "narrator", None, 6), ("b", "dialogue", '"null"', 6)])],
+        "book_id string, item_no long, type string, content string, line_no long")
+    cast = spark.createDataFrame([("b", n) for n in ("mary ann lee", "mary ann lee", "lee ann", "...", "")],
+                                 "book_id string, name string")
+    found = {r["item_no"]: r["speaker"] for r in scripts.match_by_name(items, cast).collect()}
+    assert found == {2: "unknown", 5: "mary ann lee", 6: "mary ann lee", 7: "unknown", 9: "unknown",
+                     11: "unknown", 13: "unknown"}
+    nobody = scripts.match_by_name(items, cast.where("false"))
+    assert {r["speaker"] for r in nobody.collect()} == {"unknown"} and nobody.count() == 7
+
+
+def test_matching_reads_its_items_once(spark):
+    """Lines are gathered in one pass; no run of words is shuffled but those of lines with dialogue."""
+    items = spark.range(3).selectExpr("'b' as book_id", "id as item_no", "'dialogue' as type", "'x' as content", "id as line_no")
+    cast = spark.createDataFrame([("b", "sam")], "book_id string, name string")
+    plan = scripts.match_by_name(items, cast)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 3") == 1
+
+
 def test_plan_of_one_voice(lines):
     plan = narration.narration_plan_single(lines, "orpheus", "female").orderBy("line_no", "part_no").collect()
     assert [(r["chapter_no"], r["chapter"], r["voice"], r["text"]) for r in plan] == [

@@ -185,7 +185,9 @@ def context_by_loop(items, at, limit, budget):
     return ("\n".join(before) or "[No previous context]", "\n".join(after) or "[No following context]")
 
 
-def test_dialogue_context(spark):
+@pytest.mark.parametrize("block_rows", [6, 1024])
+def test_dialogue_context(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(windows, "CONTEXT_ROWS", block_rows)
     rng = random.Random(6)
     items = [(i, *(("dialogue", '"' + "w " * rng.randint(1, 9) + 'e"', rng.choice(["sam", "narrator"]))
                    if rng.random() < 0.5 else ("narrator", "n " * rng.randint(1, 20) + "e", "narrator")))
@@ -198,6 +200,16 @@ def test_dialogue_context(spark):
         i: context_by_loop(items, i, 6, 40) for i, kind, *_ in items if kind == "dialogue"}
 
 
+def test_dialogue_contexts_gather_no_text_frames(spark):
+    """Windows hold sums only; texts are gathered once for each block."""
+    df = spark.createDataFrame([], "book_id string, item_no long, type string, content string, speaker string, "
+                                   "original_line string")
+    plan = windows.dialogue_context(df)._jdf.queryExecution().optimizedPlan().toString()
+    frames = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window")]
+    assert frames and not any("collect_list" in line for line in frames)
+    assert plan.count("collect_list") == 1
+
+
 def test_chapters_merge_repeated_titles(spark):
     lines = ["dedication", "Chapter 1", "a", "Part two", "b", "chapter 1", "c"]
     df = spark.createDataFrame([("b", i, t) for i, t in enumerate(lines)], "book_id string, line_no long, line string")
