@@ -129,11 +129,16 @@ def parse_key_values(text) -> Column:
         lambda ln: F.struct(strip(F.substring_index(ln, ": ", 1)).alias("key"),
                             strip(F.regexp_replace(ln, r"(?s)\A.*?: ", "")).alias("value")))
 
-    def is_last(pair, i):
-        later = F.slice(pairs["key"], i + 2, F.size(pairs))
-        return ~F.array_contains(later, pair["key"])
+    # Two sorts find the last of each key; looking through the later keys of each would be quadratic in the lines.
+    by_key = F.sort_array(F.transform(pairs, lambda p, i: F.struct(
+        p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
 
-    return F.map_from_entries(F.filter(pairs, is_last))
+    def last_of_each(sorted_pairs):
+        return F.filter(sorted_pairs, lambda p, i: F.coalesce(F.get(sorted_pairs, i + 1)["key"] != p["key"], F.lit(True)))
+
+    in_order = F.sort_array(F.transform(let(by_key, last_of_each), lambda p: F.struct(
+        p["at"].alias("at"), p["key"].alias("key"), p["value"].alias("value"))))
+    return F.map_from_entries(F.transform(in_order, lambda p: F.struct(p["key"], p["value"])))
 
 
 PROBE = ("streams array<struct<codec_type string, sample_rate string, channels string>>, "

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptmill import fixed
-from scriptmill.functions.chars import column, strip
+from scriptmill.functions.chars import column, let, strip
 from scriptmill.functions.clean import (
     escape_metadata, is_only_punctuation, is_safe_path, sanitize_title, strip_emotion_tags)
 from scriptmill.functions.segment import speakable_parts
@@ -135,8 +135,11 @@ def chapter_durations(spoken: DataFrame, chapters: DataFrame, duration_ms: Colum
 
 def metadata_tags(metadata) -> Column:
     """Tag map of the finished file; empty values are left out."""
-    meta = column(metadata)
+    # The map is made once, not for each of its keys.
+    return let(metadata, _tags_of)
 
+
+def _tags_of(meta: Column) -> Column:
     def value(key):
         return escape_metadata(meta[key])
 
