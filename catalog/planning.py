@@ -9,10 +9,12 @@ from catalog.segmenting import ready_sql
 from catalog.windows import ASSIGNED_SQL
 from scriptmill.functions.clean import ascii_punct, close_quotes, parse_key_values, parse_probe_json
 from scriptmill.plans import narration
+from scriptmill.session import stage
 
 
 def cleaned(spark, sf_dir):
-    return manuscript(spark, sf_dir).withColumn("line", close_quotes(ascii_punct("line")))
+    """The manuscript as plans read it. Staged, as a plan goes through its lines more than once."""
+    return stage(manuscript(spark, sf_dir).withColumn("line", close_quotes(ascii_punct("line"))), "cleaned")
 
 
 def plan_single(spark, sf_dir):
@@ -22,7 +24,7 @@ def plan_single(spark, sf_dir):
 
 def plan_multi(spark, sf_dir):
     return narration.narration_plan_multi(
-        manuscript_script(spark, sf_dir), characters(spark, sf_dir), "orpheus", "female"
+        stage(manuscript_script(spark, sf_dir), "script"), characters(spark, sf_dir), "orpheus", "female"
     ).withColumn("part_no", F.col("part_no").cast("bigint"))
 
 
@@ -41,7 +43,7 @@ def plan_prepared(spark, sf_dir):
 
 
 def script_prepared(spark, sf_dir):
-    script = manuscript_script(spark, sf_dir)
+    script = stage(manuscript_script(spark, sf_dir), "script")
     tagged = script.where(TAGGED_BOOK).where(f"item_no > 0 or not {SHORT_BOOK}").select(
         "book_id", F.col("item_no").alias("line_no"), F.expr(TAGGED).alias("line"))
     return narration.prepared_script(script, "orpheus", tagged)
