@@ -15,10 +15,13 @@ from scriptmill.sources import books, characters as maps, files
 
 
 def as_files(texts, label):
-    """Writes texts (book, pos, value) as one text file per book, in order; returns the files' paths."""
+    """Writes texts (book, pos, value) as one text file per book, in order; returns the files' paths.
+
+    There are as many files as books, so tasks put them in their places; else the driver would, one after another.
+    """
     path = new_path(texts.sparkSession, label)
-    texts.repartition("book").sortWithinPartitions("book", "pos").select("book", "value").write.partitionBy(
-        "book").text(path)
+    texts.repartition("book").sortWithinPartitions("book", "pos").select("book", "value").write.option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("book").text(path)
     return path + "/*/*.txt"
 
 
