@@ -7,6 +7,7 @@ from catalog.cleaning import _MARKS, MARKED, QUOTED
 from catalog.data import table
 from catalog.windows import SPACED
 from scriptmill.operators import manuscripts
+from scriptmill.session import stage
 from scriptmill.sources.books import document_lines
 
 
@@ -35,7 +36,7 @@ def joined(spark, sf_dir):
 
 def split_back(spark, sf_dir):
     """Paragraphs of which every third comes back with its markers lost."""
-    paragraphs = joined(spark, sf_dir)
+    paragraphs = stage(joined(spark, sf_dir), "joined")
     answer = F.expr("case when paragraph_no % 3 = 1 then replace(text, ' ||| ', ' ') else text end")
     return manuscripts.split_paragraph_lines(paragraphs.withColumn("text", answer), paragraphs)
 

@@ -91,13 +91,8 @@ def main_content_lines(lines: DataFrame, start: str = "PROLOGUE", end: str = "AB
     return lines.select(*BOOK_LINE).join(found, KEYS, "left_anti").union(content).union(nothing)
 
 
-def paragraph_lines(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds to each line its paragraph (`paragraph_no`, from 0), its place there and the paragraph's `size` in lines.
-
-    A run of lines that are not blank is a paragraph; a blank line is one of its own, of size 0. Paragraphs cross
-    blocks: the number of blank lines before a run names it, so no line looks at its neighbours, and a paragraph may be
-    as long as its book.
-    """
+def _runs(lines: DataFrame, block_rows: int) -> DataFrame:
+    """`paragraph_lines` with `run`, which names a paragraph in its book too."""
     blank = is_blank("line")
     told = running(lines.withColumn("__blank", blank.cast("bigint")), KEYS, "line_no",
                    {"__blanks": SumBefore(F.col("__blank"))}, block_rows)
@@ -106,7 +101,17 @@ def paragraph_lines(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
     numbered = number_rows(runs, KEYS, "first", "paragraph_no", block_rows=block_rows)
     size = F.when(F.col("run") % 2 == 1, F.lit(0)).otherwise(F.col("size"))
     return named.join(numbered, [*KEYS, "run"]).select(
-        *BOOK_LINE, "paragraph_no", (F.col("line_no") - F.col("first")).alias("place"), size.cast("bigint").alias("size"))
+        *BOOK_LINE, "run", "paragraph_no", (F.col("line_no") - F.col("first")).alias("place"), size.cast("bigint").alias("size"))
+
+
+def paragraph_lines(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds to each line its paragraph (`paragraph_no`, from 0), its place there and the paragraph's `size` in lines.
+
+    A run of lines that are not blank is a paragraph; a blank line is one of its own, of size 0. Paragraphs cross
+    blocks: the number of blank lines before a run names it, so no line looks at its neighbours, and a paragraph may be
+    as long as its book.
+    """
+    return _runs(lines, block_rows).drop("run")
 
 
 def join_paragraph_lines(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -115,7 +120,8 @@ def join_paragraph_lines(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> Data
     A paragraph must fit in a row here; `paragraph_lines` keeps longer ones as rows.
     """
     ordered = F.sort_array(F.collect_list(F.struct("place", "line")))
-    return paragraph_lines(lines, block_rows).groupBy(*KEYS, "paragraph_no", "size").agg(ordered.alias("__lines")).select(
+    # Grouped by what the lines were joined on, so that their texts move once for both.
+    return _runs(lines, block_rows).groupBy(*KEYS, "run", "paragraph_no", "size").agg(ordered.alias("__lines")).select(
         *KEYS, "paragraph_no", "size", F.array_join(F.col("__lines.line"), fixed.LINE_MARKER).alias("text"))
 
 
