@@ -11,6 +11,7 @@ from catalog.segmenting import ITEMS_SQL
 from catalog.windows import context_sql, speaking_items, windows_sql
 from scriptmill.functions.paragraphs import join_paragraphs
 from scriptmill.operators import budgets, registry, windows
+from scriptmill.session import stage
 
 KEYS = ["book_id"]
 
@@ -51,7 +52,8 @@ def valid_names(spark, sf_dir):
 
 
 def extraction_requests(spark, sf_dir):
-    items = windows.to_items(manuscript(spark, sf_dir))
+    # Staged, as items are counted and then gathered.
+    items = stage(windows.to_items(manuscript(spark, sf_dir)).select("book_id", "item_no", "content"), "items")
     made = budgets.batch_by_tokens(items, KEYS, "item_no", "content", 2000)
     text = budgets.group_text(items.where(~windows.is_blank("content")), made, KEYS, "item_no",
                               "content", "batch_no")
@@ -61,10 +63,12 @@ def extraction_requests(spark, sf_dir):
 
 def matching_requests(spark, sf_dir):
     contexts = windows.current_line_context(
-        windows.dialogue_context(speaking_items(spark, sf_dir)))
+        windows.dialogue_context(speaking_items(spark, sf_dir), counts=True))
     return registry.prompt_table(
         contexts, "match", F.col("item_no"),
-        registry.matching_text("context_before", "content", "context_after"))
+        registry.matching_text("context_before", "content", "context_after"),
+        counted=registry.filled_tokens(
+            registry.MATCH, before="tokens_before", line="tokens_content", after="tokens_after"))
 
 
 def tagging_requests(spark, sf_dir):

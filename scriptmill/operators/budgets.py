@@ -265,7 +265,13 @@ def chunk_by_tokens(df: DataFrame, keys: Sequence[str], pos: str, text: str,
     `opens` marks rows a new chunk must begin at, such as the first line of a window.
     """
     count = token_count(text) if tokens is None else tokens
-    return _group(df, keys, pos, count, Chunks(max_tokens), "chunk_no", opens, is_blank(text))
+    return chunk_counted(df, keys, pos, count, is_blank(text), max_tokens, opens)
+
+
+def chunk_counted(df: DataFrame, keys: Sequence[str], pos: str, tokens: Column, blank: Column, max_tokens: int = 500,
+                  opens: Column | None = None) -> DataFrame:
+    """`chunk_by_tokens` of rows that need not hold their text."""
+    return _group(df, keys, pos, tokens, Chunks(max_tokens), "chunk_no", opens, blank)
 
 
 def batch_by_tokens(df: DataFrame, keys: Sequence[str], pos: str, text: str,
@@ -283,10 +289,14 @@ def average_tokens(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def group_text(df: DataFrame, groups: DataFrame, keys: Sequence[str], pos: str, text: str,
                number: str, extra: Sequence[str] = ()) -> DataFrame:
-    """The groups with their lines joined by newlines; a group's size is bounded by its budget."""
+    """The groups with their lines joined by newlines; a group's size is bounded by its budget.
+
+    The listed positions are as many as the lines, which Spark, seeing the groups they come from, takes for few:
+    unhinted it would send all of them through the driver as a broadcast.
+    """
     members = groups.select(
         *keys, number, *extra, "tokens", "start_line", "end_line",
-        F.explode(F.sequence("start_line", F.col("end_line") - 1)).alias(pos))
+        F.explode(F.sequence("start_line", F.col("end_line") - 1)).alias(pos)).hint("merge")
     ordered = F.sort_array(F.collect_list(F.struct(F.col(pos), F.col(text).alias("text"))))
     by = [*keys, number, *extra, "tokens", "start_line", "end_line"]
     return (members.join(df.select(*keys, pos, text), [*keys, pos])

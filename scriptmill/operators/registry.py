@@ -322,10 +322,12 @@ def valid_names_text(characters: DataFrame, part_rows: int) -> DataFrame:
 
 
 def prompt_table(df: DataFrame, kind: str, key: Column, text: Column,
-                 tokens=token_count) -> DataFrame:
-    """One request per row: book, kind, key, user text and its token count."""
-    return df.select("book_id", F.lit(kind).alias("kind"), key.alias("key"),
-                     text.alias("user_text")).withColumn("tokens", tokens("user_text"))
+                 tokens=token_count, counted: Column | None = None) -> DataFrame:
+    """One request per row: book, kind, key, user text and its token count, which may be `counted` already."""
+    said = [F.lit(kind).alias("kind"), key.alias("key"), text.alias("user_text")]
+    if counted is not None:
+        return df.select("book_id", *said, counted.cast("bigint").alias("tokens"))
+    return df.select("book_id", *said).withColumn("tokens", tokens("user_text"))
 
 
 #: wordings of requests; callers give their own, with the same places in braces
@@ -347,6 +349,21 @@ def filled(template: str, **values) -> Column:
     return F.concat(*(column(values[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
 
 
+def filled_tokens(template: str, tokens=token_count, **counts) -> Column:
+    """Tokens of a filled template from the counts of its values, for counts in which white space divides tokens.
+
+    Each place must lie between white space or the template's ends, so that no token is part text and part value.
+    """
+    parts = places(template)
+    edges = [t[-1:] for t in parts[0:-1:2]] + [t[:1] for t in parts[2::2]]
+    if any(e and not e.isspace() for e in edges) or "" in parts[2:-1:2]:
+        raise ValueError("places must lie between white space")
+    total = F.lit(0).cast("bigint")
+    for i, p in enumerate(parts):
+        total = total + (column(counts[p]) if i % 2 else tokens(F.lit(p)))
+    return total
+
+
 def extraction_text(text, template: str = EXTRACT) -> Column:
     return filled(template, text=text)
 

@@ -7,7 +7,7 @@ from scriptmill.functions.chars import WS, is_blank, strip
 from scriptmill.functions.clean import is_only_punctuation
 from scriptmill.functions.segment import has_emotion_keyword, line_items
 from scriptmill.functions.tokens import token_count
-from scriptmill.operators.budgets import chunk_by_tokens
+from scriptmill.operators.budgets import chunk_counted
 from scriptmill.operators.ordered import (
     BLOCK, HOME, Previous, RunningSum, SumBefore, WholeSum, block_of, number_rows, running,
     with_neighbours)
@@ -74,8 +74,13 @@ def window_lines(lines: DataFrame, windows: DataFrame) -> DataFrame:
     """The lines inside windows, each with its window; `opens` marks a window's first line.
 
     A window is cut at block edges before its lines are listed, so a window as long as a book
-    is listed by many tasks.
+    is listed by many tasks. The listed lines are joined by a shuffle: what Spark measures is the windows before
+    they are listed, so that it would broadcast them at any size.
     """
+    return _inside(lines.select("book_id", "line_no", "line"), windows)
+
+
+def _inside(rows: DataFrame, windows: DataFrame) -> DataFrame:
     step = 4096
     cuts = F.sequence(block_of("start_line", step), block_of(F.col("end_line") - 1, step))
     cut = windows.select("book_id", "window_no", "start_line", "end_line",
@@ -83,18 +88,21 @@ def window_lines(lines: DataFrame, windows: DataFrame) -> DataFrame:
     listed = F.sequence(F.greatest(F.col("start_line"), F.col("cut") * step),
                         F.least(F.col("end_line"), (F.col("cut") + 1) * step) - 1)
     members = cut.repartition("book_id", "cut").select(
-        "book_id", "window_no", "start_line", F.explode(listed).alias("line_no"))
-    return lines.join(members, ["book_id", "line_no"]).select(
-        "book_id", "line_no", "line", "window_no",
-        (F.col("line_no") == F.col("start_line")).alias("opens"))
+        "book_id", "window_no", "start_line", F.explode(listed).alias("line_no")).hint("merge")
+    return rows.join(members, ["book_id", "line_no"]).select(
+        *rows.columns, "window_no", (F.col("line_no") == F.col("start_line")).alias("opens"))
 
 
 def window_chunks(lines: DataFrame, windows: DataFrame, max_tokens: int = 500,
                   tokens: Column | None = None) -> DataFrame:
-    """Token chunks inside windows; a chunk never leaves its window."""
-    inside = window_lines(lines, windows)
-    chunks = chunk_by_tokens(inside, KEYS, "line_no", "line", max_tokens, tokens,
-                             opens=F.col("opens"))
+    """Token chunks inside windows; a chunk never leaves its window.
+
+    Lines are counted where they are read, so their texts don't move.
+    """
+    counted = lines.select("book_id", "line_no", (token_count("line") if tokens is None else tokens).alias("__n"),
+                           is_blank("line").alias("__blank"))
+    inside = stage(_inside(counted, windows), "inside")
+    chunks = chunk_counted(inside, KEYS, "line_no", F.col("__n"), F.col("__blank"), max_tokens, F.col("opens"))
     owner = inside.select("book_id", F.col("line_no").alias("start_line"), "window_no")
     return chunks.join(owner, ["book_id", "start_line"]).select(
         "book_id", "window_no", "chunk_no", "start_line", "end_line", "line_count", "tokens")
@@ -114,12 +122,13 @@ def window_coverage(lines: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def dialogue_context(items: DataFrame, max_tokens: int = 1000, limit: int = 30,
-                     tokens=token_count) -> DataFrame:
+                     tokens=token_count, counts: bool = False) -> DataFrame:
     """For every dialogue item, the nearest items each way that fit the token budget.
 
     `items` has book_id, item_no (dense), type, content, original_line and speaker. Counting
     stops at the first item that does not fit; counts are never negative, so that is the
-    cumulative sum passing the budget.
+    cumulative sum passing the budget. With `counts` it also returns tokens_before, tokens_content and tokens_after,
+    sums of the items' counts, so that contexts many times the book's size need not be counted again.
     """
     said = F.when(
         (F.col("type") == "dialogue") & (F.col("speaker") != "narrator"),
@@ -140,30 +149,46 @@ def dialogue_context(items: DataFrame, max_tokens: int = 1000, limit: int = 30,
         "said_before": F.sum("said_n").over(upto) - F.col("said_n"),
         "content_sum": F.sum("content_n").over(upto)}).groupBy("book_id", BLOCK).agg(
         F.sort_array(F.collect_list(F.struct(
-            "item_no", "said", "content", "said_before", "content_sum", asks.alias("asks"),
+            "item_no", "said", "content", "said_n", "content_n", "said_before", "content_sum", asks.alias("asks"),
             F.when(asks, F.col("original_line")).alias("original_line")))).alias("__b"))
-    asked = blocks.select("book_id", "__b", F.posexplode("__b").alias("__i", "it")).where("it.asks")
-    back = F.slice("__b", F.greatest(F.col("__i") - limit, F.lit(0)) + 1, F.least("__i", F.lit(limit)))
-    ahead = F.slice("__b", F.col("__i") + 2, limit)
-    fits_back = F.filter(back, lambda x: F.col("it.said_before") - x["said_before"] <= max_tokens)
-    fits_ahead = F.filter(ahead, lambda x: x["content_sum"] - F.col("it.content_sum") <= max_tokens)
+
+    def around(it, i):
+        back = F.slice("__b", F.greatest(i - limit, F.lit(0)) + 1, F.least(i, F.lit(limit)))
+        ahead = F.slice("__b", i + 2, limit)
+        fits_back = F.filter(back, lambda x: it["said_before"] - x["said_before"] <= max_tokens)
+        fits_ahead = F.filter(ahead, lambda x: x["content_sum"] - it["content_sum"] <= max_tokens)
+        return F.when(it["asks"], F.struct(
+            it["item_no"].alias("item_no"), it["content"].alias("content"), it["original_line"].alias("original_line"),
+            fits_back.getField("said").alias("back"), fits_ahead.getField("content").alias("ahead"),
+            *([total(fits_back, "said_n", fixed.NO_BEFORE).alias("back_n"), it["content_n"].alias("content_n"),
+               total(fits_ahead, "content_n", fixed.NO_AFTER).alias("ahead_n")] if counts else [])))
+
+    def total(kept, count, none):
+        return F.when(F.size(kept) == 0, tokens(F.lit(none)).cast("bigint")).otherwise(
+            F.aggregate(kept.getField(count), F.lit(0).cast("bigint"), lambda a, n: a + n))
 
     def joined(kept, none):
         return F.when(F.size(kept) == 0, F.lit(none)).otherwise(F.array_join(kept, "\n"))
 
-    return asked.select(
-        "book_id", "it.item_no", "it.content", "it.original_line",
-        fits_back.getField("said").alias("__back"), fits_ahead.getField("content").alias("__ahead"),
-    ).select("book_id", "item_no", "content", "original_line",
-             joined("__back", fixed.NO_BEFORE).alias("context_before"),
-             joined("__ahead", fixed.NO_AFTER).alias("context_after"))
+    # Made inside the array: a row for each item would hold a copy of its whole block.
+    found = F.filter(F.transform("__b", around), lambda x: x.isNotNull())
+    return blocks.select("book_id", F.explode(found).alias("c")).select(
+        "book_id", "c.item_no", "c.content", "c.original_line",
+        joined(F.col("c.back"), fixed.NO_BEFORE).alias("context_before"),
+        joined(F.col("c.ahead"), fixed.NO_AFTER).alias("context_after"),
+        *([F.col("c.back_n").alias("tokens_before"), F.col("c.content_n").alias("tokens_content"),
+           F.col("c.ahead_n").alias("tokens_after")] if counts else []))
+
+
+CURRENT = "\n\n[CURRENT LINE WITH DIALOGUE TAGS]: "
 
 
-def current_line_context(contexts: DataFrame) -> DataFrame:
+def current_line_context(contexts: DataFrame, tokens=token_count) -> DataFrame:
     """Shows the whole original line, with its dialogue tags, after the context before."""
-    return contexts.withColumn("context_before", F.concat(
-        F.col("context_before"), F.lit("\n\n[CURRENT LINE WITH DIALOGUE TAGS]: "),
-        F.col("original_line")))
+    if "tokens_before" in contexts.columns:
+        contexts = contexts.withColumn(
+            "tokens_before", F.col("tokens_before") + tokens(F.lit(CURRENT)) + tokens("original_line"))
+    return contexts.withColumn("context_before", F.concat(F.col("context_before"), F.lit(CURRENT), F.col("original_line")))
 
 
 def word_budget(snippets: DataFrame, per_snippet: int = 150, total: int = 800) -> DataFrame:
