@@ -5,6 +5,7 @@ from catalog.data import manuscript, ms
 from catalog.segmenting import ITEMS_SQL
 from catalog.windows import windows_sql
 from scriptmill.operators import budgets, windows
+from scriptmill.session import stage
 
 KEYS = ["book_id"]
 
@@ -27,8 +28,8 @@ def small_batches(spark, sf_dir):
 
 
 def narrative(spark, sf_dir):
-    """The manuscript without blank lines, which is what gets tagged."""
-    return windows.drop_blank_lines(manuscript(spark, sf_dir)).select("book_id", "line_no", "line")
+    """The manuscript without blank lines, which is what gets tagged. Staged, as several passes read it."""
+    return stage(windows.drop_blank_lines(manuscript(spark, sf_dir)).select("book_id", "line_no", "line"), "narrative")
 
 
 def window_chunks(spark, sf_dir):

@@ -167,7 +167,13 @@ from (select book_id, block_no, start_line, end_line,
 
 
 def tagged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.sql(BLOCKS_LINES, manuscript=manuscript(spark, sf_dir))
+    return blocks_of(manuscript(spark, sf_dir))
+
+
+def blocks_of(lines: DataFrame) -> DataFrame:
+    """Tagged blocks of lines that a query also needs for itself."""
+    spark = lines.sparkSession
+    lines = spark.sql(BLOCKS_LINES, manuscript=lines)
     blocks = lines.groupBy("book_id", "block_no").agg(
         F.min("line_no").alias("start_line"), (F.max("line_no") + 1).alias("end_line"),
         F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l")

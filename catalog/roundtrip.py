@@ -8,7 +8,7 @@ from catalog.data import ms
 from catalog.tagging import has_tag, own_sql, reason_sql, repair_sql, stop_sql
 from scriptmill.operators import answers, budgets, roundtrip, windows
 from scriptmill.operators.registry import TAG
-from scriptmill.session import new_path
+from scriptmill.session import new_path, stage
 
 
 def stand_in(texts):
@@ -42,7 +42,7 @@ def tag_lines(spark, sf_dir):
 
 def answered_requests(spark, sf_dir):
     """Chunk requests asked twice through one log: the second time only those that failed are asked."""
-    requests = roundtrip.chunk_requests(_chunks(narrative(spark, sf_dir)))
+    requests = stage(roundtrip.chunk_requests(_chunks(narrative(spark, sf_dir))), "requests")
     log = new_path(spark, "answer-log")
     answers.ask(requests, stand_in, log, partitions=8)
     return answers.ask(requests, lambda texts: ["again"] * len(texts), log, partitions=8).select(

@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from catalog import sqltext as s
-from catalog.data import BLOCKS_SQL, manuscript, ms, tagged_blocks
+from catalog.data import BLOCKS_SQL, blocks_of, manuscript, ms, tagged_blocks
 from scriptmill import fixed
 from scriptmill.functions import tagging
 from catalog.sqltext import WORD, WS
 from scriptmill.functions.clean import TAG
 from scriptmill.operators import tags
+from scriptmill.session import stage
 
 
 def validate(spark, sf_dir):
@@ -55,8 +56,9 @@ def fallback(spark, sf_dir):
 
 
 def reassemble(spark, sf_dir):
-    checked = tags.fallback_by_line(tags.validate_chunks(tagged_blocks(spark, sf_dir)))
-    return tags.reassemble(manuscript(spark, sf_dir), checked)
+    lines = stage(manuscript(spark, sf_dir), "manuscript")
+    checked = tags.fallback_by_line(tags.validate_chunks(blocks_of(lines)))
+    return tags.reassemble(lines, checked)
 
 
 QUERIES = {

@@ -92,35 +92,41 @@ def found_tags(text) -> Column:
 
 def reject_reason(text, original) -> Column:
     """Why a tagged text cannot be used: the first rule it breaks, null if none."""
-    text, original = column(text), column(original)
+    # What several rules look at is made once: Spark makes it anew for each inside a lambda or a branch.
+    seen = F.struct(column(text).alias("text"), column(original).alias("original"), found_tags(text).alias("tags"))
+    return let(seen, lambda s: _first_broken(s["text"], s["original"], s["tags"]))
 
+
+def _first_broken(text: Column, original: Column, tags: Column) -> Column:
     def listed(tags):
         return F.array_join(F.sort_array(tags), ", ")
 
     def no_space(t):
         return F.regexp_replace(t, rf"[{WS}]+", "")
 
-    tags = found_tags(text)
     invalid = F.array_except(tags, F.array(*map(F.lit, fixed.EMOTION_TAGS)))
     leaked = F.array_intersect(tags, F.array(*map(F.lit, fixed.STRUCTURAL_TAGS)))
-    n_words = F.size(words_of(original))
+    most = let(F.size(words_of(original)), lambda n: F.when(
+        (n > 0) & (F.size(tags) > F.greatest(F.lit(1), F.floor(n / 10))), n))
     before = F.size(lines_of(original))
     after = F.size(lines_of(strip_emotion_tags(text)))
+    # A text that came back as it was and has no tag needs no search.
+    same = F.when((text == original) & ~F.contains(text, F.lit("<")), True).otherwise(
+        no_space(F.regexp_replace(text, TAG, "")) == no_space(original))
     return (
         F.when((F.size(invalid) > 0) & (F.size(leaked) > 0),
                F.concat(F.lit("Structural markup leaked from prompt: "), listed(leaked)))
         .when(F.size(invalid) > 0,
               F.concat(F.lit("Invalid emotion tags found: "), listed(invalid)))
-        .when(no_space(F.regexp_replace(text, TAG, "")) != no_space(original),
-              "Text content was modified beyond adding tags.")
+        .when(~same, "Text content was modified beyond adding tags.")
         .when(before != after, F.format_string("Line structure changed (%d -> %d lines)",
                                                before, after))
         .when(text.rlike(r"<[^>]*\z|\A[^<]*>"), "Malformed emotion tags found")
         .when(text.rlike("&lt;|&gt;"), "HTML entities found in emotion tags")
         .when(text.rlike(rf"[{WORD}]{TAG}[{WORD}]"), "Emotion tags breaking words detected")
-        .when((n_words > 0) & (F.size(tags) > F.greatest(F.lit(1), F.floor(n_words / 10))),
-              F.format_string("Excessive emotion tags detected (%d tags for %d words)",
-                              F.size(tags), n_words))
+        # One tag is never too many.
+        .when((F.size(tags) > 1) & most.isNotNull(),
+              F.format_string("Excessive emotion tags detected (%d tags for %d words)", F.size(tags), most))
         .when(text.rlike(rf"{TAG}[{WS}]*{TAG}"), "Consecutive emotion tags detected"))
 
 
@@ -149,10 +155,12 @@ def validate_by_line(enhanced, original) -> Column:
     """Every line of a text validated alone; blank lines and missing responses stay as they were."""
     def by_line(answers):
         def checked(line, i):
-            answer = clean_response(F.get(answers, i))
-            usable = ~is_blank(line) & answer.isNotNull() & reject_reason(answer, line).isNull()
-            # One line has no neighbours, so its own repair is the whole repair.
-            return F.when(usable, own_repair(answer, line)).otherwise(line)
+            def settled(answer):
+                usable = ~is_blank(line) & answer.isNotNull() & reject_reason(answer, line).isNull()
+                # One line has no neighbours, so its own repair is the whole repair.
+                return F.when(usable, own_repair(answer, line)).otherwise(line)
+
+            return let(clean_response(F.get(answers, i)), settled)
 
         return F.array_join(F.transform(lines_of(original), checked), "\n")
 

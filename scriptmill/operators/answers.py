@@ -58,14 +58,25 @@ def in_halves(fn: Callable[[list[str]], list[str]], texts: list[str]) -> list[tu
         return in_halves(fn, texts[:half]) + in_halves(fn, texts[half:])
 
 
-def logged(spark: SparkSession, log: str) -> DataFrame:
-    """digest, response: what the log holds. A log that nobody has written to is empty."""
+def _rows(spark: SparkSession, log: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/answers")
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], LOGGED)
+    return spark.read.schema(LOGGED).parquet(f"{log}/answers")
+
+
+def logged_digests(spark: SparkSession, log: str) -> DataFrame:
+    """digest: the requests that the log holds answers to, each once."""
+    return _rows(spark, log).select("digest").distinct()
+
+
+def logged(spark: SparkSession, log: str, digests: DataFrame | None = None) -> DataFrame:
+    """digest, response: what the log holds, or of that the `digests`. A log that nobody has written to is empty."""
+    rows = _rows(spark, log)
+    if digests is not None:
+        rows = rows.join(digests, "digest", "left_semi")
     # An append that was repeated gives an answer twice.
-    return spark.read.schema(LOGGED).parquet(f"{log}/answers").groupBy("digest").agg(
-        F.first("response").alias("response"))
+    return rows.groupBy("digest").agg(F.first("response").alias("response"))
 
 
 def ask(requests: DataFrame, fn: Callable[[list[str]], list[str]], log: str, model: str = "model",
@@ -82,10 +93,14 @@ def ask(requests: DataFrame, fn: Callable[[list[str]], list[str]], log: str, mod
     """
     spark = requests.sparkSession
     keyed = requests.withColumn("__digest", request_digest(F.col(text), model))
-    known = stage(logged(spark, log), "answers-known")
-    wanted = keyed.where("__digest is not null").groupBy(F.col("__digest").alias("digest")).agg(
-        F.first(text).alias("text"))
-    missing = wanted.join(known, "digest", "left_anti").repartition(partitions, "digest").sortWithinPartitions("digest")
+    wanted = keyed.where("__digest is not null").select(F.col("__digest").alias("digest"), F.col(text).alias("text"))
+    # Of the log only what is asked for moves: digests first, then the answers of those found.
+    held = logged_digests(spark, log)
+    found = stage(held.join(wanted.select("digest"), "digest", "left_semi"), "answers-found")
+    known = stage(logged(spark, log, found), "answers-known")
+    # Equal texts meet where they are asked, so that texts move once.
+    missing = wanted.join(found, "digest", "left_anti").repartition(partitions, "digest").groupBy("digest").agg(
+        F.first("text").alias("text")).sortWithinPartitions("digest")
 
     def answer(frames) -> Iterator:
         for frame in frames:

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, functions as F
 
 from scriptmill.functions.chars import lines_of
-from scriptmill.operators.ordered import WholeSum, running
 from scriptmill.functions.tagging import (
     clean_response, is_orphan, repair_orphans, response_reason, validate_by_line)
+from scriptmill.session import stage
 
 OVERLAP = "Chunks overlap, the book keeps its lines"
 
@@ -41,20 +41,23 @@ def reassemble(lines: DataFrame, chunks: DataFrame) -> DataFrame:
     """The book's lines with the chunks' lines in their places.
 
     A chunk with another number of lines than its range replaces nothing. Where chunks of a book give a line twice,
-    none of its lines is replaced, and `message` says so.
+    none of its lines is replaced, and `message` says so. Books with such lines are few rows of their own, so that
+    the chunks are gone through once and texts meet their lines in one join.
     """
     parts = lines_of("text")
     # Not a filter: that would be pushed below, and the text be made twice.
     fitting = F.when(F.size(parts) == F.col("end_line") - F.col("start_line"), parts)
-    tagged = chunks.select(
+    tagged = stage(chunks.select(
         "book_id", "start_line", F.posexplode(fitting).alias("at", "tagged")
     ).select("book_id", (F.col("start_line") + F.col("at")).alias("line_no"), "tagged").groupBy(
-        "book_id", "line_no").agg(F.first("tagged").alias("tagged"), F.count("*").alias("__times"))
-    both = lines.join(tagged, ["book_id", "line_no"], "left").select(
-        "book_id", "line_no", "line", "tagged", F.coalesce(F.col("__times") > 1, F.lit(False)).alias("__twice"))
-    checked = running(both, ["book_id"], "line_no", {"__over": WholeSum(F.col("__twice").cast("bigint"))})
-    fits = F.col("__over") == 0
-    return checked.select(
+        "book_id", "line_no").agg(F.first("tagged").alias("tagged"), F.count("*").alias("__times")), "tagged-lines")
+    twice = stage(tagged.where("__times > 1").select("book_id", "line_no"), "twice")
+    over = stage(twice.join(lines.select("book_id", "line_no"), ["book_id", "line_no"], "left_semi").select(
+        "book_id").distinct().withColumn("__over", F.lit(True)), "overlaps")
+    placed = lines.select("book_id", "line_no", "line").where("book_id is not null and line_no is not null")
+    both = placed.join(tagged.select("book_id", "line_no", "tagged"), ["book_id", "line_no"], "left")
+    fits = F.col("__over").isNull()
+    return both.join(over, "book_id", "left").select(
         "book_id", "line_no", F.when(fits, F.coalesce("tagged", "line")).otherwise(F.col("line")).alias("line"),
         (fits & F.col("tagged").isNotNull()).alias("replaced"),
         F.when(~fits, F.lit(OVERLAP)).alias("message"))
