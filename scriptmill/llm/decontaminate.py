@@ -21,7 +21,8 @@ UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec min h hr h
          "year years ms hz khz mhz ghz w kw mw v kb mb gb tb mph kmh percent usd eur gbp dollars dollar euros euro cents cent "
          "meters meter metres metre kilometers kilometer grams gram kilograms kilogram liters liter litres litre "
          "seconds second minutes minute hours hour miles mile feet foot inches inch pounds pound degrees degree").split()
-NUMBERS = "\\p{N}+(?:[.,:/]\\p{N}+)+|[\\p{L}\\p{M}\\p{N}]*\\p{N}[\\p{L}\\p{M}\\p{N}]*"
+#: a word without a digit is read once, from its start: behind a letter none begins that did not match before it
+NUMBERS = "\\p{N}+(?:[.,:/]\\p{N}+)+|(?<![\\p{L}\\p{M}])[\\p{L}\\p{M}]*+\\p{N}[\\p{L}\\p{M}\\p{N}]*+"
 NAMES = f"\\p{{Lu}}(?<=[\\p{{Ll}}{NUMBER}][,;]? {{1,2}}\\p{{Lu}})[\\p{{L}}\\p{{M}}]*"
 #: capitalised words that NAMES leaves at the start of a sentence, a line, a quote or a bracket
 INITIALS = f"\\p{{Lu}}(?<=(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}{NUMBER}-{INITIAL} ,;] {{0,2}})\\p{{Lu}})[\\p{{L}}\\p{{M}}]*"
@@ -97,20 +98,26 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int, liter
 
 
 def text_windows(texts: DataFrame, size: int) -> DataFrame:
-    """doc_id, doc_pos, hash: all windows of the texts' templates, and those of their named templates that differ."""
-    def windows(words: Column) -> Column:
+    """doc_id, doc_pos, hash: all windows of the texts' templates, and those of their named templates that differ.
+
+    Lambdas see each word once; windows, of which there are as many, are rows and so compiled.
+    """
+    def hashed(words: Column) -> Column:
         """Each word is hashed once, and once more for all words that may be names; windows combine hashes."""
         initial = F.transform(words, lambda w: F.startswith(w, F.lit(INITIAL)))
         own = F.transform(words, lambda w: F.xxhash64(F.when(F.startswith(w, F.lit(INITIAL)), F.substring(w, 2, 2**31 - 1)).otherwise(w)))
         named = F.zip_with(initial, own, lambda i, h: F.when(i, F.xxhash64(F.lit(NAME))).otherwise(h))
-        return let(F.struct(own.alias("own"), named.alias("named")), lambda h: F.when(F.size(h.own) >= size, F.transform(
-            F.sequence(F.lit(0), F.size(h.own) - size), lambda i: F.struct(
-                window_hash(h.own, i, size).alias("own"), window_hash(h.named, i, size).alias("named")))))
-
-    both = F.transform(let(marked_words(F.regexp_replace(marked(F.col("text")), INITIALS, INITIAL + "$0")), windows),
-                       lambda w: F.struct(w.own, F.nullif(w.named, w.own).alias("named")))
-    return texts.select("doc_id", F.posexplode(both).alias("doc_pos", "w")).select(
-        "doc_id", "doc_pos", F.explode(F.array("w.own", "w.named")).alias("hash")).where("hash is not null")
+        return F.struct(own.alias("own"), named.alias("named"))
+
+    # a generator's columns are not computed again by what reads them
+    hashes = texts.select("doc_id", F.inline(F.transform(F.array(marked_words(F.regexp_replace(
+        marked(F.col("text")), INITIALS, INITIAL + "$0"))), hashed)))
+    at = F.col("doc_pos")
+    windows = hashes.select("doc_id", "own", "named", F.posexplode("own").alias("doc_pos", "_word")).where(
+        at <= F.size("own") - size).select(
+        "doc_id", "doc_pos", window_hash(F.col("own"), at, size).alias("own"), window_hash(F.col("named"), at, size).alias("named"))
+    return windows.select("doc_id", "doc_pos", F.explode(F.array("own", F.nullif("named", "own"))).alias("hash")).where(
+        "hash is not null")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",

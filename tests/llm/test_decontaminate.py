@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,13 @@ def test_shuffled_when_large(docs, spark, monkeypatch):
 def test_plans_hold_no_python(docs, spark):
     plan = D.leaks(docs((1, ITEM)), bench(spark, ITEM))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_a_long_word_is_read_once(docs, spark):
+    rows = docs((1, f"{'x' * 400_000} {ITEM}"), (2, "ab1c2 1.5xy 3:4z9 a.5 7km é\u03018x x٣y 12,5,x"))
+    began = time.time()
+    assert [r.doc_id for r in D.leaks(rows, bench(spark, ITEM)).collect()] == [1]
+    assert time.time() - began < 60  # the square of its length takes minutes
+    wide = "\\p{N}+(?:[.,:/]\\p{N}+)+|[\\p{L}\\p{M}\\p{N}]*\\p{N}[\\p{L}\\p{M}\\p{N}]*"
+    got = rows.where("doc_id = 2").select(F.regexp_replace("text", D.NUMBERS, "#"), F.regexp_replace("text", wide, "#")).first()
+    assert got[0] == got[1]
