@@ -23,9 +23,11 @@ BUCKETS, LEXICON = 1 << 16, 300
 SALTS = 64
 EPOCHS, BATCH, RATE, DECAY, SEED = 3, 256, 0.2, 1e-6, 7
 #: a worker forgets its scored words when it holds so many
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: words whose features are looked up at once
+SCORED_WORDS = 4_096
 #: characters whose words go through forward-backward at once, whole texts at least
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 UNKNOWN = "und"
 find_words = re.compile(r"[^\W\d_]+").findall
 
@@ -211,7 +213,9 @@ class Labeller:
             need = len(kept) + len(new)
             if need > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros((max(need, len(self.scores)), self.scores.shape[1]))])
-            self.scores[len(kept):need] = self.field.emissions(new)
+            for at in range(0, len(new), SCORED_WORDS):
+                part = new[at:at + SCORED_WORDS]
+                self.scores[len(kept) + at:len(kept) + at + len(part)] = self.field.emissions(part)
             kept.update(zip(new, range(len(kept), need), strict=True))
         return np.array([kept[w] for words in texts for w in words], np.int64)
 

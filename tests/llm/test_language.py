@@ -66,3 +66,15 @@ def test_long_lines_and_words_are_learned_from(spark):
     asked = spark.createDataFrame([(k, w * 5) for k, w in enumerate(words.values())], "doc_id long, text string")
     assert [r.lang_pred for r in L.identify(asked, field).orderBy("doc_id").collect()] == ["aa", "bb", "cc"]
     assert set(L.features("a" * 50 + "xyz" + "a" * 50, {})) != set(L.features("a" * 103, {}))
+
+
+def test_new_words_are_scored_a_few_at_a_time(monkeypatch):
+    field = L.Field(["a", "b"]).fit([("a", "one two three four"), ("b", "ein zwei drei vier")] * 20)
+    texts = [" ".join(f"{w}x" * k for w in ("one", "zwei", "four", "drei")) for k in range(1, 9)]
+    want = list(L.Labeller(field).label(texts))
+    sizes, plain = [], field.emissions
+    monkeypatch.setattr(L, "SCORED_WORDS", 3)
+    monkeypatch.setattr(field, "emissions", lambda words: sizes.append(len(words)) or plain(words))
+    got = list(L.Labeller(field).label(texts))
+    assert sizes and max(sizes) <= 3
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
