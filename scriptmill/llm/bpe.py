@@ -22,12 +22,12 @@ from scriptmill.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 #: a beginning of tokens that is none itself
 NO_TOKEN = -1
-#: a worker forgets its encoded words when it holds so many (some 70 MB), and never keeps longer ones
-KEPT_WORDS, KEPT_SIZE = 350_000, 32
+#: a worker forgets its encoded words when it holds so many (some 60 MB), and never keeps longer ones
+KEPT_WORDS, KEPT_SIZE = 300_000, 32
 #: pairs of tokens that a worker remembers (some 20 MB)
 KEPT_PAIRS = 1 << 17
 #: characters that a worker splits into words at a time, whole texts at least
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 
 def default_path() -> str:
@@ -178,11 +178,11 @@ class Encoder:
         return np.frombuffer(b"".join(coded), "<i4"), np.array([len(b) // 4 for b in coded], np.int64)
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Spans of whole texts of about CHUNK_CHARS."""
     start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
+    for i, own in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        size += own
         if size >= CHUNK_CHARS:
             yield start, i + 1
             start, size = i + 1, 0
@@ -212,9 +212,9 @@ def _coded(df: DataFrame, key: str, text: str, path: str | None, decoded: str |
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = Encoder(held.value), pa.array(held.value.tokens, pa.string())
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, stop in chunks(texts):
-                ids, counts = encoder.encode(texts[start:stop])
+            texts = batch.column(1)
+            for start, stop in chunks(texts):  # only a chunk's texts are strings of Python at once
+                ids, counts = encoder.encode(texts.slice(start, stop - start).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 out = [batch.column(0).slice(start, stop - start), lists]

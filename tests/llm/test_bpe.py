@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -66,3 +67,9 @@ def test_small_caches_change_nothing(monkeypatch, small):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
     monkeypatch.setattr(bpe, "KEPT_SIZE", 3)
     assert [encode([t])[0] for t in texts] == want
+
+
+def test_texts_become_strings_a_chunk_at_a_time(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 4)
+    assert list(bpe.chunks(pa.array(["ab", None, "éé", "abcdefgh", "a"]))) == [(0, 3), (3, 4), (4, 5)]
+    assert list(bpe.chunks(pa.array([], pa.string()))) == []
