@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptmill.llm.common import held_out, table
@@ -23,11 +24,13 @@ BUCKETS, LEXICON = 1 << 16, 300
 SALTS = 64
 EPOCHS, BATCH, RATE, DECAY, SEED = 3, 256, 0.2, 1e-6, 7
 #: a worker forgets its scored words when it holds so many
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 #: words whose features are looked up at once
 SCORED_WORDS = 4_096
 #: characters whose words go through forward-backward at once, whole texts at least
 CHUNK_CHARS = 2_000_000
+#: characters whose words are held as strings at once, whole texts at least
+PART_CHARS = 1 << 18
 UNKNOWN = "und"
 find_words = re.compile(r"[^\W\d_]+").findall
 
@@ -41,6 +44,56 @@ def features(word: str, lexicon: dict[str, tuple]) -> list[int]:
     return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS for name in names]
 
 
+def _crc_table() -> np.ndarray:
+    """The state that the checksum of zlib goes to on each byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = _crc_table()
+
+
+def all_features(words: list[str], lexicon: dict[str, tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(the `features` of every word end to end, how many each has); checksums of all parts of words go on byte by byte side by side."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    told = [lexicon.get(w, ()) for w in words]
+    extra = np.fromiter(map(len, told), np.int64, len(words))
+    data = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-8", "surrogatepass"), np.uint8)
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each character begins
+    frame = np.cumsum(size + 2) - size - 2
+    edges = np.minimum(size, 3)
+    sizes = 2 * edges + 2 * size + 1 + extra
+    place = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    first, count, state = np.zeros(total, np.int64), np.zeros(total, np.int64), np.full(total, 0xFFFFFFFF, np.uint32)
+
+    def put(rows: np.ndarray, where: np.ndarray, begin: np.ndarray, n: int, mark: bytes = b"") -> None:
+        """Characters `begin` to `begin + n` of the rows' frames go to their place, after a mark."""
+        where, begin = place[rows] + where, frame[rows] + begin
+        first[where], count[where] = at[begin], at[begin + n] - at[begin]
+        if mark:
+            state[where] = zlib.crc32(mark) ^ 0xFFFFFFFF
+
+    for n in (1, 2, 3):
+        rows = np.flatnonzero(size >= n)
+        put(rows, n - 1, 1, n, b"p")
+        put(rows, edges[rows] + n - 1, size[rows] + 1 - n, n, b"s")
+    for n, before, many in ((2, 2 * edges, size + 1), (3, 2 * edges + size + 1, size)):
+        rows = np.repeat(np.arange(len(words)), many)
+        each = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+        put(rows, before[rows] + each, each, n)
+    for k in range(int(count.max(initial=0))):
+        rows = np.flatnonzero(count > k)
+        now = state[rows]
+        state[rows] = CRC[(now ^ data[first[rows] + k]) & 0xFF] ^ (now >> 8)
+    flat = (state ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % BUCKETS
+    for i in np.flatnonzero(extra):
+        flat[place[i] + sizes[i] - extra[i]:place[i] + sizes[i]] = [zlib.crc32(name.encode()) % BUCKETS for name in told[i]]
+    return flat, sizes
+
+
 class Field:
     """Weights of features, of transitions and of the first label."""
 
@@ -51,9 +104,7 @@ class Field:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """exp(score) of each distinct word, scaled to a largest of 1."""
-        own = [features(w, self.lexicon) for w in words]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter((f for fs in own for f in fs), np.int64, int(sizes.sum()))
+        flat, sizes = all_features(words, self.lexicon)
         scores = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes)
         return np.exp(scores - scores.max(1, keepdims=True))
 
@@ -70,9 +121,8 @@ class Field:
             for word, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
                 self.lexicon[word] = (*self.lexicon.get(word, ()), f"lexicon {i}")
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in lines for w in words))}
-        own = [features(w, self.lexicon) for w in vocabulary]
-        sizes = np.array([len(f) for f in own])
-        flat, starts = np.concatenate([np.array(f) for f in own]), np.cumsum(sizes) - sizes
+        flat, sizes = all_features(list(vocabulary), self.lexicon)
+        starts = np.cumsum(sizes) - sizes
         lines = [(y, np.array([vocabulary[w] for w in words])) for y, words in lines]
         squares = [np.full_like(p, 1e-8) for p in (self.weights, self.turns, self.first)]
         for _ in range(EPOCHS):
@@ -142,6 +192,7 @@ class Field:
         blocks = -(-n // size)
         e = np.ones((blocks * size, k))
         e[:n] = emit
+        del emit
         e, starts = e.reshape(blocks, size, k), np.zeros(blocks * size, bool)
         starts[:n] = begins
         starts = starts.reshape(blocks, size)
@@ -175,7 +226,8 @@ class Field:
             state = np.where(starts[:, s, None], (after * first).sum(1, keepdims=True), after @ turns.T)
             state = state / state.sum(1, keepdims=True)
         gamma = alpha.reshape(-1, k)[:n]
-        return gamma / gamma.sum(1, keepdims=True)
+        gamma /= gamma.sum(1, keepdims=True)
+        return gamma
 
 
 def fit_field(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -219,25 +271,44 @@ class Labeller:
             kept.update(zip(new, range(len(kept), need), strict=True))
         return np.array([kept[w] for words in texts for w in words], np.int64)
 
+    def _emissions(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """(`Field.emissions` of every word of the texts end to end, how many words each has)."""
+        words = [find_words((t or "").lower()) if self.field.languages else [] for t in texts]
+        numbers = self._numbers(words)  # before the scores are read: it may replace their table
+        return self.scores[numbers], [len(w) for w in words]
+
+    def label_chunk(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        """`label` of the texts of one chunk."""
+        emit, sizes = [], []
+        for start, stop in chunks([len(t or "") for t in texts], PART_CHARS):
+            part, own = self._emissions(texts[start:stop])
+            emit.append(part)
+            sizes += own
+        sizes = np.array(sizes)
+        ends = np.cumsum(sizes)
+        if ends[-1]:
+            begins = np.zeros(ends[-1], bool)
+            begins[(ends - sizes)[sizes > 0]] = True
+            found = self.field.marginals(np.concatenate(emit), begins)
+        for size, end in zip(sizes, ends, strict=True):
+            yield found[end - size:end] if size else None
+
     def label(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """For each text the words' probabilities (words by languages), or None where it has no letter."""
-        known, at = len(self.field.languages), 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= CHUNK_CHARS):
-                size += len(texts[stop] or "")
-                stop += 1
-            words = [find_words((t or "").lower()) if known else [] for t in texts[at:stop]]
-            sizes = np.array([len(w) for w in words])
-            ends = np.cumsum(sizes)
-            if ends[-1]:
-                begins = np.zeros(ends[-1], bool)
-                begins[(ends - sizes)[sizes > 0]] = True
-                numbers = self._numbers(words)  # before the scores are read: it may replace their table
-                found = self.field.marginals(self.scores[numbers], begins)
-            for size, end in zip(sizes, ends, strict=True):
-                yield found[end - size:end] if size else None
-            at = stop
+        for start, stop in chunks([len(t or "") for t in texts], CHUNK_CHARS):
+            yield from self.label_chunk(texts[start:stop])
+
+
+def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Spans of texts of so many characters that have `most` together, or of one larger text."""
+    at = 0
+    while at < len(sizes):
+        stop, size = at, 0
+        while stop < len(sizes) and (stop == at or size + sizes[stop] <= most):
+            size += sizes[stop]
+            stop += 1
+        yield at, stop
+        at = stop
 
 
 def identify(documents: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text",
@@ -256,8 +327,10 @@ def identify(documents: DataFrame, field: Field, doc_id: str = "doc_id", text: s
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, names = Labeller(held.value), held.value.languages
         for batch in batches:
-            picks, scores, runs = [], [], []
-            for p in labeller.label(batch.column(1).to_pylist()):
+            picks, scores, runs, texts = [], [], [], batch.column(1)
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            for p in (p for start, stop in chunks(sizes, CHUNK_CHARS)
+                      for p in labeller.label_chunk(texts.slice(start, stop - start).to_pylist())):
                 mean = None if p is None else p.mean(0)
                 picks.append(UNKNOWN if p is None else names[int(mean.argmax())])
                 scores.append(0.0 if p is None else min(1.0, float(mean.max())))

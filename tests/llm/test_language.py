@@ -78,3 +78,24 @@ def test_new_words_are_scored_a_few_at_a_time(monkeypatch):
     got = list(L.Labeller(field).label(texts))
     assert sizes and max(sizes) <= 3
     assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
+def test_features_of_many_words_at_once_are_those_of_each():
+    words = ["a", "ab", "abc", "straße", "été", "漢字", "\U00010400\U00010401x", "x\ud800y", "", "z" * 70]
+    lexicon = {"ab": ("lexicon 0",), "été": ("lexicon 1", "lexicon 3")}
+    flat, sizes = L.all_features(words, lexicon)
+    assert [p.tolist() for p in np.split(flat, np.cumsum(sizes)[:-1])] == [L.features(w, lexicon) for w in words]
+    assert [len(x) for x in L.all_features([], {})] == [0, 0]
+
+
+def test_words_of_a_chunk_are_held_a_part_at_a_time(monkeypatch):
+    field = L.Field(["a", "b"]).fit([("a", "one two three four"), ("b", "ein zwei drei vier")] * 20)
+    texts = ["one two zwei", None, "", "drei " * 40, "12", "four ein"] * 5
+    want = list(L.Labeller(field).label(texts))
+    held, plain = [], L.Labeller._numbers
+    monkeypatch.setattr(L, "PART_CHARS", 30)
+    monkeypatch.setattr(L, "KEPT_WORDS", 2)
+    monkeypatch.setattr(L.Labeller, "_numbers", lambda self, words: held.append(sum(map(len, words))) or plain(self, words))
+    got = list(L.Labeller(field).label(texts))
+    assert len(held) > 5 and max(held) == 40
+    assert all((a is None and b is None) or (a == b).all() for a, b in zip(got, want, strict=True))
