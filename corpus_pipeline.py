@@ -7,7 +7,7 @@ docstrings state. Every stage but the last returns the columns of its input.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptmill.llm import bpe, decontaminate, jaccard, language, line_dedup
-from scriptmill.llm.common import stage, table
+from scriptmill.llm.common import bounded, passing, stage, table
 
 #: a document is rejected if no language has at least this mean probability
 LEAST_SCORE = 0.5
@@ -15,11 +15,14 @@ LEAST_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which one learned language prevails. Texts without a letter go, as do those with a null id."""
-    field = language.fit_field(docs)
-    kept = stage(language.identify(docs, field).where(
-        (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(
-        F.col("doc_id").alias("_kept")).where("_kept is not null").distinct(), "languages")
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    prevails = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    named = docs.where("doc_id is not null")
+    with passing(spark):
+        # of rows that share an id one is enough; those that go are few where most texts are prose, so that no text is shuffled
+        gone = stage(language.identify(docs, language.fit_field(docs)).where("doc_id is not null").select(
+            F.col("doc_id").alias("_gone"), F.coalesce(prevails, F.lit(False)).alias("_prevails")).groupBy("_gone").agg(
+            F.max("_prevails").alias("_prevails")).where("not _prevails").select("_gone"), "other-languages", lasting=True)
+    return named.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing(spark):
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
     return docs
 
 

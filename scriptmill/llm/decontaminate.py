@@ -7,7 +7,7 @@ parameters are caught too. Everything is DataFrame functions.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scriptmill.llm.common import bounded, let, stage, table
+from scriptmill.llm.common import bounded, let, passing, stage, table
 
 #: words of a window, and how many of them must be literal words in a window of a benchmark item
 WINDOW, LITERALS = 6, 3
@@ -199,7 +199,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 def drop_leaked(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`documents` without those that hold a benchmark item; rows with a null id stay."""
-    gone = stage(leaks(documents, benchmark, doc_id, text).select(F.col("doc_id").alias("_gone")).distinct(), "leaked")
+    with passing(documents.sparkSession):
+        gone = stage(leaks(documents, benchmark, doc_id, text).select(F.col("doc_id").alias("_gone")).distinct(), "leaked", lasting=True)
     return documents.join(bounded(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
 
 

@@ -6,7 +6,7 @@ Everything is DataFrame functions.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scriptmill.llm.common import bounded, let, stage, table
+from scriptmill.llm.common import bounded, let, passing, stage, table
 
 #: lines in the window of the rolling hash
 WINDOW = 2
@@ -91,8 +91,9 @@ def drop_repeated_lines(documents: DataFrame, doc_id: str = "doc_id", text: str
     that share an id count as one document: what is repeated at a position of one goes from all of them.
     Texts without a second line are never cut. Other columns may have any name.
     """
-    cut = stage(repeated_chunks(documents.where(F.col(doc_id).isNotNull()), doc_id, text, min_lines).groupBy(
-        F.col("_id").alias("_cut_id")).agg(F.collect_set("_at").alias("_cut")), "cuts")
+    with passing(documents.sparkSession):
+        cut = stage(repeated_chunks(documents.where(F.col(doc_id).isNotNull()), doc_id, text, min_lines).groupBy(
+            F.col("_id").alias("_cut_id")).agg(F.collect_set("_at").alias("_cut")), "cuts", lasting=True)
     rows = documents.select(F.col(doc_id).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row"))
     own = F.col("_row").getField(text)
     left = F.array_join(F.transform(F.filter(
