@@ -5,7 +5,7 @@ from catalog.data import manuscript, ms
 from catalog.segmenting import ITEMS_SQL
 from catalog.windows import windows_sql
 from scriptmill.operators import budgets, windows
-from scriptmill.session import stage
+from scriptmill.session import passing, stage
 
 KEYS = ["book_id"]
 
@@ -29,7 +29,9 @@ def small_batches(spark, sf_dir):
 
 def narrative(spark, sf_dir):
     """The manuscript without blank lines, which is what gets tagged. Staged, as several passes read it."""
-    return stage(windows.drop_blank_lines(manuscript(spark, sf_dir)).select("book_id", "line_no", "line"), "narrative")
+    with passing(spark):
+        kept = windows.drop_blank_lines(manuscript(spark, sf_dir, staged=True))
+        return stage(kept.select("book_id", "line_no", "line"), "narrative", lasting=True)
 
 
 def window_chunks(spark, sf_dir):

@@ -5,6 +5,7 @@ The two sides share the SQL text where it means the same in both engines.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scriptmill.session import stage
 from scriptmill.sources.books import document_lines
 
 WHO = """case ((doc_id * 3 + pos) % 5) when 0 then 'Mia' when 1 then 'Sam' when 2 then 'Ellie'
@@ -39,13 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def manuscript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of a source as a book. Every line of every document is in it, whole."""
+def manuscript(spark: SparkSession, sf_dir: str, staged: bool = False) -> DataFrame:
+    """The documents of a source as a book. Every line of every document is in it, whole.
+
+    Lines are counted before they are placed; `staged` documents are not made a second time for that.
+    """
     lines = table(spark, sf_dir, "documents").select(
         F.col("source").alias("book_id"), "doc_id", F.expr(
             f"flatten(transform(split(text, '\\n'), (raw, pos) -> filter(array({BEFORE_CASE}, {LINE_CASE}),"
             " x -> x is not null)))").alias("lines"))
-    return document_lines(lines.select("book_id", "doc_id", F.array_join("lines", "\n").alias("text")))
+    books = lines.select("book_id", "doc_id", F.array_join("lines", "\n").alias("text"))
+    return document_lines(stage(books, "books") if staged else books)
 
 
 def ms(body: str, recursive: bool = False) -> str:

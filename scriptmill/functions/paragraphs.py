@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptmill import fixed
-from scriptmill.functions.chars import WS, column, is_blank, lines_of
+from scriptmill.functions.chars import WS, column, is_blank, let, lines_of
 from scriptmill.functions.markup import page_text, plain_text
 
 # White space that stays on its line.
@@ -12,8 +12,11 @@ GAP = rf"{WS}&&[^\n]"
 
 def join_paragraphs(text) -> Column:
     """Consecutive non-blank lines on one line, the line ends shown by a marker."""
-    return F.regexp_replace(column(text), rf"(?<=[^{WS}])([{GAP}]*)\n(?=[{GAP}]*[^{WS}])",
-                            "$1" + fixed.LINE_MARKER)
+    text = column(text)
+    searched = F.regexp_replace(text, rf"(?<=[^{WS}])([{GAP}]*)\n(?=[{GAP}]*[^{WS}])", "$1" + fixed.LINE_MARKER)
+    # Without a blank line each line end is one between two lines of a paragraph.
+    return F.when(F.exists(lines_of(text), is_blank), searched).otherwise(
+        F.replace(text, F.lit("\n"), F.lit(fixed.LINE_MARKER)))
 
 
 def paragraph_sizes(text) -> Column:
@@ -27,17 +30,22 @@ def paragraph_sizes(text) -> Column:
 
 def split_paragraphs(text, sizes) -> Column:
     """Lines of a joined text again. A paragraph with another line count stays one line."""
-    sizes = column(sizes)
+    def restored(s):
+        def restore(paragraph, i):
+            size = F.get(s["sizes"], i)
 
-    def restore(paragraph, i):
-        parts = F.split(paragraph, r" \|\|\| ", -1)
-        size = F.get(sizes, i)
-        return (F.when(size.isNull(), F.array(paragraph))
-                .when(size == 0, F.array(F.lit("")))
-                .when(F.size(parts) == size, parts)
-                .otherwise(F.array(paragraph)))
+            def kept(parts):
+                return (F.when(size.isNull(), F.array(paragraph))
+                        .when(size == 0, F.array(F.lit("")))
+                        .when(F.size(parts) == size, parts)
+                        .otherwise(F.array(paragraph)))
 
-    return F.array_join(F.flatten(F.transform(lines_of(text), restore)), "\n")
+            return let(F.split(paragraph, r" \|\|\| ", -1), kept)
+
+        return F.array_join(F.flatten(F.transform(s["lines"], restore)), "\n")
+
+    # Sizes are made once a text, not once a paragraph.
+    return let(F.struct(lines_of(text).alias("lines"), column(sizes).alias("sizes")), restored)
 
 
 def with_top_snippets(df: DataFrame, html: str, out: str, count: int = 5,

@@ -9,7 +9,8 @@ from scriptmill.functions.clean import sanitize_title, speakable_text
 
 QUOTED = r'"[^"]+"'
 HEADING = rf"(?i)\A(?:Chapter|Part)[{WS}]+([{WORD}\-]+)"
-KEYWORD = (rf"(?i){NOT_AFTER_WORD}(?:" + "|".join(fixed.EMOTIONS)
+# A keyword's first letter is looked for before what stands in front of it, which takes longer to tell.
+KEYWORD = (rf"(?i)(?=[{''.join(sorted({name[0] for name in fixed.EMOTIONS}))}]){NOT_AFTER_WORD}(?:" + "|".join(fixed.EMOTIONS)
            + rf")(?:ed|ing|s|es)?{NOT_BEFORE_WORD}")
 
 

@@ -83,7 +83,8 @@ def repair_orphans(text, original) -> Column:
 
         return F.array_join(F.transform(b["new"], line), "\n")
 
-    return let(both, repaired)
+    # Only lines with a tag, and those before them, are changed.
+    return F.when(F.contains(column(text), F.lit("<")), let(both, repaired)).otherwise(column(text))
 
 
 def found_tags(text) -> Column:
@@ -94,16 +95,27 @@ def reject_reason(text, original) -> Column:
     """Why a tagged text cannot be used: the first rule it breaks, null if none."""
     # What several rules look at is made once: Spark makes it anew for each inside a lambda or a branch.
     seen = F.struct(column(text).alias("text"), column(original).alias("original"), found_tags(text).alias("tags"))
-    return let(seen, lambda s: _first_broken(s["text"], s["original"], s["tags"]))
+    text = column(text)
+    plain = (text == column(original)) & ~(
+        F.contains(text, F.lit("<")) | F.contains(text, F.lit(">")) | F.contains(text, F.lit("&")))
+    # A text that came back as it was breaks no rule unless it holds a sign that tags are made of.
+    return F.when(~F.coalesce(plain, F.lit(False)), let(seen, lambda s: _first_broken(s["text"], s["original"], s["tags"])))
 
 
 def _first_broken(text: Column, original: Column, tags: Column) -> Column:
     def listed(tags):
         return F.array_join(F.sort_array(tags), ", ")
 
+    def no_blanks(t):
+        return F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+
     def no_space(t):
         return F.regexp_replace(t, rf"[{WS}]+", "")
 
+    def same_signs(pair):
+        # Other white space is looked for only where texts differ without the two usual kinds.
+        return F.when(pair["text"] == pair["original"], True).otherwise(no_space(pair["text"]) == no_space(pair["original"]))
+
     invalid = F.array_except(tags, F.array(*map(F.lit, fixed.EMOTION_TAGS)))
     leaked = F.array_intersect(tags, F.array(*map(F.lit, fixed.STRUCTURAL_TAGS)))
     most = let(F.size(words_of(original)), lambda n: F.when(
@@ -111,8 +123,8 @@ def _first_broken(text: Column, original: Column, tags: Column) -> Column:
     before = F.size(lines_of(original))
     after = F.size(lines_of(strip_emotion_tags(text)))
     # A text that came back as it was and has no tag needs no search.
-    same = F.when((text == original) & ~F.contains(text, F.lit("<")), True).otherwise(
-        no_space(F.regexp_replace(text, TAG, "")) == no_space(original))
+    same = F.when((text == original) & ~F.contains(text, F.lit("<")), True).otherwise(let(F.struct(
+        no_blanks(F.regexp_replace(text, TAG, "")).alias("text"), no_blanks(original).alias("original")), same_signs))
     return (
         F.when((F.size(invalid) > 0) & (F.size(leaked) > 0),
                F.concat(F.lit("Structural markup leaked from prompt: "), listed(leaked)))

@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -59,12 +60,16 @@ def in_halves(fn: Callable[[list[str]], list[str]], texts: list[str]) -> list[tu
 
 
 def _rows(spark: SparkSession, log: str) -> DataFrame:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/answers")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if _is_new(spark, log):
         return spark.createDataFrame([], LOGGED)
     return spark.read.schema(LOGGED).parquet(f"{log}/answers")
 
 
+def _is_new(spark: SparkSession, log: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/answers")
+    return not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def logged_digests(spark: SparkSession, log: str) -> DataFrame:
     """digest: the requests that the log holds answers to, each once."""
     return _rows(spark, log).select("digest").distinct()
@@ -94,22 +99,26 @@ def ask(requests: DataFrame, fn: Callable[[list[str]], list[str]], log: str, mod
     spark = requests.sparkSession
     keyed = requests.withColumn("__digest", request_digest(F.col(text), model))
     wanted = keyed.where("__digest is not null").select(F.col("__digest").alias("digest"), F.col(text).alias("text"))
-    # Of the log only what is asked for moves: digests first, then the answers of those found.
-    held = logged_digests(spark, log)
-    found = stage(held.join(wanted.select("digest"), "digest", "left_semi"), "answers-found")
-    known = stage(logged(spark, log, found), "answers-known")
+    missing, known = wanted, None
+    if not _is_new(spark, log):  # else no request is made just to find that its answer is not held
+        # Of the log only what is asked for moves: digests first, then the answers of those found.
+        held = logged_digests(spark, log)
+        found = stage(held.join(wanted.select("digest"), "digest", "left_semi"), "answers-found")
+        known = stage(logged(spark, log, found), "answers-known")
+        missing = wanted.join(found, "digest", "left_anti")
     # Equal texts meet where they are asked, so that texts move once.
-    missing = wanted.join(found, "digest", "left_anti").repartition(partitions, "digest").groupBy("digest").agg(
+    missing = missing.repartition(partitions, "digest").groupBy("digest").agg(
         F.first("text").alias("text")).sortWithinPartitions("digest")
 
-    def answer(frames) -> Iterator:
+    def answer(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for start in range(0, len(frame), batch_rows):
-                batch = frame.iloc[start:start + batch_rows]
-                digests = batch["digest"].tolist()
+            asked, texts = frame.column("digest").to_pylist(), frame.column("text").to_pylist()
+            responses, failures = [], []
+            for start in range(0, len(asked), batch_rows):
+                digests = asked[start:start + batch_rows]
                 path = f"{log}/open/{sha256(' '.join(digests).encode()).hexdigest()}.json"
                 held = _held(path)
-                left = [(d, t) for d, t in zip(digests, batch["text"], strict=True) if d not in held]
+                left = [(d, t) for d, t in zip(digests, texts[start:start + batch_rows], strict=True) if d not in held]
                 errors = {}
                 if left:
                     for (digest, _), (response, error) in zip(left, in_halves(fn, [t for _, t in left]), strict=True):
@@ -118,18 +127,18 @@ def ask(requests: DataFrame, fn: Callable[[list[str]], list[str]], log: str, mod
                         else:
                             errors[digest] = error or "No response"
                     _hold(path, held)
-                out = batch[["digest"]].copy()
-                out["response"] = [held.get(d) for d in digests]
-                out["error"] = [errors.get(d) for d in digests]
-                yield out
+                responses += [held.get(d) for d in digests]
+                failures += [errors.get(d) for d in digests]
+            yield pa.record_batch([pa.array(column, pa.string()) for column in (asked, responses, failures)],
+                                  ["digest", "response", "error"])
 
-    new = stage(missing.mapInPandas(answer, ANSWERED), "answers-new")
+    new = stage(missing.mapInArrow(answer, ANSWERED), "answers-new")
     good = new.where("response is not null").select("digest", "response")
     good.write.mode("append").parquet(f"{log}/answers")
     # What is open is now in the table.
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/open")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    both = known.withColumn("error", F.lit(None).cast("string")).unionByName(new)
+    both = new if known is None else known.withColumn("error", F.lit(None).cast("string")).unionByName(new)
     return keyed.join(both, F.col("__digest") == F.col("digest"), "left").select(
         *requests.columns, "response",
         F.when(F.col("__digest").isNull(), "No request").otherwise(F.col("error")).alias("error"))

@@ -225,16 +225,20 @@ def _pieces(packed: DataFrame, keys, rule) -> DataFrame:
     # The head of the block, where it belongs to a group that was open before.
     head = F.when((F.size("starts") == 0) | (F.get("starts", F.lit(0)) > 0),
                   F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    placed = cut.withColumn("edges", F.concat(head, "starts")).select(
-        *keys, "pos", "tokens", "edges", F.size(head).alias("headed"),
-        F.posexplode("edges").alias("nth", "lo"))
-    hi = F.coalesce(F.get("edges", F.col("nth") + 1), F.size("pos"))
-    counts = F.slice("tokens", F.col("lo") + 1, hi - F.col("lo"))
-    return placed.select(
-        *keys, F.get("pos", F.col("lo")).alias("first"), F.get("pos", hi - 1).alias("last"),
-        (hi - F.col("lo")).cast("bigint").alias("rows"),
-        F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, t: a + t).alias("tokens"),
-        (F.col("nth") >= F.col("headed")).cast("bigint").alias("starts"))
+    edged = cut.withColumn("edges", F.concat(head, "starts")).withColumn("headed", F.size(head))
+
+    def piece(lo, nth):
+        hi = F.coalesce(F.get("edges", nth + 1), F.size("pos"))
+        counts = F.slice("tokens", lo + 1, hi - lo)
+        return F.struct(
+            F.get("pos", lo).alias("first"), F.get("pos", hi - 1).alias("last"),
+            (hi - lo).cast("bigint").alias("rows"),
+            F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, t: a + t).alias("tokens"),
+            (nth >= F.col("headed")).cast("bigint").alias("starts"))
+
+    # Made inside the array: a row for each piece would hold a copy of its whole block.
+    return edged.select(*keys, F.explode(F.transform("edges", piece)).alias("p")).select(
+        *keys, "p.first", "p.last", "p.rows", "p.tokens", "p.starts")
 
 
 def _group(df: DataFrame, keys: Sequence[str], pos: str, tokens: Column, rule, number: str,

@@ -74,17 +74,31 @@ def line_answers(checked: DataFrame, responses: DataFrame) -> DataFrame:
     return checked.join(back, CHUNK, "left").withColumn("text", F.coalesce("__text", "text")).drop("__text")
 
 
+def _first_round(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], template: str) -> DataFrame:
+    chunks = stage(chunks, "chunks")
+    return chunk_answers(chunks, ask(chunk_requests(chunks, template)))
+
+
+def _second_round(checked: DataFrame, ask: Callable[[DataFrame], DataFrame], template: str) -> DataFrame:
+    return line_answers(checked, ask(line_requests(checked, template)))
+
+
 def tag_chunks(chunks: DataFrame, ask: Callable[[DataFrame], DataFrame], template: str = TAG) -> DataFrame:
     """Chunks after both rounds: text; success, reverted and reason of the first; lines_tagged of the second.
 
     What is read more than once is staged, so that no answer is asked for again.
     """
-    chunks = stage(chunks, "chunks")
-    checked = stage(chunk_answers(chunks, ask(chunk_requests(chunks, template))), "checked")
-    return stage(line_answers(checked, ask(line_requests(checked, template))), "tagged")
+    checked = stage(_first_round(chunks, ask, template), "checked")
+    return stage(_second_round(checked, ask, template), "tagged")
 
 
 def tag_lines(lines: DataFrame, chunks: DataFrame, ask: Callable[[DataFrame], DataFrame],
               template: str = TAG) -> DataFrame:
-    """The book's lines after both rounds, as `reassemble` gives them."""
-    return reassemble(lines, tag_chunks(chunks, ask, template))
+    """The book's lines after both rounds of `tag_chunks`, as `reassemble` gives them.
+
+    Between the rounds a chunk is one text: a reverted one is its original, of others that is not needed again.
+    `reassemble` goes through the chunks once, so they are not staged for it.
+    """
+    first = _first_round(chunks, ask, template).select(*CHUNK, "start_line", "end_line", "text", "reverted")
+    checked = stage(first, "checked").withColumn("original", F.col("text"))
+    return reassemble(lines, _second_round(checked, ask, template))
