@@ -134,7 +134,7 @@ def ask(requests: DataFrame, fn: Callable[[list[str]], list[str]], log: str, mod
 
     new = stage(missing.mapInArrow(answer, ANSWERED), "answers-new")
     good = new.where("response is not null").select("digest", "response")
-    good.write.mode("append").parquet(f"{log}/answers")
+    good.write.mode("append").option("compression", "zstd").parquet(f"{log}/answers")
     # What is open is now in the table.
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/open")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -14,7 +14,7 @@ from scriptmill.functions.paragraphs import join_paragraphs, paragraph_sizes, sp
 from scriptmill.functions.tokens import token_count
 from scriptmill.operators.registry import TAG, tagging_text
 from scriptmill.operators.tags import reassemble, validate_chunks
-from scriptmill.session import stage
+from scriptmill.session import passing, stage
 
 CHUNK = ["book_id", "chunk_no"]
 LINE = [*CHUNK, "at"]
@@ -97,8 +97,11 @@ def tag_lines(lines: DataFrame, chunks: DataFrame, ask: Callable[[DataFrame], Da
     """The book's lines after both rounds of `tag_chunks`, as `reassemble` gives them.
 
     Between the rounds a chunk is one text: a reverted one is its original, of others that is not needed again.
-    `reassemble` goes through the chunks once, so they are not staged for it.
+    `reassemble` goes through the chunks once, so they are not staged for it. What a round stages goes after it.
     """
-    first = _first_round(chunks, ask, template).select(*CHUNK, "start_line", "end_line", "text", "reverted")
-    checked = stage(first, "checked").withColumn("original", F.col("text"))
-    return reassemble(lines, _second_round(checked, ask, template))
+    spark = lines.sparkSession
+    with passing(spark):
+        with passing(spark):
+            first = _first_round(chunks, ask, template).select(*CHUNK, "start_line", "end_line", "text", "reverted")
+            checked = stage(first, "checked", lasting=True).withColumn("original", F.col("text"))
+        return reassemble(lines, _second_round(checked, ask, template))

@@ -42,21 +42,22 @@ def reassemble(lines: DataFrame, chunks: DataFrame) -> DataFrame:
 
     A chunk with another number of lines than its range replaces nothing. Where chunks of a book give a line twice,
     none of its lines is replaced, and `message` says so. Books with such lines are few rows of their own, so that
-    the chunks are gone through once and texts meet their lines in one join, the only time that they move.
+    the chunks are gone through once and texts meet their lines in one join, the only time that they move. What the
+    result reads lasts beyond the `passing` block that the chunks were made in.
     """
     parts = lines_of("text")
     # Not a filter: that would be pushed below, and the text be made twice.
     fitting = F.when(F.size(parts) == F.col("end_line") - F.col("start_line"), parts)
     tagged = stage(chunks.select(
         "book_id", "start_line", F.posexplode(fitting).alias("at", "tagged")
-    ).select("book_id", (F.col("start_line") + F.col("at")).alias("line_no"), "tagged"), "tagged-lines")
+    ).select("book_id", (F.col("start_line") + F.col("at")).alias("line_no"), "tagged"), "tagged-lines", lasting=True)
     twice = stage(tagged.groupBy("book_id", "line_no").agg(F.count("*").alias("times")).where("times > 1").select(
         "book_id", "line_no"), "twice")
     placed = lines.select("book_id", "line_no", "line").where("book_id is not null and line_no is not null")
     over = None
     if not twice.isEmpty():  # else no line is read to be found given once
         over = stage(twice.join(lines.select("book_id", "line_no"), ["book_id", "line_no"], "left_semi").select(
-            "book_id").distinct().withColumn("__over", F.lit(True)), "overlaps")
+            "book_id").distinct().withColumn("__over", F.lit(True)), "overlaps", lasting=True)
         tagged = tagged.join(over, "book_id", "left_anti")
     # What is left has each line of a book at most once.
     both = placed.join(tagged, ["book_id", "line_no"], "left")

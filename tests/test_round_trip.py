@@ -1,11 +1,13 @@
 """What the tagging round trip makes, stages and moves once, and that its short ways give what the long ones do."""
 
 import itertools
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from scriptmill import fixed
+from scriptmill import fixed, session
 from scriptmill.functions import clean, paragraphs, segment, tagging
 from scriptmill.functions.chars import WORD, WS, WS_CHARS
 from scriptmill.operators import answers, budgets, roundtrip, tags
@@ -19,9 +21,9 @@ def staged(monkeypatch):
     """(label, columns) of the tables that modules of the round trip stage."""
     seen = []
     for module in (answers, roundtrip, tags):
-        def record(df, label, *more, made=module.stage):
+        def record(df, label, made=module.stage, **more):
             seen.append((label, df.columns))
-            return made(df, label, *more)
+            return made(df, label, **more)
 
         monkeypatch.setattr(module, "stage", record)
     return seen
@@ -53,6 +55,37 @@ def test_between_the_rounds_a_chunk_is_one_text(spark, staged):
     assert dict(staged)["checked"] == ["book_id", "chunk_no", "start_line", "end_line", "text", "reverted"]
 
 
+def test_what_a_round_stages_goes_after_it(spark, monkeypatch):
+    made = []
+    for module in (answers, roundtrip, tags):
+        def record(df, label, kept=module.stage, **more):
+            made.append((label, out := kept(df, label, **more), out.inputFiles()))
+            return out
+
+        monkeypatch.setattr(module, "stage", record)
+    out = round_trip(spark)
+    left = {label for label, _, files in made if files and os.path.exists(files[0].removeprefix("file://"))}
+    assert left == {"tagged-lines"} and out.where("replaced").count() == 3
+
+
+def test_shuffles_of_a_staged_table_go_with_its_write(spark):
+    def shuffles():
+        root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return sum(name.startswith("shuffle_") for place in root for _, _, names in os.walk(place) for name in names)
+
+    before, setting = shuffles(), spark.conf.get(session.CLEANUP)
+    table = spark.range(100).repartition(3, "id").groupBy("id").count()
+    staged = session.stage(table, "counts")
+    for _ in range(50):  # files are deleted in the background
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(session.CLEANUP) == setting and staged.count() == 100
+    with session._shuffles_go(spark), session._shuffles_go(spark):
+        assert spark.conf.get(session.CLEANUP) == "true"
+    assert spark.conf.get(session.CLEANUP) == setting and table.count() == table.count() == 100
+
+
 def test_a_new_log_is_not_searched(spark, staged):
     asked = spark.createDataFrame([("a",), ("a",), (None,)], "user_text string")
     log = new_path(spark, "answer-log")
@@ -82,7 +115,8 @@ def test_texts_of_tagged_lines_move_for_their_join_only(spark, staged, monkeypat
                                  "book_id string, start_line long, end_line long, text string")
     plans = []
     recorded = tags.stage
-    monkeypatch.setattr(tags, "stage", lambda df, label: plans.append((label, plan_of(df))) or recorded(df, label))
+    monkeypatch.setattr(tags, "stage", lambda df, label, **more: plans.append((label, plan_of(df))) or recorded(
+        df, label, **more))
     out = tags.reassemble(lines, made.repartition(3)).orderBy("book_id", "line_no").collect()
     assert [r["line"] for r in out] == ["X0", "X1", "x2", "y0", "y1", "y2"]
     assert [r["replaced"] for r in out] == [True, True] + [False] * 4 and {r["message"] for r in out} == {None}
